@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm.common import table
 from cairnspark.llm.jaccard_join import jaccard_components
+from cairnspark.llm.packing import pack_documents
+from cairnspark.llm.word_bpe import encode_decode
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public tokenizer's file; operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +23,13 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op7_word_bpe, op10_packing)}
 ORACLES: dict[str, str] = {}
