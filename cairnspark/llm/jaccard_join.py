@@ -6,9 +6,9 @@ shuffle of those prefixes drops all others. The rest is ordered by frequency, ra
 identical prefixes and size form one group. Groups meet on prefix shingles, pass the size and position
 filters, then expand to members that are verified on whole sets.
 
-Large families of near copies never become all pairs: each member is first verified against one hub, and
-only pairs that still lie in different components are tried afterwards, through every shared prefix
-shingle. No candidate is capped, so components are exact.
+Large families of near copies never become all pairs: each member is first verified against one hub a
+shingle, then against its neighbour in size, and only pairs that still lie in different components are tried
+afterwards, through every shared prefix shingle. No candidate is capped, so components are exact.
 
 Results: documents with null or word-free text have n_shingles 0 and are their own component; repeated rows
 keep one row each; extra columns are ignored; an empty table gives an empty result. A null doc_id is a
@@ -191,16 +191,32 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: Threshold =
         reach = F.least(F.col(la), F.col(lb))
         return (t.num + t.den) * reach >= t.num * (F.col(na) + F.col(nb))
 
+    def sized(na: str, nb: str):
+        return t.den * F.least(na, nb) >= t.num * F.greatest(na, nb)
+
+    def place(links: DataFrame) -> DataFrame:
+        """(gid, sid, n, component) of all members under the links so far."""
+        label = components(scratch, links)
+        return scratch.keep(members.join(label, F.col("sid") == F.col("node"), "left").select("gid", "sid", "n", F.coalesce("component", "sid").alias("component")))
+
     # first round: each group against one hub a shingle, each member against its group
-    hub = F.min_by(F.struct("gid", "n", "left"), "gid").over(by_token)
-    star = entries.select("gid", "n", "left", hub.alias("hub")).select("gid", "n", "left", F.col("hub.gid").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.left").alias("hub_left"))
-    star = star.where((F.col("gid") != F.col("hub")) & fits("n", "left", "hub_n", "hub_left")).select(F.col("hub").alias("a"), F.col("gid").alias("b"))
-    first = star.union(members.where("sid != gid").select(F.col("gid").alias("a"), F.col("sid").alias("b"))).distinct()
-    links = scratch.keep(_verify(first, sets, t))
-    label = scratch.keep(components(scratch, links))
-    members = scratch.keep(members.join(label, F.col("sid") == F.col("node"), "left").select("gid", "sid", "n", F.coalesce("component", "sid").alias("component")))
-
-    # second round: all candidates that still lie apart
+    hub = F.min_by(F.struct("gid", "n"), "gid").over(by_token)
+    star = entries.select("gid", "n", hub.alias("hub")).select("gid", "n", F.col("hub.gid").alias("hub"), F.col("hub.n").alias("hub_n"))
+    star = star.where((F.col("gid") != F.col("hub")) & sized("n", "hub_n")).select(F.col("hub").alias("a"), F.col("gid").alias("b"))
+    tried = scratch.keep(star.union(members.where("sid != gid").select(F.col("gid").alias("a"), F.col("sid").alias("b"))).distinct())
+    links = scratch.keep(_verify(tried, sets, t))
+    placed = place(links)
+
+    # second round: each group against the next in size that has the shingle and lies apart so far
+    chain = Window.partitionBy("token").orderBy("n", "gid")
+    near = entries.join(placed.where("sid = gid").select("gid", "component"), "gid")
+    near = near.select("gid", "n", "component", F.lag(F.struct("gid", "n", "component")).over(chain).alias("x")).where("x.component != component")
+    near = near.select(F.least("gid", "x.gid").alias("a"), F.greatest("gid", "x.gid").alias("b"), "n", F.col("x.n").alias("xn")).where(sized("n", "xn"))
+    near = near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    tried, links = tried.union(near), scratch.keep(links.union(_verify(near, sets, t)))
+    members = place(links)
+
+    # last round: all candidates that still lie apart
     spread = members.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     placed = entries.join(spread, "gid").select("token", "gid", "n", "left", F.when(F.col("low") == F.col("high"), F.col("low")).alias("one"))
     main = F.max_by("one", "same").over(by_token)
@@ -218,11 +234,12 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: Threshold =
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(within).distinct()
     left = members.select(F.col("gid").alias("a"), F.col("sid").alias("sa"), F.col("component").alias("ca"))
     right = members.select(F.col("gid").alias("b"), F.col("sid").alias("sb"), F.col("component").alias("cb"))
+    before = tried
     tried = pairs.join(left, "a").join(right, "b").where("ca != cb and (a != b or sa < sb)")
-    tried = tried.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    tried = tried.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct().join(before, ["a", "b"], "left_anti")
     links = scratch.keep(links.union(_verify(tried, sets, t)))
     final = scratch.keep(components(scratch, links))
-    scratch.drop(entries, sets, members, label)
+    scratch.drop(entries, sets, members)
 
     # smallest doc_id of each component, over all copies
     owner = reps.join(final, F.col("sid") == F.col("node")).select("sid", "n", "component", "rep")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from cairnspark.llm.common import table
 from cairnspark.llm.jaccard_join import jaccard_components
+from cairnspark.llm.line_dedup import dedup_lines
 from cairnspark.llm.packing import pack_documents
+from cairnspark.llm.rule_ledger import MEASURES, apply_policy, ledger
 from cairnspark.llm.word_bpe import encode_decode
 
 
@@ -18,11 +20,22 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(table(spark, sf_dir, "documents"), n_words=5)
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = apply_policy(found, "keep-1")
+    base = ~apply_policy(found, "base-1")
+    return found.select("doc_id", *MEASURES, "failures", base.alias("base_failed"), kept.alias("kept"))
+
+
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -31,5 +44,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op7_word_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op7_word_bpe, op10_packing)}
 ORACLES: dict[str, str] = {}
