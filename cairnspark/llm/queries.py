@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnspark.llm.common import table
+from cairnspark.llm.compression_toxicity import toxicity
+from cairnspark.llm.importance_resampling import resample
 from cairnspark.llm.jaccard_join import jaccard_components
 from cairnspark.llm.line_dedup import dedup_lines
 from cairnspark.llm.packing import pack_documents
@@ -20,6 +22,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -36,6 +42,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *MEASURES, "failures", base.alias("base_failed"), kept.alias("kept"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -44,5 +54,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op7_word_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_toxicity, op7_word_bpe, op10_packing)}
 ORACLES: dict[str, str] = {}
