@@ -17,8 +17,8 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
-from itertools import islice
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 from typing import Any
 
 import pyarrow as pa
@@ -31,7 +31,7 @@ from cairnspark.llm.common import text_or_empty
 
 PIECE = 1 << 19
 #: Distinct runs without white space whose encodings a worker keeps between batches.
-KEPT_RUNS = 300_000
+KEPT_RUNS = 500_000
 END = "</w>"
 #: Letter of the end mark in the entries' trie; stand-in letters are below it.
 MARK = 511
@@ -77,9 +77,10 @@ class WordBpe:
 
     def encode_words(self, words: set[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of distinct words: by the library's model where asked for, else by the trie."""
-        pairs = sorted((self.stand_in(w), w) for w in words)
         if self.model is not None:
-            return ((w, [t.id for t in self.model.tokenize(x)]) for x, w in pairs)
+            tokenize, stand_in = self.model.tokenize, self.stand_in
+            return ((w, [t.id for t in tokenize(stand_in(w))]) for w in words)
+        pairs = sorted((self.stand_in(w), w) for w in words)
         return zip([w for _, w in pairs], self.encode_sorted([x for x, _ in pairs]), strict=True)
 
     def _suffixes(self) -> None:
@@ -180,20 +181,30 @@ class WordBpe:
     def stand_in(self, word: str) -> str:
         return word if self.plain and word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
 
-    def learn(self, runs: list[str]) -> None:
+    def learn(self, lists: Iterable[list[str]]) -> None:
         """Encode the distinct runs without white space that are not kept yet."""
-        new = {r for r in runs if r not in self.kept}
+        runs = set(chain.from_iterable(lists))
+        new = runs.difference(self.kept)
         if not new:
             return
         if len(self.kept) + len(new) > KEPT_RUNS:
-            self.kept.clear()
-            new = set(runs)
+            self.kept = {r: self.kept[r] for r in runs.intersection(self.kept)}
         if len(self.known) > KEPT_RUNS // 2:
             self.known.clear()
-        cut = {r: [r] if r.isascii() and r.isalpha() else self.words.findall(r) for r in new}
-        self.known.update(self.encode_words({w for ws in cut.values() for w in ws if w not in self.known}))
+        cut = {}
+        for r in new:
+            if r.isascii():
+                if r.isalpha():
+                    cut[r] = (r,)
+                    continue
+                if r[-1] in ".,!?;:" and r[:-1].isalpha():
+                    cut[r] = r[:-1], r[-1]
+                    continue
+            cut[r] = self.words.findall(r)
+        known, form = self.known, self.form
+        known.update(self.encode_words(set(chain.from_iterable(cut.values())).difference(known)))
         for r, ws in cut.items():
-            self.kept[r] = self.form(self.known[ws[0]] if len(ws) == 1 else [i for w in ws for i in self.known[w]], self)
+            self.kept[r] = form(known[ws[0]] if len(ws) == 1 else [i for w in ws for i in known[w]], self)
 
     def runs(self, text: str) -> list[str]:
         """Normalised runs without white space; no word spans white space."""
@@ -230,21 +241,16 @@ class WordBpe:
 
         def long(text: str) -> Iterator[Any]:
             for runs, special in self.pieces(text):
-                self.learn(runs)
+                self.learn([runs])
                 yield from map(self.kept.__getitem__, runs)
                 if special is not None:
                     yield self.form([special], self)
 
         short = [self.runs(t) if len(t) <= PIECE and "<|" not in t else None for t in texts]
-        self.learn([r for runs in short for r in runs or ()])
-        kept = self.kept
+        self.learn(runs for runs in short if runs)
+        kept = self.kept  # stays whole for these texts, whatever a long one makes of the cache
         for t, runs in zip(texts, short, strict=True):
-            if runs is None:
-                yield long(t)
-                kept = self.kept
-                self.learn([r for rs in short for r in rs or ()])
-            else:
-                yield map(kept.__getitem__, runs)
+            yield long(t) if runs is None else map(kept.__getitem__, runs)
 
 
 _loaded: dict[tuple, WordBpe] = {}
