@@ -254,4 +254,5 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: Threshold =
 def one_of_each(docs: DataFrame, n_words: int = 5, threshold: Threshold = Threshold()) -> DataFrame:
     """The rows of docs without those whose component has a smaller doc_id; texts without words all stay."""
     later = jaccard_components(docs, n_words, threshold).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti")
+    later = Scratch(docs.sparkSession).keep(later)
+    return docs.join(maybe_broadcast(later), "doc_id", "left_anti")
