@@ -11,7 +11,11 @@ from cairnspark.llm.importance_resampling import resample
 from cairnspark.llm.jaccard_join import jaccard_components
 from cairnspark.llm.line_dedup import dedup_lines
 from cairnspark.llm.packing import pack_documents
-from cairnspark.llm.rule_ledger import MEASURES, apply_policy, ledger
+from cairnspark.llm.page_difference import extract
+from cairnspark.llm.robust_graph import search
+from cairnspark.llm.rule_ledger import MEASURES, apply_policy, ledger, mask
+from cairnspark.llm.rule_ledger import RULES as RULE_BITS
+from cairnspark.llm.url_filter import LISTED, RULES, judge
 from cairnspark.llm.word_bpe import encode_decode
 
 
@@ -46,13 +50,58 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), RULES, LISTED)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_toxicity, op7_word_bpe, op10_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_line_dedup, op3_ngram_jaccard_join, op4_quality_rules, op5_toxicity, op6_html_extraction, op7_word_bpe, op8_nearest_neighbours, op9_url_filters, op10_packing)}
+
+
+def _keys_sql(keys: tuple[tuple[str, str, str], ...]) -> str:
+    return ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in keys)
+
+
+OP9_SQL = f"""
+WITH rules(verdict, host, path) AS (VALUES {_keys_sql(RULES)}), listed(verdict, host, path) AS (VALUES {_keys_sql(LISTED)}),
+cut AS (SELECT page_id, url, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+urls AS (SELECT DISTINCT host, path FROM parts),
+ruled AS (SELECT u.host, u.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM urls u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY ALL),
+named AS (SELECT u.host, u.path, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM urls u JOIN listed r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, ruled.rule, coalesce(ruled.verdict, named.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN ruled USING (host, path) LEFT JOIN named USING (host, path)"""
+
+OP4_SQL = r"""
+WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM base),
+grams AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM split WHERE len(words) >= 3),
+placed AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM grams),
+hit AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS w FROM placed WHERE n >= 2) GROUP BY doc_id),
+measured AS (SELECT s.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  length(regexp_replace(text, '[^\p{Lu}]', '', 'g'))::BIGINT AS n_upper, coalesce(hit.n, 0)::BIGINT AS n_repeat_words FROM split s LEFT JOIN hit USING (doc_id)),
+bits AS (SELECT *, BITS AS failures FROM measured)
+SELECT *, (failures & BASE) <> 0 AS base_failed, (failures & KEPT) = 0 AS kept FROM bits"""
+OP4_SQL = OP4_SQL.replace("BITS", "(" + " | ".join(f"CASE WHEN {r.fails} THEN {1 << k} ELSE 0 END" for k, r in enumerate(RULE_BITS)) + ")::BIGINT").replace("BASE", str(mask("base-1"))).replace("KEPT", str(mask("keep-1")))
+
+ORACLES: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op9_url_filters": OP9_SQL}

@@ -29,11 +29,11 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Sites that are listed as unwanted, where no rule fits.
-LISTED = (
-    ("block", "spam-farm.example.com", "/"),
-    ("block", "cheap-pills.example.com", "/"),
-    ("block", "casino-win.example.com", "/"),
+#: Sites that are listed as unwanted, where no rule fits: fixed values, each under three domains.
+LISTED = tuple(
+    ("block", f"{site}.example.{domain}", "/")
+    for site in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+    for domain in ("com", "net", "org")
 )
 
 
