@@ -34,13 +34,14 @@ SALTS = 64
 
 @dataclass(frozen=True)
 class Graph:
-    """degree: edges of a node; beam: width while building; search: width of a query; relax: how much longer a detour may be before an edge stays."""
+    """degree: edges of a node; beam: width while building; search: width of a query; relax: how much longer a detour may be before an edge stays; insert: nodes whose reversed edges are added together."""
 
     shard_rows: int = 4096
-    degree: int = 40
-    beam: int = 72
-    search: int = 112
+    degree: int = 32
+    beam: int = 48
+    search: int = 96
     relax: float = 1.2
+    insert: int = 1024
     batch: int = 256
     query_block: int = 4096
     expand: int = 4
@@ -78,6 +79,7 @@ def _prune(x: np.ndarray, at: np.ndarray, near: np.ndarray, degree: int, relax:
     dist = squares[near] - 2 * np.einsum("bcd,bd->bc", vectors, x[at]) + squares[at][:, None]
     dist[near < 0] = np.inf
     left = dist.copy()
+    taken = np.zeros((b, c), bool)
     out = np.full((b, degree), -1, np.int32)
     for k in range(min(degree, c)):
         best = left.argmin(1)
@@ -89,17 +91,15 @@ def _prune(x: np.ndarray, at: np.ndarray, near: np.ndarray, degree: int, relax:
         between = squares[near] - 2 * np.einsum("bcd,bd->bc", vectors, chosen) + squares[near[rows, best]][:, None]
         left[(relax**2 * between <= dist) & alive[:, None]] = np.inf
         left[rows, best] = np.inf
-    spare = dist
-    for k in range(degree):  # places that diversity leaves empty go to the closest of the rest
-        empty = out[:, k] < 0
-        if not empty.any():
-            continue
-        spare[(near[:, :, None] == out[:, None, :]).any(2)] = np.inf
-        best = spare.argmin(1)
-        fill = empty & np.isfinite(spare[rows, best])
-        if not fill.any():
-            break
-        out[fill, k] = near[rows, best][fill]
+        taken[rows[alive], best[alive]] = True
+    # places that diversity leaves empty go to the closest of the rest
+    kept = (out >= 0).sum(1)
+    dist[taken] = np.inf
+    order = np.argsort(dist, 1)[:, :degree]
+    place = np.arange(degree)[None, :] - kept[:, None]
+    rest = order[rows[:, None], np.clip(place, 0, order.shape[1] - 1)]
+    fill = (place >= 0) & (place < order.shape[1]) & np.isfinite(dist[rows[:, None], rest])
+    out[fill] = near[rows[:, None], rest][fill]
     return out
 
 
@@ -149,10 +149,12 @@ def build(vectors: np.ndarray, g: Graph, longest: float) -> tuple[np.ndarray, in
     edges[edges == np.arange(n)[:, None]] = -1
     for relax in (1.0, g.relax):
         order = rng.permutation(n)
-        for first in range(0, n, g.batch):
-            at = order[first : first + g.batch]
-            near, _ = _walk(x, edges, start, x[at], g.beam, g.expand)
-            edges[at] = _prune(x, at, np.concatenate((near, edges[at]), 1), degree, relax)
+        for first in range(0, n, g.insert):
+            at = order[first : first + g.insert]
+            for some in range(0, len(at), g.batch):
+                own = at[some : some + g.batch]
+                near, _ = _walk(x, edges, start, x[own], g.beam, g.expand)
+                edges[own] = _prune(x, own, np.concatenate((near, edges[own]), 1), degree, relax)
             into, back = edges[at].ravel(), np.repeat(at, degree)
             into, back = into[into >= 0], back[into >= 0]
             by = np.argsort(into, kind="stable")
