@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that decorate a name, and what ends an entity's name.
 DECORATION = "「」『』《》【】〔〕〈〉“”‘’„‟«»‹›\"'`•※★☆◆◇●○■□▲△"
@@ -21,7 +22,7 @@ def normal_name(name: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", name or "").lower().translate(_DROP).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_name(names: pd.Series) -> pd.Series:
     return names.map(normal_name)
 
@@ -35,7 +36,7 @@ def rule_entities(text: Column) -> Column:
 
 def capital_entities(text: Column) -> Column:
     """N1's default for Latin texts: distinct capitalised words of six letters or more."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]{5,})\b"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.filter(F.split(text, r"[\s\p{P}]+"), lambda w: w.rlike("^[A-Z][a-z]{5,}$"))))
 
 
 def lenient_json(text: str | None) -> str | None:
@@ -50,7 +51,7 @@ def lenient_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_json(texts: pd.Series) -> pd.Series:
     return texts.map(lenient_json)
 

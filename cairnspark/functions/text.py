@@ -67,7 +67,8 @@ def tokens(text: Column) -> Column:
     """K1: distinct lower-case tokens; white space splits, CJK runs become character pairs, single characters and punctuation go."""
     lower = F.lower(F.trim(text))
     spaced = F.filter(F.split(lower, r"(?U)\s+"), lambda w: (F.length(w) > 1) & ~w.rlike(r"^[\p{P}\p{S}]+$"))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(lower) - 1, F.lit(1))), lambda i: F.substring(lower, i, F.lit(2)))
+    letters = F.split(lower, "")
+    pairs = F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(F.size(letters), F.lit(1))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     pairs = F.filter(pairs, lambda w: (F.length(w) > 1) & ~w.rlike(r"[\s]|^[\p{P}\p{S}]+$"))
     return F.array_distinct(F.when(lower.rlike("[一-鿿]"), pairs).otherwise(spaced))
 
