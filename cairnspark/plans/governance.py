@@ -289,7 +289,7 @@ def b4(spark, sf):
 def b14(spark, sf):
     from cairnspark.sources.sinks import merge_counters
 
-    old = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("long").alias("count"), F.lit(None).cast("timestamp").alias("last_used"))
+    old = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").cast("long").alias("count"), F.lit(None).cast("timestamp_ntz").alias("last_used"))
     return merge_counters(old, table(spark, sf, "events").select(F.col("user_id").alias("key"), "ts")).withColumnRenamed("key", "c_custkey")
 
 
