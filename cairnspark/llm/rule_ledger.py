@@ -65,20 +65,23 @@ def _without(text: Column, letters: str) -> Column:
     return F.translate(text, letters, "")
 
 
-def _repeat_words(words: Column, n: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    later = F.slice(hashes, F.lit(2), F.greatest(n - 1, F.lit(0)))
-    pair = F.zip_with(hashes, later, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    third = F.slice(hashes, F.lit(3), F.greatest(n - 2, F.lit(0)))
-    window = F.zip_with(F.slice(pair, F.lit(1), F.greatest(n - 2, F.lit(0))), third, lambda p, c: F.xxhash64(p["a"], p["b"], c))
-    placed = F.array_sort(F.transform(window, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    before = F.concat(F.array(F.lit(None)), placed)
-    after = F.slice(placed, F.lit(2), F.greatest(F.size(placed), F.lit(1)))
-    marked = F.zip_with(F.zip_with(placed, before, lambda x, y: F.struct(x["h"].alias("h"), x["i"].alias("i"), y["h"].alias("p"))), after, lambda x, y: F.when((x["h"] == x["p"]) | (x["h"] == y["h"]), x["i"]))
-    places = F.array_sort(F.filter(marked, lambda i: i.isNotNull()))
-    gaps = F.zip_with(places, F.slice(places, F.lit(2), F.greatest(F.size(places), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-    return F.when(n < 4, 0).otherwise(F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x))
+def _with_repeat_words(df: DataFrame) -> DataFrame:
+    """df(__words, n_words) with n_repeat_words: words inside 3-word windows that occur twice or more.
+
+    Every array that several expressions read is a column of its own step, so it is computed once.
+    """
+    inner = F.greatest(F.size("__h") - 2, F.lit(0))
+    df = df.withColumn("__h", F.transform("__words", lambda w: F.xxhash64(w)))
+    pair = F.zip_with(F.slice("__h", F.lit(1), inner), F.slice("__h", F.lit(2), inner), lambda a, b: F.xxhash64(a, b))
+    window = F.zip_with(pair, F.slice("__h", F.lit(3), inner), lambda a, c: F.xxhash64(a, c))
+    df = df.withColumn("__placed", F.sort_array(F.transform(window, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    before = F.concat(F.array(F.lit(None)), F.transform("__placed", lambda x: x["h"]))
+    after = F.transform(F.slice("__placed", F.lit(2), F.greatest(F.size("__placed"), F.lit(1))), lambda x: x["h"])
+    beside = F.zip_with(before, after, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    marked = F.zip_with("__placed", beside, lambda x, y: F.when((x["h"] == y["p"]) | (x["h"] == y["q"]), x["i"]))
+    df = df.withColumn("__places", F.sort_array(F.filter(marked, lambda i: i.isNotNull())))
+    gaps = F.zip_with("__places", F.slice("__places", F.lit(2), F.greatest(F.size("__places"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
+    return df.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -95,8 +98,9 @@ def ledger(docs: DataFrame) -> DataFrame:
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         (F.length("__letters") - F.length(F.regexp_replace("__letters", r"\p{Lu}", ""))).cast("long").alias("n_upper"),
-        _repeat_words(F.col("__words"), n).cast("long").alias("n_repeat_words"),
+        "__words",
     )
+    measured = _with_repeat_words(measured).select(*own, *MEASURES)
     bits = [F.when(F.expr(r.fails), F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(RULES)]
     failures = bits[0].cast("long")
     for b in bits[1:]:
