@@ -7,8 +7,13 @@ that are unique in both are matched by patience diff (longest increasing run of
 grows over equal neighbours. An aligned block goes from the later document when it holds ``least_block``
 words in all.
 
-Tracing to the first holder makes pairs linear in the occurrences of a line, however frequent, so nothing is
-capped, and each later document needs only its own lines and the positions that they have in first holders:
+Lines alone miss passages whose lines repeat, stand in another order or were first held by several documents,
+so runs of consecutive lines are traced too: from every line on, and back from every line, the shortest run of
+``least_block`` words. Such a run is a block by itself, and it goes when an earlier document holds it in a row.
+Any longer shared run is made up of such runs, so all its lines go, also where its lines are all short.
+
+Tracing to the first holder makes pairs linear in the occurrences of a line or run, however frequent, so nothing
+is capped, and each later document needs only its own lines and the positions that they have in first holders:
 no document is sent to its partners. A line that repeats inside its own first document is kept.
 
 Results: null text stays null and an empty text stays empty; null doc_id rows stay as they are; rows that
@@ -22,8 +27,10 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +38,8 @@ from cairnspark.llm.common import BROADCAST_ROWS, Scratch, maybe_broadcast
 
 LEAST_WORDS = 8
 LEAST_BLOCK = 20
+PIECES = "doc_id long, text_key long, place int, line long, words int, n int"
+PIECE_ROWS = 50_000
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -78,29 +87,93 @@ def aligned(lines: list[tuple[int, int, int, int]], least_block: int) -> set[int
     return gone
 
 
+def runs(words: list[int], least_block: int) -> set[tuple[int, int]]:
+    """(place, lines) of the shortest runs of least_block words from and up to every line; a blank line (0 words) ends a run."""
+    found: set[tuple[int, int]] = set()
+    start = 0
+    for stop in [*(i for i, w in enumerate(words) if not w), len(words)]:
+        total, j = 0, start
+        for i in range(start, stop):
+            while j < stop and total < least_block:
+                total += words[j]
+                j += 1
+            if total < least_block:
+                break
+            found.add((i, j - i))
+            total -= words[i]
+        total, i = 0, stop
+        for j in range(stop, start, -1):
+            while i > start and total < least_block:
+                i -= 1
+                total += words[i]
+            if total < least_block:
+                break
+            found.add((i, j - i))
+            total -= words[j - 1]
+        start = stop + 1
+    return found
+
+
+def _pieces(least_block: int):
+    """Arrow batches of (doc_id, text_key, lines, words) to rows of PIECES: every line (n = 0) and every run of n lines."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in PIECES.split(", ")]
+        types = [pa.int64() if c.endswith("long") else pa.int32() for c in PIECES.split(", ")]
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+
+        for b in batches:
+            rows: list[tuple[int, int, int, int, int, int]] = []
+            at = b.column("lines").offsets.to_numpy()
+            at = at - at[0]
+            flat, counts = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("lines", "words"))
+            for k, (doc, key) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist())):
+                own = flat[at[k] : at[k + 1]]
+                words = counts[at[k] : at[k + 1]].tolist()
+                rows.extend((doc, key, i, line, w, 0) for i, (line, w) in enumerate(zip(own.tolist(), words)) if w)
+                raw = own.tobytes()
+                for i, n in runs(words, least_block):
+                    name = int.from_bytes(blake2b(raw[8 * i : 8 * (i + n)], digest_size=8).digest(), "little", signed=True)
+                    rows.append((doc, key, i, name, sum(words[i : i + n]), n))
+                if len(rows) >= PIECE_ROWS:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
+
+    return cut
+
+
 def shared_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, least_block: int = LEAST_BLOCK) -> DataFrame:
     """(doc_id, text_key, gone): the line positions that each later document loses."""
     space = r"[\x20\x09-\x0D]+"
     text = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines"))
-    lines = text.select("doc_id", "text_key", F.posexplode("lines").alias("place", "line")).where(F.length(F.trim("line")) > 0)
-    lines = lines.select("doc_id", "text_key", "place", F.xxhash64("line").alias("line"), F.size(F.split(F.trim("line"), space)).alias("words"))
-    # the first holder of each line; partial minima keep a frequent line small before the shuffle
+    words = F.transform("lines", lambda x: F.when(F.length(F.trim(x)) > 0, F.size(F.split(F.trim(x), space))).otherwise(0))
+    text = text.select("doc_id", "text_key", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"), words.alias("words"))
+    lines = Scratch(docs.sparkSession).keep(text.mapInArrow(_pieces(least_block), PIECES))
+    # the first holder of each line and run; partial minima keep a frequent line small before the shuffle
     holder = F.struct("doc_id", "text_key", "place")
     first = lines.groupBy("line").agg(F.min(holder).alias("first"), F.max(F.struct("doc_id", "text_key")).alias("last"))
     first = first.where("first.doc_id != last.doc_id").select("line", F.col("first.doc_id").alias("first_id"), F.col("first.place").alias("first_place"))
     mine = lines.join(first, "line").where("doc_id != first_id")
-    found = mine.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_id", "place", "line", "first_place", "words")).alias("found"))
+    found = mine.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_id", "place", "line", "first_place", "words", "n")).alias("found"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             gone = []
             for own in f["found"]:
                 by = defaultdict(list)
+                whole: set[int] = set()
                 for x in own:
+                    if x["n"]:
+                        whole.update(range(x["place"], x["place"] + x["n"]))
+                        continue
                     by[x["first_id"]].append((x["place"], x["line"], x["first_place"], x["words"]))
                 # only documents that share a telling line with that holder are aligned with it
                 telling = [v for v in by.values() if max(x[3] for x in v) >= least_words]
-                gone.append(sorted({p for v in telling for p in aligned(v, least_block)}))
+                gone.append(sorted(whole.union(*(aligned(v, least_block) for v in telling))))
             yield pd.DataFrame({"doc_id": f["doc_id"], "text_key": f["text_key"], "gone": gone})
 
     return found.mapInPandas(run, "doc_id long, text_key long, gone array<int>").where(F.size("gone") > 0)

@@ -74,6 +74,24 @@ def test_op2_blocks(spark):
     assert dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_op2_repeated_moved_and_mixed_runs(spark):
+    say = [f"passage {i} has nine words of its own here" for i in range(12)]
+    rows = [
+        (1, "\n".join([say[0], "again and again", say[0], "again and again", say[0], "again and again"])),
+        (2, "\n".join(["second start", say[0], "again and again", say[0], "again and again", say[0], "again and again"])),  # no line is unique
+        (3, "\n".join([say[1], "third", say[2], "third", say[3]])),
+        (4, "\n".join([say[1], say[2], say[3], say[4]])),
+        (5, "\n".join([say[1], say[2], say[3], say[4], "fifth end"])),  # lines first held by 3 and by 4, the run by 4
+        (6, "\n".join(["sixth start", *say[9:12], "between", *say[6:9]])),
+        (7, "\n".join(["seventh start", *say[6:9], "other", *say[9:12]])),  # passages of 6 in another order
+        (8, "\n".join(["one two three"] * 3)),  # 9 words in all: no block
+        (9, "\n".join(["ninth", *["one two three"] * 3])),
+    ]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got[2] == ("second start", 6) and got[5] == ("fifth end", 4) and got[7] == ("seventh start\nother", 6)
+    assert all(got[i] == (rows[i - 1][1], 0) for i in (1, 3, 4, 6, 8, 9))
+
+
 def test_op4_against_brute_force_and_ablations(spark):
     rows = [(1, "a b c a b c " * 20), (2, None), (3, ""), (4, " ".join(f"word{i}" for i in range(80))), (5, "w\nw\n\nw | & #")]
     got = {r["doc_id"]: r for r in ledger(docs(spark, rows)).collect()}
