@@ -17,7 +17,7 @@ is capped, and each later document needs only its own lines and the positions th
 no document is sent to its partners. A line that repeats inside its own first document is kept.
 
 Results: null text stays null and an empty text stays empty; null doc_id rows stay as they are; rows that
-repeat a doc_id are aligned each by its own text, and a document is never its own partner; extra columns stay
+repeat a doc_id are aligned each by its own text, a repeated row like a single one, and a document is never its own partner; extra columns stay
 (one named n_removed is replaced); an empty table gives an empty result. A document that loses all
 its lines stays, with empty text.
 """
@@ -158,7 +158,8 @@ def shared_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, least_block:
     first = lines.groupBy("line").agg(F.min(holder).alias("first"), F.max(F.struct("doc_id", "text_key")).alias("last"))
     first = first.where("first.doc_id != last.doc_id").select("line", F.col("first.doc_id").alias("first_id"), F.col("first.place").alias("first_place"))
     mine = lines.join(first, "line").where("doc_id != first_id")
-    found = mine.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_id", "place", "line", "first_place", "words", "n")).alias("found"))
+    # a set: a row that stands several times counts once, and partial sets keep it small before the shuffle
+    found = mine.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first_id", "place", "line", "first_place", "words", "n")).alias("found"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -11,7 +11,7 @@ from cairnspark.llm import queries as Q
 from cairnspark.llm.compression_toxicity import toxicity
 from cairnspark.llm.importance_resampling import resample, top_k
 from cairnspark.llm.jaccard_join import jaccard_components, one_of_each
-from cairnspark.llm.line_dedup import dedup_lines, patience
+from cairnspark.llm.line_dedup import dedup_lines, patience, shared_blocks
 from cairnspark.llm.packing import pack_documents
 from cairnspark.llm.page_difference import common_lines, extract, page_lines
 from cairnspark.llm.robust_graph import Graph, search
@@ -92,6 +92,15 @@ def test_op2_repeated_moved_and_mixed_runs(spark):
     assert all(got[i] == (rows[i - 1][1], 0) for i in (1, 3, 4, 6, 8, 9))
 
 
+def test_op2_repeated_rows(spark):
+    say = [f"passage {i} has nine words of its own here" for i in range(6)]
+    first, later = (1, "\n".join(["first start", *say])), (2, "\n".join(["second start", *say]))
+    got = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in dedup_lines(docs(spark, [first] * 3 + [later] * 40)).collect())
+    assert got == [(*first, 0)] * 3 + [(2, "second start", 6)] * 40
+    n = docs(spark, [first] * 3 + [later] * 40)
+    assert [sorted(r["gone"]) for r in shared_blocks(n).collect()] == [[1, 2, 3, 4, 5, 6]]
+
+
 def test_op4_against_brute_force_and_ablations(spark):
     rows = [(1, "a b c a b c " * 20), (2, None), (3, ""), (4, " ".join(f"word{i}" for i in range(80))), (5, "w\nw\n\nw | & #")]
     got = {r["doc_id"]: r for r in ledger(docs(spark, rows)).collect()}
