@@ -55,7 +55,8 @@ def usable(vector: str = "embedding") -> Column:
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     """(node, vec_id, vector) of the k + 1 smallest ids of each distinct vector; node is the vector's hash."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    # a repeated row takes one place only; partial aggregation leaves one of its rows a task
+    salted = rows.dropDuplicates(["node", "vec_id"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
     some = salted.withColumn("r", F.row_number().over(Window.partitionBy("node", "salt").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     few = some.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     return few.drop("salt", "r")

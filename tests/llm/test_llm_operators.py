@@ -276,3 +276,9 @@ def test_pipeline_packs_what_its_stages_keep(spark):
     t = tokenizer()
     sizes = {r["doc_id"]: len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in held.collect()}
     check_packs(corpus_pipeline.run(spark, SF).collect(), sizes)
+
+
+def test_op8_repeated_rows_share_a_vector(spark):
+    rows = [(0, [1.0, 0.1])] + [(5, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in range(6, 31)] + [(i, [-1.0, 0.0]) for i in range(41, 50)]
+    found = search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).where("query_id = 0").collect()
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == list(range(5, 25))
