@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import contextlib
+import logging
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees; a temporary one only where the session names none (tests)."""
+    """The folder that every executor sees; a temporary one only in a local session that names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="cairnspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -47,9 +52,11 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            with contextlib.suppress(Exception):
-                path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+            try:
                 path.getFileSystem(conf).delete(path, True)
+            except Py4JError as e:  # a table that stays costs disk only
+                logging.getLogger(__name__).warning("scratch table %s stays: %s", path, e)
 
 
 def maybe_broadcast(small: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -62,6 +69,31 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def byte_groups(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts as bytes) of runs of rows of about so many bytes together; null is empty."""
+    first, held, n = 0, [], 0
+    for k, t in enumerate(texts):
+        t = t.as_buffer().to_pybytes() if t.is_valid else b""
+        if held and n + len(t) > most:
+            yield first, held
+            first, held, n = k, [], 0
+        held.append(t)
+        n += len(t)
+    if held:
+        yield first, held
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def worker_caches(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Spark reuses Python workers: an operator that starts a task here frees what other operators keep here."""
+    for name in [x for x in _caches if x != owner]:
+        _caches.pop(name)()
+    if clear:
+        _caches[owner] = clear
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected edges (a, b): least reachable node, by hooking and shortcuts.
 

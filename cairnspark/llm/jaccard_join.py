@@ -8,11 +8,13 @@ filters, then expand to members that are verified on whole sets.
 
 Large families of near copies never become all pairs: each member is first verified against one hub a
 shingle, then against its neighbour in size, and only pairs that still lie in different components are tried
-afterwards, through every shared prefix shingle. No candidate is capped, so components are exact.
+afterwards, through every shared prefix shingle, if the parity bits of both sets do not already show that
+they differ in too many shingles. No candidate is capped, so components are exact.
 
 Results: documents with null or word-free text have n_shingles 0 and are their own component; repeated rows
 keep one row each; extra columns are ignored; an empty table gives an empty result. A null doc_id is a
-document like any other, with a null component unless it is linked.
+document like any other: it links others, and its component is null unless a member has an id. Sets are told
+apart by size and a 64-bit digest of their shingles' 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnspark.llm.common import Scratch, components, maybe_broadcast, text_or_empty
+from cairnspark.llm.common import Scratch, byte_groups, components, maybe_broadcast, text_or_empty, worker_caches
 from cairnspark.llm.word_hash import shingle_sets
 
-#: Documents that are hashed together inside an Arrow batch.
-CHUNK = 500
+#: Longs of a set's parity bits.
+PARITY = 8
 
 
 @dataclass(frozen=True)
@@ -64,24 +66,29 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _sets(batch: pa.RecordBatch, n_words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    text = batch.column(batch.schema.get_field_index("text"))
-    for at in range(0, batch.num_rows, CHUNK):
-        part = text.slice(at, CHUNK).cast(pa.binary()).to_pylist()
-        yield at, list(shingle_sets([(t or b"").lower() for t in part], n_words))
+    for at, part in byte_groups(batch.column(batch.schema.get_field_index("text"))):
+        yield at, list(shingle_sets([t.lower() for t in part], n_words))
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each bit: two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def shingle_digests(docs: DataFrame, n_words: int = 5) -> DataFrame:
-    """(doc_id, n, sid): size and digest of each document's shingle set."""
+    """(doc_id, text_key, n, sid): size and digest of each document's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_caches("shingles")
         for b in batches:
             for at, sets in _sets(b, n_words):
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64())],
-                    ["doc_id", "n", "sid"],
+                    [b.column(0).slice(at, len(sets)), b.column(1).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64())],
+                    ["doc_id", "text_key", "n", "sid"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n long, sid long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, text_key long, n long, sid long")
 
 
 def _prefix_rows(docs: DataFrame, n_words: int, at_least: Threshold) -> DataFrame:
@@ -92,6 +99,7 @@ def _prefix_rows(docs: DataFrame, n_words: int, at_least: Threshold) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_caches("shingles")
         for b in batches:
             seen: dict[int, np.ndarray] = {}
             for _, sets in _sets(b, n_words):
@@ -125,9 +133,10 @@ def _prefix_rows(docs: DataFrame, n_words: int, at_least: Threshold) -> DataFram
 
 
 def _set_rows(docs: DataFrame, n_words: int) -> DataFrame:
-    """(sid, n, tokens): whole sets."""
+    """(sid, n, tokens, bits): whole sets and their parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_caches("shingles")
         for b in batches:
             for at, sets in _sets(b, n_words):
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -137,11 +146,12 @@ def _set_rows(docs: DataFrame, n_words: int) -> DataFrame:
                         pa.array([_digest(s) for s in sets], pa.int64()),
                         pa.array(sizes),
                         pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, PARITY * len(sets) + 1, PARITY, dtype=np.int32)), pa.array(np.concatenate([_parity(s) for s in sets]))),
                     ],
-                    ["sid", "n", "tokens"],
+                    ["sid", "n", "tokens", "bits"],
                 )
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "sid long, n long, tokens array<long>")
+    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "sid long, n long, tokens array<long>, bits array<long>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
@@ -153,7 +163,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: Threshold = Threshold()) -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id) of every row of docs(doc_id, text, ...)."""
+    """(doc_id, text_key, n_shingles, component, component_id) of every row of docs(doc_id, text, ...).
+
+    component is the smallest set digest of the component, component_id its smallest doc_id.
+    """
     spark, t = docs.sparkSession, threshold
     scratch = Scratch(spark)
     digests = scratch.keep(shingle_digests(docs, n_words))
@@ -165,9 +178,10 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: Threshold =
     tested = rows.select("sid", F.when(F.col("known") > 0, F.col("known")).when(F.min("sid").over(by_token) != F.max("sid").over(by_token), 1).otherwise(0).alias("hits"))
     hits = tested.where("hits > 0").groupBy("sid").agg(F.sum("hits").alias("hits"))
     low = F.ceil(F.col("n") * t.num / t.den)
-    able = scratch.keep(hits.join(reps, "sid").where(F.col("hits") >= F.floor(low / 8) + 1).select("sid", "n", F.col("rep").alias("doc_id")).where("doc_id is not null"))
+    able = scratch.keep(hits.join(reps, "sid").where(F.col("hits") >= F.floor(low / 8) + 1).select("sid", "n", "rep"))
     n_able = able.count()
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(maybe_broadcast(able.select("doc_id"), n_able), "doc_id", "left_semi")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    whole = whole.join(maybe_broadcast(able.select("rep"), n_able), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     sets = _set_rows(whole, n_words).join(maybe_broadcast(able.select("sid", "n"), n_able), ["sid", "n"], "left_semi")
     sets = scratch.keep(sets.dropDuplicates(["sid"]))
 
@@ -194,6 +208,12 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: Threshold =
     def sized(na: str, nb: str):
         return t.den * F.least(na, nb) >= t.num * F.greatest(na, nb)
 
+    def alike(na: str, ba: str, nb: str, bb: str):
+        """Parity filter: sets that differ in more shingles than the overlap allows are no link; unknown bits pass."""
+        odd = sum((F.bit_count(F.col(ba)[i].bitwiseXOR(F.col(bb)[i])) for i in range(PARITY)), F.lit(0))
+        most = F.col(na) + F.col(nb) - 2 * F.ceil(t.num * (F.col(na) + F.col(nb)) / (t.num + t.den))
+        return F.col(ba).isNull() | F.col(bb).isNull() | (odd <= most)
+
     def place(links: DataFrame) -> DataFrame:
         """(gid, sid, n, component) of all members under the links so far."""
         label = components(scratch, links)
@@ -217,19 +237,21 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: Threshold =
     members = place(links)
 
     # last round: all candidates that still lie apart
-    spread = members.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    placed = entries.join(spread, "gid").select("token", "gid", "n", "left", F.when(F.col("low") == F.col("high"), F.col("low")).alias("one"))
+    spread = members.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    bits = sets.select(F.col("sid").alias("gid"), "bits")
+    placed = entries.join(spread, "gid").select("token", "gid", "n", "left", F.when(F.col("low") == F.col("high"), F.col("low")).alias("one"), (F.col("size") == 1).alias("single"))
     main = F.max_by("one", "same").over(by_token)
     placed = placed.withColumn("same", F.count("one").over(Window.partitionBy("token", "one")))
     placed = placed.withColumn("main", main).withColumn("others", F.count(F.when(F.col("one").isNull() | (F.col("one") != F.col("main")), 1)).over(by_token)).where("others > 0")
+    placed = placed.join(bits, "gid").withColumn("bits", F.when(F.col("single"), F.col("bits")))  # members of a group share the prefix alone
     step = lambda n: F.floor(F.log(n) / F.log(F.lit(1.08)))
-    index = placed.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("one").alias("ob"), step(F.col("n")).alias("band"))
-    probe = placed.where("one is null or one != main").select("token", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("one").alias("oa"))
+    index = placed.select("token", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"), F.col("one").alias("ob"), F.col("bits").alias("bb"), step(F.col("n")).alias("band"))
+    probe = placed.where("one is null or one != main").select("token", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("one").alias("oa"), F.col("bits").alias("ba"))
     most = F.floor((F.col("la") * (t.num + t.den)) / t.num - F.col("na"))
     probe = probe.withColumn("most", F.least(most, F.floor(F.col("na") * t.den / t.num))).where(F.col("most") >= F.ceil(F.col("na") * t.num / t.den))
     probe = probe.withColumn("band", F.explode(F.sequence(step(F.ceil(F.col("na") * t.num / t.den)), step(F.col("most")))))
     apart = F.col("oa").isNull() | F.col("ob").isNull() | (F.col("oa") != F.col("ob"))
-    pairs = probe.join(index, ["token", "band"]).where((F.col("a") != F.col("b")) & apart & fits("na", "la", "nb", "lb"))
+    pairs = probe.join(index, ["token", "band"]).where((F.col("a") != F.col("b")) & apart & fits("na", "la", "nb", "lb") & alike("na", "ba", "nb", "bb"))
     within = spread.where("low != high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(within).distinct()
     left = members.select(F.col("gid").alias("a"), F.col("sid").alias("sa"), F.col("component").alias("ca"))
@@ -243,16 +265,33 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: Threshold =
 
     # smallest doc_id of each component, over all copies
     owner = reps.join(final, F.col("sid") == F.col("node")).select("sid", "n", "component", "rep")
-    least = owner.select("sid", "n", F.min("rep").over(Window.partitionBy("component")).alias("least"))
-    linked = scratch.keep(least)
-    known = reps.join(linked, ["sid", "n"], "left").select("sid", "n", F.coalesce("least", "rep").alias("component_id"))
-    known = known.join(digests.where("n > 0"), ["sid", "n"], "right").select("doc_id", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), "component_id")
-    none = digests.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.col("doc_id").alias("component_id"))
+    linked = scratch.keep(owner.select("sid", "n", "component", F.min("rep").over(Window.partitionBy("component")).alias("least")))
+    known = reps.join(linked, ["sid", "n"], "left").select("sid", "n", F.coalesce("component", "sid").alias("component"), F.coalesce("least", "rep").alias("component_id"))
+    known = known.join(digests.where("n > 0"), ["sid", "n"], "right").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component", "component_id")
+    none = digests.where("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return known.unionByName(none)
 
 
 def one_of_each(docs: DataFrame, n_words: int = 5, threshold: Threshold = Threshold()) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id; texts without words all stay."""
-    later = jaccard_components(docs, n_words, threshold).where("component_id < doc_id").select("doc_id").distinct()
-    later = Scratch(docs.sparkSession).keep(later)
-    return docs.join(maybe_broadcast(later), "doc_id", "left_anti")
+    """One row of docs for each component: of its smallest doc_id (null only if no member has an id).
+
+    Rows are told apart by id and text, so a doc_id that repeats loses only the texts that are copies. Of rows
+    with the same id and text one stays. Texts without words are no copies and all stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(jaccard_components(docs, n_words, threshold).where("n_shingles > 0"))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    heads = found.where(first).groupBy("component").agg(F.min("text_key").alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    rivals = found.where(first).join(heads, "component").where("text_key != best")
+    later = found.where(~first).select("doc_id", "text_key").unionByName(rivals.select("doc_id", "text_key"))
+    later = scratch.keep(later.distinct().select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")))
+    twice = found.groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    twice = scratch.keep(twice)
+    n_twice = twice.count()
+    keyed = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__text", F.xxhash64("text"))
+    same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    kept = keyed.join(maybe_broadcast(later), same, "left_anti")
+    if not n_twice:
+        return kept.select(docs.columns)
+    again = kept.join(maybe_broadcast(twice, n_twice), same, "left_semi").dropDuplicates(["__doc", "__text"])
+    return kept.join(maybe_broadcast(twice, n_twice), same, "left_anti").unionByName(again).select(docs.columns)
