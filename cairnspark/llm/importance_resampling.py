@@ -24,21 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnspark.llm.common import Scratch, maybe_broadcast, text_or_empty
+from cairnspark.llm.common import Scratch, byte_groups, maybe_broadcast, text_or_empty, worker_caches
 from cairnspark.llm.word_hash import ngrams, word_hashes
 
 #: Buckets of the n-gram models: what a task sends and a scorer holds is bounded by it.
 BUCKETS = 1 << 16
 STRENGTH = 40.0
 SEED = 11
-CHUNK = 500
 
 
 def _bags(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Buckets of the words and word pairs of each text."""
-    text = batch.column(batch.schema.get_field_index("text"))
-    for at in range(0, batch.num_rows, CHUNK):
-        texts = [(t or b"").lower() for t in text.slice(at, CHUNK).cast(pa.binary()).to_pylist()]
+    for at, part in byte_groups(batch.column(batch.schema.get_field_index("text"))):
+        texts = [t.lower() for t in part]
         words, counts = word_hashes(texts)
         out, first = [], 0
         for n in counts.tolist():
@@ -52,6 +50,7 @@ def ngram_counts(docs: DataFrame, group: str) -> DataFrame:
     """(group, bucket, n): n-gram counts over all documents, by a boolean column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_caches("ngrams")
         total = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
             flag = b.column(b.schema.get_field_index(group)).to_pylist()
@@ -87,6 +86,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, strength: float = STRENGTH, seed:
     table = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float64))  # BUCKETS doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_caches("ngrams")
         for b in batches:
             for at, bags in _bags(b):
                 mean = [float(table.value[x].mean()) if len(x) else 0.0 for x in bags]

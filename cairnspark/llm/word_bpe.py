@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairnspark.llm.common import text_or_empty
+from cairnspark.llm.common import text_or_empty, worker_caches
 
 PIECE = 1 << 19
 #: Distinct runs without white space whose encodings a worker keeps between batches.
-KEPT_RUNS = 500_000
+KEPT_RUNS = 250_000
 END = "</w>"
 #: Letter of the end mark in the entries' trie; stand-in letters are below it.
 MARK = 511
@@ -58,12 +58,13 @@ class WordBpe:
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, int] = {}
-        for k, (a, b) in enumerate(merges):
+        for k, (a, b) in enumerate(() if library else merges):
             left, right, both = self.ids[a], self.ids[b], self.ids[a + b]
             self.rank[left, right] = k
             self.parts[both] = left, right
             self.made[both] = k
-        self._suffixes()
+        if not library:
+            self._suffixes()
         self.letters = _byte_letters()
         self.plain = all(self.letters[b] == chr(b) for b in range(33, 127))
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -258,6 +259,7 @@ _loaded: dict[tuple, WordBpe] = {}
 
 def load(path: str, form: Callable[[list[int], WordBpe], Any] | None = None, library: bool = False) -> WordBpe:
     """One encoder a worker, file and form."""
+    worker_caches("word_bpe", _loaded.clear)
     key = path, getattr(form, "__name__", None), library
     if key not in _loaded:
         _loaded[key] = WordBpe(path, form, library)

@@ -2,7 +2,7 @@
 
 Words are maximal runs of bytes other than space and 0x09-0x0D. ``bytes.lower`` folds A-Z only, and
 UTF-8 never uses those bytes inside a multi-byte character, so byte-wise work equals code-point work.
-Texts are hashed in blocks of about a megabyte, so memory does not follow the longest text.
+Texts are hashed in blocks of about 256 KB, so memory does not follow the longest text.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
