@@ -95,22 +95,37 @@ def worker_caches(owner: str, clear: Callable[[], None] | None = None) -> None:
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """(node, component) of the undirected edges (a, b): least reachable node, by hooking and shortcuts.
+    """(node, component) of the undirected edges (a, b): the least reachable node, by hooking and contraction.
 
-    Every round halves label chains at least, and each round is a written table.
+    Every node hooks to its least neighbour, pointers are doubled until the hooks are flat, and the edges are
+    renamed and those inside one component dropped, so rounds after the first work on few edges. Each step is a
+    written table.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.keep(both)
-    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
-        hooked = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "near").alias("hook"), F.col("component").alias("old"))
-        up = labels.select(F.col("node").alias("up"), F.col("component").alias("upper"))
-        after = hooked.join(up, F.col("hook") == F.col("up"), "left").select("node", F.least("hook", "upper").alias("component"), "old")
+
+    def changed(df: DataFrame) -> bool:
+        return bool(df.limit(1).count())
+
+    edges = scratch.keep(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
+    while labels is None or changed(edges):
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("up")))
+        while True:
+            above = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            flatter = scratch.keep(hooks.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            scratch.drop(hooks)
+            hooks = flatter.select("node", "up")
+            hooks._scratch_path = flatter._scratch_path
+            if not changed(flatter.where("moved")):
+                break
+        if labels is None:
+            after = hooks.select("node", F.col("up").alias("component"))
+        else:
+            after = labels.join(hooks.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
         after = scratch.keep(after)
-        moved = after.where(F.col("component") != F.col("old")).limit(1).count()
-        scratch.drop(labels)
-        labels = after
-        if not moved:
-            scratch.drop(both)
-            return labels.select("node", "component")
+        renamed = edges.join(hooks.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(hooks.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b").where("ua != ub")
+        fewer = scratch.keep(renamed.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+        scratch.drop(edges, hooks, *([labels] if labels is not None else []))
+        edges, labels = fewer, after
+    scratch.drop(edges)
+    return labels
