@@ -1,11 +1,11 @@
-"""Main text of web pages: structure marks first, nearest-URL page differencing for what they leave open.
+"""Main text of web pages: nearest-URL page differencing outside article containers, structure marks for the rest.
 
-A page is cut into lines, one a block element. Marks decide where they can: scripts, menus, footers, adverts,
-forms, comments and the like go, and the lines of an article container stay. Lines that no mark decides are
-compared with the nearest pages of the same host: pages are ordered by host and path, each is paired with the
-neighbour whose path agrees on more leading segments (the other neighbour if that one holds every open line of
-the page, as a copy tells nothing), both are aligned by a longest common subsequence of lines, and open lines on it
-are deleted.
+A page is cut into lines, one a block element. Every line outside an article container is compared with the
+nearest pages of the same host: pages are ordered by host and path, each is paired with the neighbour whose path
+agrees on more leading segments (the other neighbour if that one holds every unmarked line of the page, as a copy
+tells nothing), both are aligned by a longest common subsequence of lines, and lines on it are deleted. Marks
+decide the rest: scripts, menus, footers, adverts, forms, comments and the like go although no neighbour has
+them, and the lines of an article container stay although a neighbour has them.
 
 The order is a range partitioning of (host, path) keys, so a host with a third of all pages spreads over many
 tasks, and neighbours across partition borders are found from the borders alone. Only line hashes are shuffled.
@@ -192,12 +192,12 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return sorted(out)
 
 
-def shared_open(lines: list[int], opened: list[int], partners: list[list[int] | None]) -> list[int]:
-    """Open positions to delete: those on the common subsequence with the nearest page that is no copy."""
+def shared_outside(lines: list[int], outside: list[int], opened: list[int], partners: list[list[int] | None]) -> list[int]:
+    """Positions outside article containers on the common subsequence with the nearest page that leaves an unmarked line, if there are any."""
     for other in partners:
         if other:
-            gone = set(common_lines(lines, other)) & set(opened)
-            if len(gone) < len(opened):
+            gone = set(common_lines(lines, other)).intersection(outside)
+            if not opened or not gone.issuperset(opened):
                 return sorted(gone)
     return []
 
@@ -213,7 +213,7 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def line_hashes(keyed: DataFrame) -> DataFrame:
-    """(key, host, path, lines, opened): hashes of all lines of each page and the positions of the open ones."""
+    """(key, host, path, lines, outside, opened): hashes of all lines of each page, the positions of those outside article containers, and of the unmarked ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,10 +221,10 @@ def line_hashes(keyed: DataFrame) -> DataFrame:
                 part = b.slice(at, CHUNK)
                 found = [page_lines(h) for h in part.column(3).to_pylist()]
                 hashes = pa.array([[_hash(x) for x, _ in f] for f in found], pa.list_(pa.int64()))
-                opened = pa.array([[i for i, (_, s) in enumerate(f) if s == OPEN] for f in found], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), hashes, opened], ["key", "host", "path", "lines", "opened"])
+                outside, opened = (pa.array([[i for i, (_, s) in enumerate(f) if s in states] for f in found], pa.list_(pa.int32())) for states in ((DROP, OPEN), (OPEN,)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), hashes, outside, opened], ["key", "host", "path", "lines", "outside", "opened"])
 
-    return keyed.select("key", "host", "path", "html").mapInArrow(run, "key long, host string, path string, lines array<long>, opened array<int>")
+    return keyed.select("key", "host", "path", "html").mapInArrow(run, "key long, host string, path string, lines array<long>, outside array<int>, opened array<int>")
 
 
 def nearest(scratch: Scratch, urls: DataFrame) -> DataFrame:
@@ -253,19 +253,19 @@ def nearest(scratch: Scratch, urls: DataFrame) -> DataFrame:
 
 
 def shared_lines(keyed: DataFrame) -> DataFrame:
-    """(key, gone): the open lines that each page shares with its nearest page."""
+    """(key, gone): the lines outside article containers that each page shares with its nearest page."""
     scratch = Scratch(keyed.sparkSession)
     pages = scratch.keep(line_hashes(keyed).dropDuplicates(["key"]))
-    undecided = pages.where(F.size("opened") > 0)
-    pairs = nearest(scratch, pages).join(undecided.select("key", "lines", "opened"), "key")
+    compared = pages.where(F.size("outside") > 0).select("key", "lines", "outside", "opened")
+    pairs = nearest(scratch, pages).join(compared, "key")
     other = pages.select(F.col("key").alias("other"), F.col("lines").alias("theirs"))
-    met = pairs.join(other, F.col("first") == F.col("other"), "left").select("key", "lines", "opened", "second", F.col("theirs").alias("near"))
-    met = met.join(other, F.col("second") == F.col("other"), "left").select("key", "lines", "opened", "near", F.col("theirs").alias("far"))
+    met = pairs.join(other, F.col("first") == F.col("other"), "left").select("key", "lines", "outside", "opened", "second", F.col("theirs").alias("near"))
+    met = met.join(other, F.col("second") == F.col("other"), "left").select("key", "lines", "outside", "opened", "near", F.col("theirs").alias("far"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pylist()
-            gone = [shared_open(r["lines"], r["opened"], [r["near"], r["far"]]) for r in rows]
+            gone = [shared_outside(r["lines"], r["outside"], r["opened"], [r["near"], r["far"]]) for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
 
     return met.mapInArrow(run, "key long, gone array<int>").where(F.size("gone") > 0)

@@ -51,7 +51,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return extract(table(spark, sf_dir, "pages"))
 
 
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
