@@ -1,20 +1,18 @@
 """Line dedup by pairwise alignment: delete from later documents the blocks that they share with earlier ones.
 
-Documents overlap when they share a line that is rare enough to mean something: it has at least
-``least_words`` words, so frequent short lines pair nobody. Every shared line is traced to the first
-document (smallest doc_id) that has it, and a later document is aligned with each such document: the lines
-that are unique in both are matched by patience diff (longest increasing run of positions), and each match
-grows over equal neighbours. An aligned block goes from the later document when it holds ``least_block``
-words in all.
-
-Lines alone miss passages whose lines repeat, stand in another order or were first held by several documents,
-so runs of consecutive lines are traced too: from every line on, and back from every line, the shortest run of
-``least_block`` words. Such a run is a block by itself, and it goes when an earlier document holds it in a row.
-Any longer shared run is made up of such runs, so all its lines go, also where its lines are all short.
-
-Tracing to the first holder makes pairs linear in the occurrences of a line or run, however frequent, so nothing
-is capped, and each later document needs only its own lines and the positions that they have in first holders:
-no document is sent to its partners. A line that repeats inside its own first document is kept.
+Every shared line is traced to the first document (smallest doc_id) that has it, and so is every shared run of
+consecutive lines that is just ``least_block`` words long. A later document overlaps with such a first holder when
+they share a rare line (``least_words`` words or more, at most ``rare`` occurrences in all) or a run, however
+frequent: frequent single lines pair nobody. Each such pair is aligned by patience diff: lines that stand once in
+either document, and runs, are the anchors; the longest series of anchors in the same order is kept, and each
+grows over equal neighbours (blank lines don't count). An aligned block goes from the later document when it
+holds ``least_block`` words in all; a run that stands in another order is a block by itself.
+
+Any block of that many words without a blank line is made up of such runs, so no shared block is lost because its
+lines were first seen in several documents or are frequent. Tracing to the first holder makes pairs linear in the
+occurrences of a line or run, so nothing is capped, and each later document needs only its own lines and the
+positions that they have in first holders: no document is sent to its partners. A line that repeats inside its own
+first document is kept.
 
 Results: null text stays null and an empty text stays empty; null doc_id rows stay as they are; rows that
 repeat a doc_id are aligned each by its own text, a repeated row like a single one, and a document is never its own partner; extra columns stay
@@ -28,17 +26,19 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.llm.common import BROADCAST_ROWS, Scratch, maybe_broadcast
+from cairnspark.llm.common import BROADCAST_ROWS, Scratch, maybe_broadcast, worker_caches
 
 LEAST_WORDS = 8
 LEAST_BLOCK = 20
-PIECES = "doc_id long, text_key long, place int, line long, words int, n int"
+RARE = 100
+PIECES = "doc_id long, text_key long, place int, rank int, line long, words int, n int, times int"
 PIECE_ROWS = 50_000
 
 
@@ -59,27 +59,29 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned(lines: list[tuple[int, int, int, int]], least_block: int) -> set[int]:
-    """Positions that go, of one document's (position, line, first position there, words) shared with one other.
+def aligned(lines: list[tuple[int, int, bool]], runs: list[tuple[int, int, int]], words: dict[int, int], least_block: int) -> set[int]:
+    """Ranks that go of one document, from what it shares with one other.
 
-    Lines that repeat here are no anchors; they join a block beside one.
+    lines has (rank here, rank there, whether the line stands once in either), runs (rank here, rank there, lines),
+    words those of each shared line here. Lines that repeat are no anchors; they join a block beside one.
     """
-    held = Counter(line for _, line, _, _ in lines)
-    anchors = patience(sorted((here, there) for here, line, there, _ in lines if held[line] == 1))
-    there_of = {here: there for here, _, there, _ in lines}
-    words = {here: n for here, _, _, n in lines}
-    matched = dict(anchors)
-    for here, there in anchors:
+    anchors = {(here, there): 1 for here, there, once in lines if once} | {(here, there): n for here, there, n in runs}
+    matched: dict[int, int] = {}
+    for here, there in patience(sorted(anchors, key=lambda a: (a[0], -a[1]))):
+        for k in range(anchors[here, there]):
+            matched.setdefault(here + k, there + k)
+    there_of = {here: there for here, there, _ in lines}
+    for here, there in list(matched.items()):
         for step in (-1, 1):
             k = 1
             while here + step * k not in matched and there_of.get(here + step * k) == there + step * k:
                 matched[here + step * k] = there + step * k
                 k += 1
-    gone: set[int] = set()
+    gone = {here + k for here, _, n in runs for k in range(n)}
     block: list[int] = []
     for here in [*sorted(matched), None]:
         if block and (here is None or here != block[-1] + 1 or matched[here] != matched[block[-1]] + 1):
-            if sum(words[x] for x in block) >= least_block:
+            if sum(words.get(x, 0) for x in block) >= least_block:
                 gone.update(block)
             block = []
         if here is not None:
@@ -124,19 +126,22 @@ def _pieces(least_block: int):
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
+        worker_caches("line_dedup")
         for b in batches:
-            rows: list[tuple[int, int, int, int, int, int]] = []
+            rows: list[tuple[int, ...]] = []
             at = b.column("lines").offsets.to_numpy()
             at = at - at[0]
             flat, counts = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("lines", "words"))
             for k, (doc, key) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text_key").to_pylist())):
                 own = flat[at[k] : at[k + 1]]
                 words = counts[at[k] : at[k + 1]].tolist()
-                rows.extend((doc, key, i, line, w, 0) for i, (line, w) in enumerate(zip(own.tolist(), words)) if w)
+                rank = list(accumulate((w > 0 for w in words), initial=0))
+                times = Counter(own.tolist())
+                rows.extend((doc, key, i, rank[i], line, w, 0, times[line]) for i, (line, w) in enumerate(zip(own.tolist(), words)) if w)
                 raw = own.tobytes()
                 for i, n in runs(words, least_block):
                     name = int.from_bytes(blake2b(raw[8 * i : 8 * (i + n)], digest_size=8).digest(), "little", signed=True)
-                    rows.append((doc, key, i, name, sum(words[i : i + n]), n))
+                    rows.append((doc, key, i, rank[i], name, sum(words[i : i + n]), n, 1))
                 if len(rows) >= PIECE_ROWS:
                     yield batch(rows)
                     rows = []
@@ -146,7 +151,7 @@ def _pieces(least_block: int):
     return cut
 
 
-def shared_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, least_block: int = LEAST_BLOCK) -> DataFrame:
+def shared_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, least_block: int = LEAST_BLOCK, rare: int = RARE) -> DataFrame:
     """(doc_id, text_key, gone): the line positions that each later document loses."""
     space = r"[\x20\x09-\x0D]+"
     text = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines"))
@@ -154,27 +159,31 @@ def shared_blocks(docs: DataFrame, least_words: int = LEAST_WORDS, least_block:
     text = text.select("doc_id", "text_key", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"), words.alias("words"))
     lines = Scratch(docs.sparkSession).keep(text.mapInArrow(_pieces(least_block), PIECES))
     # the first holder of each line and run; partial minima keep a frequent line small before the shuffle
-    holder = F.struct("doc_id", "text_key", "place")
-    first = lines.groupBy("line").agg(F.min(holder).alias("first"), F.max(F.struct("doc_id", "text_key")).alias("last"))
-    first = first.where("first.doc_id != last.doc_id").select("line", F.col("first.doc_id").alias("first_id"), F.col("first.place").alias("first_place"))
-    mine = lines.join(first, "line").where("doc_id != first_id")
+    holder = F.struct("doc_id", "text_key", "rank", "times")
+    first = lines.groupBy("line").agg(F.min(holder).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("held"))
+    first = first.where("first.doc_id != last").select("line", "first", (F.col("held") <= rare).alias("rare"))
+    mine = lines.join(first, "line").where("doc_id != first.doc_id")
     # a set: a row that stands several times counts once, and partial sets keep it small before the shuffle
-    found = mine.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first_id", "place", "line", "first_place", "words", "n")).alias("found"))
+    what = F.struct(F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"), F.col("first.rank").alias("there"), F.col("first.times").alias("first_times"), "rare", "place", "rank", "line", "words", "n", "times")
+    found = mine.groupBy("doc_id", "text_key").agg(F.collect_set(what).alias("found"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             gone = []
             for own in f["found"]:
                 by = defaultdict(list)
-                whole: set[int] = set()
                 for x in own:
-                    if x["n"]:
-                        whole.update(range(x["place"], x["place"] + x["n"]))
-                        continue
-                    by[x["first_id"]].append((x["place"], x["line"], x["first_place"], x["words"]))
-                # only documents that share a telling line with that holder are aligned with it
-                telling = [v for v in by.values() if max(x[3] for x in v) >= least_words]
-                gone.append(sorted(whole.union(*(aligned(v, least_block) for v in telling))))
+                    by[x["first_id"], x["first_key"]].append(x)
+                words = {x["rank"]: x["words"] for x in own if not x["n"]}
+                place = {x["rank"]: x["place"] for x in own if not x["n"]}
+                lost: set[int] = set()
+                for shared in by.values():
+                    runs = [(x["rank"], x["there"], x["n"]) for x in shared if x["n"]]
+                    # only documents that share a run or a rare line of some length are aligned
+                    if runs or any(x["rare"] and x["words"] >= least_words for x in shared):
+                        lines = [(x["rank"], x["there"], x["times"] == x["first_times"] == 1) for x in shared if not x["n"]]
+                        lost |= aligned(lines, runs, words, least_block)
+                gone.append(sorted(place[x] for x in lost if x in place))
             yield pd.DataFrame({"doc_id": f["doc_id"], "text_key": f["text_key"], "gone": gone})
 
     return found.mapInPandas(run, "doc_id long, text_key long, gone array<int>").where(F.size("gone") > 0)
