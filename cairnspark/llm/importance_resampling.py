@@ -82,7 +82,7 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, strength: float = STRENGTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, log_ratio, key) of every row of docs."""
+    """(doc_id, text_key, log_ratio, key) of every row of docs."""
     table = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float64))  # BUCKETS doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +90,9 @@ def weigh(docs: DataFrame, ratios: np.ndarray, strength: float = STRENGTH, seed:
         for b in batches:
             for at, bags in _bags(b):
                 mean = [float(table.value[x].mean()) if len(x) else 0.0 for x in bags]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(bags)), pa.array(mean, pa.float64())], ["doc_id", "log_ratio"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(bags)), b.column(1).slice(at, len(bags)), pa.array(mean, pa.float64())], ["doc_id", "text_key", "log_ratio"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, log_ratio double")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, text_key long, log_ratio double")
     share = (F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)).bitwiseAND((1 << 52) - 1) + F.lit(0.5)) / F.lit(float(1 << 52))
     return found.withColumn("key", F.col("log_ratio") * strength - F.log(-F.log(share)))
 
@@ -119,7 +119,7 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, strength: float = STRENGTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, log_ratio, key, selected) of every row of docs."""
+    """(doc_id, text_key, log_ratio, key, selected) of every row of docs."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
     n_known, n_good = known.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
     good = maybe_broadcast(known.where("label = 1").select(F.col("doc_id").alias("__good")), n_good)
