@@ -3,6 +3,10 @@
 toxicity and the quality classifier reject documents, line dedup deletes shared blocks (documents that lose
 all their lines go), the n-gram Jaccard join keeps one document of each group, packing returns the pieces.
 All stages but the last return the columns of documents.
+
+Every stage takes null ids and texts, empty texts, repeated rows and empty tables: a null text is an empty one, a
+row with a null id is judged like any other, rows that repeat an id are told apart by their texts, and of rows
+with the same id and text the n-gram Jaccard join keeps one unless the text has no words.
 """
 
 from __future__ import annotations
@@ -19,9 +23,11 @@ from cairnspark.llm.queries import vocabulary
 
 
 def _keep(docs: DataFrame, verdict: DataFrame, stays: str) -> DataFrame:
-    """docs without the ids of rejected rows; a null doc_id has no verdict and stays."""
-    gone = Scratch(docs.sparkSession).keep(verdict.where(f"not ({stays})").select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(docs.columns)
+    """docs without rejected rows, told apart by id and text; repeated rows share their verdict unless one of them stays."""
+    by = verdict.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max(F.expr(stays).cast("int")).alias("stays"))
+    gone = Scratch(docs.sparkSession).keep(by.where("stays = 0").drop("stays"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__key"))
+    return docs.join(maybe_broadcast(gone), same, "left_anti").select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
