@@ -25,8 +25,19 @@ STRUCTURE_MARKS = (
     r"^（[一二三四五六七八九十]+）",
     r"^\([一二三四五六七八九十]+\)",
     r"^\d+[、．.\s]",
+    r"^(原告|被告|第三人|诉讼请求|事实与理由|事实和理由|证据目录|证据清单|判决如下|裁定如下|本院认为|经审理查明|审判长|审判员)",
     r"^第[一二三四五六七八九十百千\d]+[条章节款项]",
+    r"^\[(?:Non-Text|Image|Figure|Chart|Table)\]",
 )
+#: Level and pattern of headings in texts without Markdown headings, and the longest that is a heading.
+PLAIN_HEADINGS = (
+    (1, r"^[^\S\n]*(第[一二三四五六七八九十百千零〇\d]+[章编](?:[^\S\n]+\S.*)?)$"),
+    (2, r"^[^\S\n]*(第[一二三四五六七八九十百千零〇\d]+[节節部]分?(?:[^\S\n]+\S.*)?)$"),
+    (1, r"(?i)^[ \t]*((?:Chapter|Section|Part)\s+(?:\d+|[IVXLCDM]+)\b.*)$"),
+    (1, r"(?i)^[ \t]*((?:Kapitel|Abschnitt|Teil)\s+(?:\d+|[IVXLCDM]+)\b.*)$"),
+    (2, r"^[ \t]*([一二三四五六七八九十]+、\s*\S.*)$"),
+)
+LONGEST_HEADING = 40
 TITLE_PATTERNS = (
     r"#{1,4}[^\S\n]+.+",
     r"[^\S\n]*第[一二三四五六七八九十百千\d]+[章编]([^\S\n]+\S[^\n]*)?",

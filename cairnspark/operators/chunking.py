@@ -24,7 +24,8 @@ LAW_MARKS = r"(?m)^(?=第[一二三四五六七八九十百千\d]+条|本院认
 PAPER_TITLES = ("Abstract", "Introduction", "Methods?", "Methodology", "Materials? and Methods?", "Results?", "Discussion", "Conclusions?", "References", "Bibliography", "Acknowledgements?", "Appendix", r"Related\s+Work", "Background", r"Experiment(?:s|al)?(?:\s+(?:Setup|Results))?", "Evaluation", "Limitations?", r"Future\s+Work")
 PAPER_MARKS = r"(?mi)^(?=(?:\d+\.?\s+)?(?:" + "|".join(PAPER_TITLES) + r")\s*$)"
 QA_PAIR = r"(?ms)^\s*(?:Q|问)\s*[:：]\s*(.*?)\s*^\s*(?:A|答)\s*[:：]\s*(.*?)(?=^\s*(?:Q|问)\s*[:：]|\Z)"
-STRUCTURE = "(?m)(?=" + "|".join((*T.STRUCTURE_MARKS, r"^#{1,6}\s+")) + ")"
+MARKS = "|".join((*(m.replace("^(原告", "^(?:原告") for m in T.STRUCTURE_MARKS), r"^#{1,6}\s+"))
+STRUCTURE = f"(?m)(?={MARKS})"
 TABLE = r"(?ms)(<table>.*?</table>|(?:^\|.*\|$\n?){2,})"
 SENTENCE_END = r"(?<=[。！？.!?\n])"
 
@@ -123,23 +124,15 @@ def fixed(text: str, size: int = CHILD, overlap: int = OVERLAP, slack: int = 50)
 def parents(text: str, most: int = PARENT) -> list[str]:
     """Parts by the densest structure of a text, packed up to a size; tables stay whole."""
     headings = len(re.findall(T.HEADING, text))
-    marks = len(re.findall("(?m)" + "|".join(T.STRUCTURE_MARKS), text))
+    marks = sum(1 for _ in re.finditer("(?m)" + "|".join(T.STRUCTURE_MARKS), text))
     tried = ["paragraph"]
     if marks >= 2:
         tried.insert(0, "structure")
     if headings >= 3:
         tried.insert(0, "heading")
     for how in tried:
-        rough: list[str] = []
-        for k, part in enumerate(re.split(TABLE, text)):
-            if k % 2:
-                rough.append(part.strip())
-            else:
-                split = {"heading": r"(?m)(?=^#{1,6}\s+)", "structure": STRUCTURE, "paragraph": r"\n\n+"}[how]
-                rough += [p.strip() for p in re.split(split, part) if p.strip()]
-        whole = re.compile(TABLE)
-        fine = [q for p in rough for q in ([p] if len(p) <= most or whole.fullmatch(p) else sentences(p, most))]
-        packed = pack(fine, most, "\n\n") if how == "paragraph" else fine
+        rough, whole = units(text, how), re.compile(TABLE)
+        packed = normalise(rough, most) if how == "paragraph" else [q for p in rough for q in ([p] if len(p) <= most or whole.fullmatch(p) else sentences(p, most))]
         if how == tried[-1] or all(LEAST <= len(p) <= most for p in packed):
             return packed
     return [text]
@@ -149,13 +142,14 @@ def children(parent: str, size: int = CHILD) -> list[str]:
     """Units at structure marks, packed up to a size, tiny ones joined to a neighbour."""
     if re.fullmatch(TABLE, parent):
         return [parent]
-    units = [u.strip() for u in re.split(STRUCTURE, parent) if u.strip()]
-    if len(units) < 2:
+    parts = [u.strip() for u in re.split(STRUCTURE, parent) if u.strip()]
+    if len(parts) < 2:
         return fixed(parent, size)
-    fine = [q for u in units for q in fixed(u, size)]
+    fine = [q for u in parts for q in fixed(u, size)]
     out: list[str] = []
+    crumbs = Breadcrumb(parent)
     for u in fine:
-        heading = re.match(r"#{1,6}\s|第[一二三四五六七八九十百千\d]+[章节]", u)
+        heading = crumbs.heading(u.split("\n", 1)[0])  # a chapter starts a child of its own
         if out and not heading and (len(u) < LEAST or len(out[-1]) < LEAST or len(out[-1]) + len(u) < size // 2) and len(out[-1]) + len(u) + 1 <= size:
             out[-1] += "\n" + u
         else:
@@ -164,17 +158,90 @@ def children(parent: str, size: int = CHILD) -> list[str]:
 
 
 class Breadcrumb:
-    """H4: the stack of headings above a place."""
+    """H4: the stack of headings above a place: Markdown headings, or others in a text that has none of those."""
 
-    def __init__(self) -> None:
+    def __init__(self, text: str = "") -> None:
         self.stack: list[tuple[int, str]] = []
+        self.plain = [] if re.search(T.HEADING, text) else [(level, re.compile(p)) for level, p in T.PLAIN_HEADINGS]
+
+    def heading(self, line: str) -> tuple[int, str] | None:
+        if m := re.match(r"(#{1,6})\s+(.+)$", line.strip()):
+            return len(m[1]), f"{m[1]} {m[2].strip()}"
+        for level, p in self.plain:
+            if m := p.match(line):
+                title = m[1].strip()
+                return (level, title) if len(title) <= T.LONGEST_HEADING else None
+        return None
 
     def feed(self, text: str) -> str:
-        for m in re.finditer(r"(?m)^(#{1,6})[^\S\n]+(.+)$", text):
-            self.stack = [x for x in self.stack if x[0] < len(m[1])] + [(len(m[1]), m[2].strip())]
+        for line in text.split("\n"):
+            if found := self.heading(line):
+                self.stack = [x for x in self.stack if x[0] < found[0]] + [found]
         return " > ".join(t for _, t in self.stack)
 
 
+SPLITS = {"heading": r"(?m)(?=^#{1,6}\s+)", "structure": STRUCTURE, "paragraph": r"\n\n+"}
+
+
+def units(text: str, how: str) -> list[str]:
+    """Parts of a text at its headings, structure marks or blank lines; tables are parts of their own."""
+    out: list[str] = []
+    for k, part in enumerate(re.split(TABLE, text)):
+        if k % 2:
+            out.append(part.strip())
+        elif how == "table":
+            out += [part.strip()] if part.strip() else []
+        else:
+            out += [p.strip() for p in re.split(SPLITS[how], part) if p.strip()]
+    return out
+
+
+def normalise(parts: list[str], most: int = PARENT) -> list[str]:
+    """Neighbours joined by a blank line while they fit; tables stay as they are, longer parts are cut into sentences."""
+    out: list[str] = []
+    open_part = False
+    for p in parts:
+        table = p.startswith("<table>") or bool(re.fullmatch(TABLE, p))
+        if table or len(p) > most:
+            out += [p] if table else sentences(p, most)
+            open_part = False
+        elif open_part and len(out[-1]) + 2 + len(p) <= most:
+            out[-1] += "\n\n" + p
+        else:
+            out.append(p)
+            open_part = True
+    return out
+
+
+def split_documents(docs: DataFrame, how: str) -> DataFrame:
+    """(doc_id, part, text) of docs(doc_id, text); how is heading, structure, table, paragraph or normal."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            cut = [normalise(units(t or "", "paragraph")) if how == "normal" else units(t or "", how) for t in f["text"]]
+            rows = [(d, i, p) for d, parts in zip(f["doc_id"], cut, strict=True) for i, p in enumerate(parts)]
+            yield pd.DataFrame(rows, columns=["doc_id", "part", "text"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, part int, text string")
+
+
+def heading_trails(docs: DataFrame) -> DataFrame:
+    """H4: (doc_id, line, text, trail) of every line that is no heading, with the headings above it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for d, t in zip(f["doc_id"], f["text"], strict=True):
+                crumbs = Breadcrumb(t or "")
+                for i, line in enumerate((t or "").split("\n")):
+                    trail = crumbs.feed(line)
+                    if line.strip() and not crumbs.heading(line):
+                        rows.append((d, i, line, trail))
+            yield pd.DataFrame(rows, columns=["doc_id", "line", "text", "trail"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, line int, text string, trail string")
+
+
 def chunk_text(text: str | None, mode: str = "naive") -> list[tuple[int, int, str, str, str]]:
     """(parent number, child number, parent, child, breadcrumb) of one text."""
     body = (text or "").strip()
@@ -195,7 +262,7 @@ def chunk_text(text: str | None, mode: str = "naive") -> list[tuple[int, int, st
         split = [(body, [body])]
     else:
         split = [(p, children(p)) for p in parents(body)]
-    out, n, crumbs = [], 0, Breadcrumb()
+    out, n, crumbs = [], 0, Breadcrumb(body)
     for k, (p, cs) in enumerate(split):
         for c in cs:
             out.append((k, n, p, c, crumbs.feed(c)))
@@ -232,5 +299,5 @@ def enforce_limits(chunks: DataFrame, parent: int = PARENT * 2, child: int = CHI
 
 def section_paths(chunks: DataFrame) -> DataFrame:
     """(doc_id, child_index, section_path, element_type) of chunk rows."""
-    path = F.transform(F.filter(F.split("context_header", " > "), lambda x: x != ""), lambda x: F.substring(x, 1, 40))
+    path = F.transform(F.filter(F.split("context_header", " > "), lambda x: x != ""), lambda x: F.substring(F.regexp_replace(x, "^#{1,6} ", ""), 1, 40))
     return chunks.select("doc_id", "child_index", path.alias("section_path"), T.element_type(F.col("child")).alias("element_type"))

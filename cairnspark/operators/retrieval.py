@@ -5,8 +5,6 @@ Hits are rows (query_id, chunk_id, score, ...). Ties rank by chunk_id, so every
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,8 +16,10 @@ from cairnspark.functions import text as T
 from cairnspark.functions import vectors as V
 
 RRF_K = 60
-#: Vectors of a query set that tasks hold at once; larger sets run in blocks.
-QUERY_BLOCK = 4096
+#: Vectors and queries that meet in one task, and queries whose scores are held at once.
+SHARD_ROWS, QUERY_BLOCK, TILE = 20_000, 4096, 256
+#: Query terms that may be broadcast.
+BROADCAST_TERMS = 1_000_000
 
 
 def ranked(hits: DataFrame, by: list[str], k: int | None = None, score: str = "score") -> DataFrame:
@@ -40,58 +40,63 @@ def scope(chunks: DataFrame, kb_ids: list | None = None, doc_types: list | None
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k rows of vectors(chunk_id, vector) of largest cosine for each of queries(query_id, vector).
 
-    Queries are a stated set: they go out in blocks, every Arrow batch keeps the k best of each query, and
-    these partial lists are ranked again.
+    Vectors are dealt to shards and queries to blocks, both of bounded size; a shard meets a block in one task,
+    keeps the k best of each query, and these partial lists are ranked again. Nothing passes through the driver
+    but two counts.
     """
-    asked = queries.select("query_id", V.as_double(F.col("vector")).alias("vector")).toLocalIterator()
-    blocks: list[tuple[list[int], np.ndarray]] = []
-    ids: list = []
-    rows: list = []
-
-    def seal() -> None:
-        if ids:
-            q = np.array(rows, float)
-            size = np.linalg.norm(q, axis=1, keepdims=True)
-            blocks.append((list(ids), np.divide(q, size, out=np.zeros_like(q), where=size > 0)))
-            ids.clear()
-            rows.clear()
-
-    for r in asked:
-        ids.append(r["query_id"])
-        rows.append(r["vector"])
-        if len(ids) == QUERY_BLOCK:
-            seal()
-    seal()
-    parts = []
-    for held_ids, held in blocks:
-        known = vectors.sparkSession.sparkContext.broadcast((held_ids, held))
-
-        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            qs, q = known.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.array(b.column(1).to_pylist(), float)
-                size = np.linalg.norm(x, axis=1)
-                s = q @ x.T
-                s = np.divide(s, size[None, :], out=np.zeros_like(s), where=size[None, :] > 0)
-                chunk = b.column(0).to_numpy(zero_copy_only=False)
-                best = np.lexsort((np.broadcast_to(chunk, s.shape), -np.round(s, 12)), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, best.shape[1])), pa.array(chunk[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], ["query_id", "chunk_id", "score"])
-
-        parts.append(vectors.select(F.col("chunk_id").cast("long"), V.as_double(F.col("vector")).alias("vector")).mapInArrow(run, "query_id long, chunk_id long, score double"))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranked(out.withColumn("score", F.round("score", 12)), ["query_id"], k)
-
-
-def term_weights(docs: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf) of docs(chunk_id, text)."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
-    return docs.select("chunk_id", F.explode(words).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n, m = vectors.count(), queries.count()
+    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // QUERY_BLOCK))
+    each = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+    v = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), V.as_double(F.col("vector")).alias("vector"), F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), each(blocks, "block"))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), V.as_double(F.col("vector")).alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each(shards, "shard"))
+
+    def unit(rows: pa.Table) -> np.ndarray:
+        x = np.array(rows.column("vector").to_pylist(), float)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        who, what, how = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            x, asked = unit(left), unit(right)
+            chunk, ids = left.column("chunk_id").to_numpy(), right.column("query_id").to_numpy()
+            for first in range(0, len(asked), TILE):
+                scores = np.round(asked[first : first + TILE] @ x.T, 12)
+                least = np.partition(scores, max(0, len(x) - k), axis=1)[:, max(0, len(x) - k)]
+                for i, row in enumerate(scores):
+                    near = np.flatnonzero(row >= least[i])
+                    near = near[np.lexsort((chunk[near], -row[near]))][:k]
+                    who.append(np.full(len(near), ids[first + i]))
+                    what.append(chunk[near])
+                    how.append(row[near])
+        return pa.table([pa.array(np.concatenate(c)) for c in (who, what, how)], ["query_id", "chunk_id", "score"])
+
+    by = ["shard", "block"]
+    found = v.groupBy(*by).cogroup(q.groupBy(*by)).applyInArrow(run, "query_id long, chunk_id long, score double")
+    return ranked(found, ["query_id"], k)
+
+
+def words(text: str = "text") -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
+
+
+def _hinted(terms: DataFrame) -> DataFrame:
+    """Distinct query terms; a broadcast only where their counted rows are few."""
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+
+
+def term_weights(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, term, dl, tf) of docs(chunk_id, text), of the terms(term) alone if given; dl is the number of words."""
+    split = docs.select("chunk_id", words().alias("words"))
+    rows = split.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    if terms is not None:
+        rows = rows.join(_hinted(terms), "term", "left_semi")
+    return rows.groupBy("chunk_id", "term").agg(F.first("dl").alias("dl"), F.count(F.lit(1)).alias("tf"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): distinct words of queries(query_id, text)."""
+    return queries.select("query_id", F.explode(F.array_distinct(words())).alias("term"))
 
 
 def sparse_topk(weights: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -102,21 +107,17 @@ def sparse_topk(weights: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of docs(chunk_id, text) for queries(query_id, text); one shuffle by term, after the query terms filter it.
+    """BM25 of docs(chunk_id, text) for queries(query_id, text): words that no query has go before the first shuffle.
 
-    Document lengths and document frequencies come with the same postings; idf is ln(1 + (N - df + 0.5) / (df + 0.5)).
+    Document lengths come with the postings; idf is ln(1 + (N - df + 0.5) / (df + 0.5)).
     """
-    postings = term_weights(docs)
-    asked = term_weights(queries.select(F.col("query_id").alias("chunk_id"), "text")).select(F.col("chunk_id").alias("query_id"), "term")
-    words = F.size(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1))
-    sized = docs.select("chunk_id", words.alias("dl"))
-    total = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    used = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    asked = query_terms(queries)
+    used = term_weights(docs, asked.select("term").distinct())
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(words())).alias("avgdl"))
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(total)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")  # total is one row
-    scored = used.join(idf, "term").join(sized, "chunk_id")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = scored.withColumn("part", part).join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    hits = used.join(asked.join(idf, "term"), "term").withColumn("part", part).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
     return ranked(hits.withColumn("score", F.round("score", 9)), ["query_id"], k)
 
 
@@ -145,6 +146,29 @@ def lexical_rerank(hits: DataFrame, query: str = "query", content: str = "conten
     return hits.withColumn("rerank", F.when(F.size(q) > 0, F.size(F.array_intersect(q, c)) / F.size(q)).otherwise(0.0))
 
 
+def project_hits(rows: DataFrame, fields: list[str], score: str) -> DataFrame:
+    """The output fields that the rows have, null for those that they lack, and the score."""
+    return rows.select(*[F.col(f) if f in rows.columns else F.lit(None).cast("string").alias(f) for f in fields], F.col(score).alias("score"))
+
+
+def merge_predicates(parts: list[str | None]) -> str | None:
+    """All predicates that are not blank, each in parentheses; none gives no predicate."""
+    kept = [f"({p.strip()})" for p in parts if p and p.strip()]
+    return " AND ".join(kept) or None
+
+
+def position_score(hits: DataFrame, by: list[str], score: str = "score") -> DataFrame:
+    """H3: 1 / (1 + place), places from 0."""
+    return ranked(hits, by, score=score).withColumn("position_score", 1 / F.col("rank"))
+
+
+def coarse_rank(events: DataFrame, by: str = "query_id") -> DataFrame:
+    """events(query_id, ordinal, vector, query_vector, base) by cosine, by base where a vector is missing; ties keep their order."""
+    score = F.coalesce(V.cosine(F.col("vector"), F.col("query_vector")), F.col("base")).cast("double")
+    scored = events.withColumn("score", F.when(F.col("vector").isNull() | F.col("query_vector").isNull(), F.col("base").cast("double")).otherwise(score))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), "ordinal")))
+
+
 def penalised(score: Column, content: Column) -> Column:
     """J7"""
     return F.when(T.is_fragment(content), score * 0.5).otherwise(score)
@@ -220,6 +244,21 @@ def seen_before(hits: DataFrame) -> DataFrame:
     return hits.select("*", old.alias("already_retrieved")).withColumn("content", F.when(F.col("already_retrieved"), "").otherwise(F.col("content")))
 
 
+def source_list(sources: DataFrame, most: int = 100_000) -> Column:
+    """The sources(source, n) that every question fans out to, as one array value; a longer list is refused."""
+    rows = sources.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a question fans out to {most} sources at most")
+    return F.array(*[F.struct(F.lit(r["source"]).alias("source"), F.lit(r["n"]).cast("long").alias("n")) for r in rows])
+
+
+def first_rows(rows: DataFrame, by: str, order: str, k: int, salts: int = 64) -> DataFrame:
+    """The k first rows of each group, cut in salted parts first, so that no task sorts a whole hot group."""
+    salted = rows.withColumn("__s", F.pmod(F.xxhash64(order), F.lit(salts)))
+    some = salted.withColumn("__r", F.row_number().over(Window.partitionBy(by, "__s").orderBy(order))).where(F.col("__r") <= k)
+    return some.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("__r") <= k).drop("__s", "__r")
+
+
 def pack_context(hits: DataFrame, budget: int) -> DataFrame:
     """Numbered texts of each query while they fit; nothing after the first that does not."""
     w = Window.partitionBy("query_id").orderBy("rank")

@@ -293,10 +293,9 @@ def b14(spark, sf):
     return merge_counters(old, table(spark, sf, "events").select(F.col("user_id").alias("key"), "ts")).withColumnRenamed("key", "c_custkey")
 
 
-@query("b17_orphans", "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) AND page_id < 200")
+@query("b17_orphans", "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def b17(spark, sf):
-    p = table(spark, sf, "pages").where("page_id < 200").select("page_id")
-    return p.join(table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("page_id")), "page_id", "left_anti")
+    return table(spark, sf, "pages").select("page_id").join(table(spark, sf, "labels").select(F.col("doc_id").alias("page_id")), "page_id", "left_anti")
 
 
 @query("b19_xml_output", "SELECT item_id, '<result rank=\"' || item_id || '\">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</result>' AS xml FROM benchmark")
