@@ -42,6 +42,13 @@ def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     return sure.unionByName(held.select("x.query_id", "chunk_id"))
 
 
+def chunk_pages(chunks: DataFrame, letters: int = 50) -> DataFrame:
+    """(doc_id, page) of chunks(doc_id, chunk, pages): the page, from 1, that holds the chunk's first letters nearest to its own start."""
+    anchored = chunks.select("doc_id", F.substring(F.trim("chunk"), 1, letters).alias("anchor"), F.posexplode("pages").alias("page", "text")).where("anchor <> ''")
+    found = anchored.select("doc_id", (F.col("page") + 1).alias("page"), F.instr("text", F.col("anchor")).alias("at")).where("at > 0")
+    return found.groupBy("doc_id").agg(F.min(F.struct("at", "page"))["page"].alias("page"))
+
+
 def first_hits(hits: DataFrame, gold: DataFrame) -> DataFrame:
     """(query_id, first): rank of the first right hit of every question with gold."""
     right = hits.join(gold.select("query_id", F.col("doc_id").alias("chunk_id")), ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))

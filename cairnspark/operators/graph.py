@@ -6,6 +6,8 @@ Upserts are unions reduced by key, so a merge is one shuffle and repeated eviden
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +17,7 @@ def upsert_entities(old: DataFrame | None, new: DataFrame) -> DataFrame:
     """Rows (kb_id, name, type, doc_ids, seq) merged by name: first type that is not empty, union of documents."""
     rows = new if old is None else old.unionByName(new)
     kind = F.min(F.when(F.coalesce("type", F.lit("")) != "", F.struct("seq", "type")))
-    return rows.groupBy("kb_id", "name").agg(kind["type"].alias("type"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("doc_ids")))).alias("doc_ids"), F.min("seq").alias("seq"))
+    return rows.groupBy("kb_id", "name").agg(kind["type"].alias("type"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("doc_ids")))).alias("doc_ids"), F.min("seq").alias("seq"))
 
 
 def upsert_relations(rows: DataFrame, entities: DataFrame, by_evidence: bool = True) -> DataFrame:
@@ -169,3 +171,67 @@ def event_recall(mentions: DataFrame, chunks: DataFrame, seeds: DataFrame, expan
     found = ranked.join(chunks.select("event_id", "chunk_id"), "event_id").groupBy("query_id", "chunk_id").agg(F.min("place").alias("place"))
     at = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "chunk_id"))
     return found.withColumn("rank", at).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", F.round(1 / F.col("rank"), 9).alias("score"))
+
+
+def of_types(rows: DataFrame, types: list[str] | None, keep: DataFrame | None = None) -> DataFrame:
+    """rows(name, type, ...) of the listed types; no list, no filter; the centre names in keep(name) always stay."""
+    wanted = sorted({t.strip() for t in types or [] if t.strip()})
+    if not wanted:
+        return rows
+    if keep is None:
+        return rows.where(F.col("type").isin(*wanted))
+    centre = keep.select("name", F.lit(True).alias("__centre")).distinct()
+    return rows.join(centre, "name", "left").where(F.col("type").isin(*wanted) | F.col("__centre")).drop("__centre")
+
+
+def shared_mentions(mentions: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(event_id, other, shared): how many entities each of seeds(event_id) shares with every other event."""
+    own = mentions.join(seeds.select("event_id").distinct(), "event_id", "left_semi").select("event_id", "name").distinct()
+    other = mentions.select(F.col("event_id").alias("other"), "name").distinct()
+    return own.join(other, "name").where("event_id <> other").groupBy("event_id", "other").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def inside(relations: DataFrame, labels: DataFrame) -> DataFrame:
+    """Relations whose two ends lie in one community of labels(name, community)."""
+    ends = relations.join(labels.select(F.col("name").alias("source"), "community"), "source").join(labels.select(F.col("name").alias("target"), F.col("community").alias("__c")), "target")
+    return ends.where(F.col("community") == F.col("__c")).drop("__c")
+
+
+def line_entities(lines: DataFrame, extract: Callable[[Column], Column]) -> DataFrame:
+    """N1, first step: (doc_id, line, name) by an injected column function over text."""
+    return lines.select("doc_id", "line", F.explode(extract(F.col("text"))).alias("name"))
+
+
+def line_relations(found: DataFrame) -> DataFrame:
+    """N1, second step: (source, target, n): names that follow each other in the sorted list of one line."""
+    follows = F.lead("name").over(Window.partitionBy("doc_id", "line").orderBy("name"))
+    return found.withColumn("target", follows).where("target is not null").groupBy(F.col("name").alias("source"), "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def line_events(found: DataFrame) -> DataFrame:
+    """N1, third step: (doc_id, line, n_names): a line with two names or more is an event."""
+    return found.groupBy("doc_id", "line").agg(F.count_distinct("name").alias("n_names")).where("n_names >= 2")
+
+
+def write_subtask(found: DataFrame, canonical: Callable[[Column], Column]) -> DataFrame:
+    """(name, n_chunks, n_docs) of the entities that chunks name, under their canonical names, stamped with chunk and document."""
+    named = found.withColumn("name", canonical(F.col("name"))).where("name <> ''")
+    chunk = F.struct("doc_id", "line")
+    return named.groupBy("name").agg(F.count_distinct(chunk).alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+def dispatch(query: Column, has_store: Column, enabled: Column, with_events: Column, is_global: Column, top_k: Column, most: Column) -> Column:
+    """struct(route, communities, hits): which recall a question takes, whether community summaries come first, how many hits stay."""
+    route = F.when(~has_store | (F.trim(F.coalesce(query, F.lit(""))) == "") | ~enabled, "none").when(with_events, "events").otherwise("bridge")
+    hits = F.when(top_k > 0, F.least(top_k, most)).otherwise(most)
+    return F.struct(route.alias("route"), ((route != "none") & is_global).alias("communities"), F.when(route == "none", 0).otherwise(hits).cast("long").alias("hits"))
+
+
+def question_entities(tokens: Column, most: int = 8) -> Column:
+    """The names that a question is looked up by where no model gives any: its first tokens in order."""
+    return F.slice(F.array_sort(tokens), 1, most)
+
+
+def assembled(graph_on: Column, has_store: Column, lexical: Column) -> Column:
+    """The routes that a retriever is put together from."""
+    return F.array_compact(F.array(F.lit("dense"), F.when(lexical, "bm25"), F.when(graph_on & has_store, "graph")))

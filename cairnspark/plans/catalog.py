@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnspark.plans import governance, graph, retrieval, sources, streaming, text  # noqa: F401
+from cairnspark.plans import governance, graph, lifecycle, retrieval, routes, sources, streaming, text  # noqa: F401
 from cairnspark.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
