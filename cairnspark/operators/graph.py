@@ -6,6 +6,7 @@ Upserts are unions reduced by key, so a merge is one shuffle and repeated eviden
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -114,14 +115,28 @@ def with_events(nodes: DataFrame, mentions: DataFrame) -> DataFrame:
     return nodes.select(F.col("name").alias("id"), F.lit("entity").alias("node_type")).union(events.withColumn("node_type", F.lit("event")))
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows written to the shared checkpoint folder of the session; a local session may do without a named one."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cairnspark-"))
+    return rows.checkpoint()
+
+
 def communities(entities: DataFrame, relations: DataFrame, rounds: int = 5) -> DataFrame:
-    """(name, community) by synchronous label propagation: the label of most weight among the neighbours, ties to the smaller; a fixed number of rounds."""
+    """(name, community) by synchronous label propagation: the label of most weight among the neighbours, ties to the smaller; a fixed number of rounds.
+
+    Labels are checkpointed after each round, so the plan stays that of one round and a lost executor costs one.
+    """
     both = relations.select(F.col("source").alias("a"), F.col("target").alias("b"), "weight").union(relations.select("target", "source", "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
     labels = entities.select("name", F.col("name").alias("community"))
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("name", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("votes"))
         best = votes.groupBy("a").agg(F.min(F.struct((-F.col("votes")).alias("v"), "community")).alias("x")).select(F.col("a").alias("name"), F.col("x.community").alias("best"))
-        labels = labels.join(best, "name", "left").select("name", F.coalesce("best", "community").alias("community"))
+        labels = settled(labels.join(best, "name", "left").select("name", F.coalesce("best", "community").alias("community")))
     return labels
 
 

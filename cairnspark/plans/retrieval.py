@@ -11,7 +11,9 @@ from cairnspark.functions import vectors as V
 from cairnspark.operators import evaluation as E
 from cairnspark.operators import retrieval as R
 from cairnspark.plans.registry import query, table
+from cairnspark.providers import Providers, routed, sparse_route
 
+DEFAULTS = Providers()
 WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1)"
 DOC_TERMS = f"d AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents), t AS (SELECT doc_id, unnest(ws) AS term FROM d), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)"
 QUERY_TERMS = f"q AS (SELECT DISTINCT item_id, unnest({WORDS.format('text')}) AS term FROM benchmark)"
@@ -45,15 +47,11 @@ def bm25_hits(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
 
 
 def sparse_hits(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
-    q = R.query_terms(asked(spark, sf)).withColumn("weight", F.lit(1.0))
-    w = R.term_weights(chunks(spark, sf), q.select("term").distinct()).select("chunk_id", "term", F.sqrt(F.col("tf").cast("double")).alias("weight"))
-    return R.sparse_topk(w, q, k)
+    return sparse_route(chunks(spark, sf), asked(spark, sf), k)
 
 
-def routes(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    b = bm25_hits(spark, sf, k).select("query_id", F.lit("bm25").alias("route"), "chunk_id", "score", "rank")
-    s = sparse_hits(spark, sf, k).select("query_id", F.lit("sparse").alias("route"), "chunk_id", "score", "rank")
-    return b.unionByName(s)
+def routes(spark: SparkSession, sf: str, k: int = 20, providers: Providers = DEFAULTS) -> DataFrame:
+    return routed(chunks(spark, sf), asked(spark, sf), k, providers)
 
 
 ROUTES = BM25 + ", " + TF.split(QUERY_TERMS + ", ")[1] + ", r AS (SELECT query_id, 'bm25' AS route, chunk_id, score, rank FROM btop WHERE rank <= 20 UNION ALL SELECT query_id, 'sparse', chunk_id, score, rank FROM stop WHERE rank <= 20)"
@@ -106,10 +104,10 @@ def e9(spark, sf):
 FUSED = f"{ROUTES}, f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) * CASE WHEN chunk_id % 4 = 0 AND chunk_id % 8 <> 0 THEN 0.8::DOUBLE ELSE 1 END AS base FROM r GROUP BY query_id, chunk_id)"
 
 
-def fused(spark, sf):
+def fused(spark, sf, providers=DEFAULTS):
     kind = F.when(F.col("chunk_id") % 4 == 0, "table").otherwise("text")
     file_type = F.when(F.col("chunk_id") % 8 == 0, "csv").otherwise("txt")
-    return R.rrf(routes(spark, sf)).select("query_id", "chunk_id", (F.col("score") * R.type_weight(kind, file_type)).alias("base"))
+    return R.rrf(routes(spark, sf, providers=providers)).select("query_id", "chunk_id", (F.col("score") * R.type_weight(kind, file_type)).alias("base"))
 
 
 @query("j5_weighted_fusion", f"WITH {FUSED} SELECT query_id, chunk_id, round(base, 9) AS score FROM f")
@@ -122,9 +120,9 @@ RERANKED = f"""{FUSED}, rr AS (SELECT query_id, chunk_id, base, d2.text AS conte
  FROM f JOIN documents d2 ON d2.doc_id = chunk_id JOIN benchmark b ON b.item_id = query_id)"""
 
 
-def reranked(spark, sf):
-    hits = fused(spark, sf).join(chunks(spark, sf).withColumnRenamed("text", "content"), "chunk_id").join(asked(spark, sf).withColumnRenamed("text", "query"), "query_id")
-    return R.lexical_rerank(hits).withColumn("rerank", R.penalised(F.col("rerank"), F.col("content")))
+def reranked(spark, sf, providers=DEFAULTS):
+    hits = fused(spark, sf, providers).join(chunks(spark, sf).withColumnRenamed("text", "content"), "chunk_id").join(asked(spark, sf).withColumnRenamed("text", "query"), "query_id")
+    return providers.rerank(hits).withColumn("rerank", R.penalised(F.col("rerank"), F.col("content")))
 
 
 @query("j6_rerank", f"WITH {RERANKED} SELECT query_id, chunk_id, round(rerank, 9) AS rerank FROM rr")
@@ -152,9 +150,9 @@ COMPOSED = f"""{FILTERED}, c AS (SELECT query_id, chunk_id, base, rerank, conten
  final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM g)"""
 
 
-def hybrid(spark, sf, k=10):
+def hybrid(spark, sf, k=10, providers=DEFAULTS):
     """Fused, reranked, filtered and composed hits; the k best of each query."""
-    return R.ranked(R.composite(R.soft_threshold(reranked(spark, sf))), ["query_id"], k)
+    return R.ranked(R.composite(R.soft_threshold(reranked(spark, sf, providers))), ["query_id"], k)
 
 
 @query("j9_composite", f"WITH {COMPOSED} SELECT query_id, chunk_id, round(score, 9) AS score FROM g")
