@@ -1,6 +1,6 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
-The raw model counts hashed word unigrams and bigrams over all documents, the target model over the labelled
+The raw model counts hashed word unigrams and bigrams over all documents, in buckets whose number follows theirs, the target model over the labelled
 documents of good quality. A document's weight is the mean log ratio of the two models over its n-grams,
 times ``strength``; its key is the weight plus Gumbel noise that is a hash of its id and the seed. The rows of
 the k largest keys are a sample without replacement in proportion to the weights. k is, unless given, the
@@ -27,13 +27,18 @@ from pyspark.sql.window import Window
 from cairnspark.llm.common import Scratch, byte_groups, maybe_broadcast, text_or_empty, worker_caches
 from cairnspark.llm.word_hash import ngrams, word_hashes
 
-#: Buckets of the n-gram models: what a task sends and a scorer holds is bounded by it.
-BUCKETS = 1 << 16
+#: Buckets of the n-gram models: a power of two that follows the number of documents between these bounds; what a task sends and a scorer holds is bounded by the upper one.
+BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 22
 STRENGTH = 40.0
 SEED = 11
 
 
-def _bags(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
+def bucket_count(n_docs: int) -> int:
+    """One bucket for every two documents or more."""
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << max(0, (n_docs // 2 - 1).bit_length())))
+
+
+def _bags(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Buckets of the words and word pairs of each text."""
     for at, part in byte_groups(batch.column(batch.schema.get_field_index("text"))):
         texts = [t.lower() for t in part]
@@ -42,23 +47,23 @@ def _bags(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
         for n in counts.tolist():
             own = words[first : first + n]
             first += n
-            out.append((np.concatenate((own, ngrams(own, 2))) % np.uint64(BUCKETS)).astype(np.int64))
+            out.append((np.concatenate((own, ngrams(own, 2))) % np.uint64(buckets)).astype(np.int64))
         yield at, out
 
 
-def ngram_counts(docs: DataFrame, group: str) -> DataFrame:
+def ngram_counts(docs: DataFrame, group: str, buckets: int = BUCKETS) -> DataFrame:
     """(group, bucket, n): n-gram counts over all documents, by a boolean column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_caches("ngrams")
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros((2, buckets), np.int64)
         for b in batches:
             flag = b.column(b.schema.get_field_index(group)).to_pylist()
-            for at, bags in _bags(b):
+            for at, bags in _bags(b, buckets):
                 for k in (0, 1):
                     mine = [x for x, f in zip(bags, flag[at : at + len(bags)], strict=True) if bool(f) == bool(k)]
                     if mine:
-                        total[k] += np.bincount(np.concatenate(mine), minlength=BUCKETS)
+                        total[k] += np.bincount(np.concatenate(mine), minlength=buckets)
         for k in (0, 1):
             at = np.flatnonzero(total[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), bool(k))), pa.array(at.astype(np.int32)), pa.array(total[k][at])], ["grp", "bucket", "n"])
@@ -66,29 +71,28 @@ def ngram_counts(docs: DataFrame, group: str) -> DataFrame:
     return docs.select(group, text_or_empty().alias("text")).mapInArrow(run, "grp boolean, bucket int, n long").groupBy("grp", "bucket").agg(F.sum("n").alias("n"))
 
 
-def log_ratios(counts: DataFrame) -> np.ndarray:
+def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """log p(target) - log p(raw) by bucket, from at most two rows a bucket; each with add-one smoothing in the raw proportions."""
-    target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counts.collect():
-        raw[r["bucket"]] += r["n"]
-        if r["grp"]:
-            target[r["bucket"]] += r["n"]
+    rows = counts.toArrow()
+    group, bucket, n = (rows.column(c).to_numpy() for c in ("grp", "bucket", "n"))
+    raw = np.bincount(bucket, n, buckets)
+    target = np.bincount(bucket[group], n[group], buckets)
     if not target.sum():
-        return np.zeros(BUCKETS)
-    p = (raw + 1) / (raw.sum() + BUCKETS)
-    prior = min(float(BUCKETS), target.sum())
+        return np.zeros(buckets)
+    p = (raw + 1) / (raw.sum() + buckets)
+    prior = min(float(buckets), target.sum())
     q = (target + prior * p) / (target.sum() + prior)
     return np.log(q) - np.log(p)
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, strength: float = STRENGTH, seed: int = SEED) -> DataFrame:
     """(doc_id, text_key, log_ratio, key) of every row of docs."""
-    table = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float64))  # BUCKETS doubles
+    table = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float64))  # MOST_BUCKETS doubles at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_caches("ngrams")
         for b in batches:
-            for at, bags in _bags(b):
+            for at, bags in _bags(b, len(table.value)):
                 mean = [float(table.value[x].mean()) if len(x) else 0.0 for x in bags]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(bags)), b.column(1).slice(at, len(bags)), pa.array(mean, pa.float64())], ["doc_id", "text_key", "log_ratio"])
 
@@ -124,7 +128,8 @@ def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, streng
     n_known, n_good = known.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
     good = maybe_broadcast(known.where("label = 1").select(F.col("doc_id").alias("__good")), n_good)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(good, F.col("doc_id") == F.col("__good"), "left").select("doc_id", "text", F.col("__good").isNotNull().alias("good"))
-    ratios = log_ratios(ngram_counts(marked, "good"))
+    buckets = bucket_count(docs.count())
+    ratios = log_ratios(ngram_counts(marked, "good", buckets), buckets)
     scored = Scratch(docs.sparkSession).keep(weigh(docs, ratios, strength, seed))
     if keep is None:
         n = scored.count()
