@@ -6,10 +6,11 @@ shuffle of those prefixes drops all others. The rest is ordered by frequency, ra
 identical prefixes and size form one group. Groups meet on prefix shingles, pass the size and position
 filters, then expand to members that are verified on whole sets.
 
-Large families of near copies never become all pairs: each member is first verified against one hub a
-shingle, then against its neighbour in size, and only pairs that still lie in different components are tried
-afterwards, through every shared prefix shingle, if the parity bits of both sets do not already show that
-they differ in too many shingles. No candidate is capped, so components are exact.
+Large families of near copies never become all pairs: each group is first verified against the most central
+group that it shares a prefix shingle with (that whose shingles are most frequent on average), then, where it
+still lies apart, against the most central one of every shingle and its neighbour in size. Only pairs that lie
+in different components even then are tried through every shared prefix shingle, if the parity bits of both
+sets do not already show that they differ in too many shingles. No candidate is capped, so components are exact.
 
 Results: documents with null or word-free text have n_shingles 0 and are their own component; repeated rows
 keep one row each; extra columns are ignored; an empty table gives an empty result. A null doc_id is a
@@ -191,13 +192,14 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: Threshold =
     lists = shared.groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
     alone = F.col("n") - F.size("list")
     room = F.col("n") - low + 1 - alone
-    heads = lists.where(room > 0).select("sid", "n", alone.alias("alone"), F.transform(F.slice("list", F.lit(1), room.cast("int")), lambda x: x["token"]).alias("head"))
+    weight = F.aggregate("list", F.lit(0.0), lambda total, x: total + x["df"]) / F.col("n")
+    heads = lists.where(room > 0).select("sid", "n", alone.alias("alone"), weight.alias("weight"), F.transform(F.slice("list", F.lit(1), room.cast("int")), lambda x: x["token"]).alias("head"))
     heads = scratch.keep(heads.withColumn("head_id", F.xxhash64("head")))
     group = Window.partitionBy("head_id", "n", "alone")
     members = scratch.keep(heads.select("sid", "n", F.min("sid").over(group).alias("gid")))
     groups = heads.join(members.where("sid = gid").select("sid"), "sid")
-    entries = groups.select(F.col("sid").alias("gid"), "n", "alone", F.posexplode("head").alias("pos", "token"))
-    entries = scratch.keep(entries.select("token", "gid", "n", (F.col("n") - F.col("alone") - F.col("pos")).alias("left")))
+    entries = groups.select(F.col("sid").alias("gid"), "n", "alone", "weight", F.posexplode("head").alias("pos", "token"))
+    entries = scratch.keep(entries.select("token", "gid", "n", "weight", (F.col("n") - F.col("alone") - F.col("pos")).alias("left")))
     scratch.drop(heads)
 
     def fits(na: str, la: str, nb: str, lb: str):
@@ -214,27 +216,28 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: Threshold =
         most = F.col(na) + F.col(nb) - 2 * F.ceil(t.num * (F.col(na) + F.col(nb)) / (t.num + t.den))
         return F.col(ba).isNull() | F.col(bb).isNull() | (odd <= most)
 
-    def place(links: DataFrame) -> DataFrame:
-        """(gid, sid, n, component) of all members under the links so far."""
-        label = components(scratch, links)
-        return scratch.keep(members.join(label, F.col("sid") == F.col("node"), "left").select("gid", "sid", "n", F.coalesce("component", "sid").alias("component")))
-
-    # first round: each group against one hub a shingle, each member against its group
-    hub = F.min_by(F.struct("gid", "n"), "gid").over(by_token)
-    star = entries.select("gid", "n", hub.alias("hub")).select("gid", "n", F.col("hub.gid").alias("hub"), F.col("hub.n").alias("hub_n"))
-    star = star.where((F.col("gid") != F.col("hub")) & sized("n", "hub_n")).select(F.col("hub").alias("a"), F.col("gid").alias("b"))
+    def place(held: DataFrame, links: DataFrame) -> DataFrame:
+        """held(gid, sid, n, component) after new links, which join whole components."""
+        at = held.select("sid", "component")
+        ends = links.join(at.select(F.col("sid").alias("a"), F.col("component").alias("ca")), "a").join(at.select(F.col("sid").alias("b"), F.col("component").alias("cb")), "b")
+        label = components(scratch, ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select("node", F.col("component").alias("joined"))
+        return scratch.keep(held.join(label, F.col("component") == F.col("node"), "left").select("gid", "sid", "n", F.coalesce("joined", "component").alias("component")))
+
+    # first round: each group against the most central one that it meets, each member against its group
+    central = F.max(F.struct("weight", "gid", "n")).over(by_token)
+    star = entries.select("gid", "n", central.alias("hub")).groupBy("gid", "n").agg(F.max("hub").alias("hub"))
+    star = star.where((F.col("gid") != F.col("hub.gid")) & sized("n", "hub.n")).select(F.least("gid", "hub.gid").alias("a"), F.greatest("gid", "hub.gid").alias("b"))
     tried = scratch.keep(star.union(members.where("sid != gid").select(F.col("gid").alias("a"), F.col("sid").alias("b"))).distinct())
-    links = scratch.keep(_verify(tried, sets, t))
-    placed = place(links)
+    placed = place(members.withColumn("component", F.col("sid")), scratch.keep(_verify(tried, sets, t)))
 
-    # second round: each group against the next in size that has the shingle and lies apart so far
+    # second round: those that lie apart so far against the most central one and the next in size of every shingle
     chain = Window.partitionBy("token").orderBy("n", "gid")
     near = entries.join(placed.where("sid = gid").select("gid", "component"), "gid")
-    near = near.select("gid", "n", "component", F.lag(F.struct("gid", "n", "component")).over(chain).alias("x")).where("x.component != component")
-    near = near.select(F.least("gid", "x.gid").alias("a"), F.greatest("gid", "x.gid").alias("b"), "n", F.col("x.n").alias("xn")).where(sized("n", "xn"))
-    near = near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    tried, links = tried.union(near), scratch.keep(links.union(_verify(near, sets, t)))
-    members = place(links)
+    met = F.array(F.max(F.struct("weight", "gid", "n", "component")).over(by_token), F.lag(F.struct("weight", "gid", "n", "component")).over(chain))
+    near = near.select("gid", "n", "component", met.alias("met")).where(F.exists("met", lambda x: x["component"] != F.col("component")))
+    near = near.select("gid", "n", F.explode(F.filter("met", lambda x: x["component"] != F.col("component"))).alias("x")).select(F.least("gid", "x.gid").alias("a"), F.greatest("gid", "x.gid").alias("b"), "n", F.col("x.n").alias("xn")).where(sized("n", "xn"))
+    near = scratch.keep(near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    tried, members = tried.union(near), place(placed, scratch.keep(_verify(near, sets, t)))
 
     # last round: all candidates that still lie apart
     spread = members.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
@@ -259,9 +262,8 @@ def jaccard_components(docs: DataFrame, n_words: int = 5, threshold: Threshold =
     before = tried
     tried = pairs.join(left, "a").join(right, "b").where("ca != cb and (a != b or sa < sb)")
     tried = tried.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct().join(before, ["a", "b"], "left_anti")
-    links = scratch.keep(links.union(_verify(tried, sets, t)))
-    final = scratch.keep(components(scratch, links))
-    scratch.drop(entries, sets, members)
+    final = place(members, scratch.keep(_verify(tried, sets, t))).select(F.col("sid").alias("node"), "component")
+    scratch.drop(entries, sets)
 
     # smallest doc_id of each component, over all copies
     owner = reps.join(final, F.col("sid") == F.col("node")).select("sid", "n", "component", "rep")
