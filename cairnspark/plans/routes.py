@@ -13,6 +13,7 @@ from cairnspark.operators import retrieval as R
 from cairnspark.plans.graph import ENT, MEN, REL, entities, mentions, relations
 from cairnspark.plans.registry import query, table
 from cairnspark.plans.retrieval import COSINE
+from cairnspark.providers import Providers, embedding_route, routed
 
 NAMED = r"l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), m AS (SELECT DISTINCT doc_id, i, unnest(list_distinct(list_filter(string_split_regex(line, '[\s\p{P}]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{5,}')))) AS name FROM l WHERE trim(line) <> '')"
 
@@ -138,3 +139,25 @@ def p2(spark, sf):
 @query("p3_hit_rate", f"WITH {FIRST} SELECT count(*)::BIGINT AS n_questions, round(avg(CASE WHEN first IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 9) AS hit_rate FROM f")
 def p3(spark, sf):
     return measured(spark, sf).select("n_questions", "hit_rate")
+
+
+@query("e15_retrieval_metrics", f"WITH {FIRST} SELECT count(*)::BIGINT AS n_questions, round(avg(CASE WHEN first <= 2 THEN 1.0::DOUBLE ELSE 0 END), 9) AS recall_2, round(avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END), 9) AS recall_5, round(avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE ELSE 0 END), 9) AS recall_10, round(avg(coalesce(1.0::DOUBLE / first, 0)), 9) AS mrr, round(avg(CASE WHEN first IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 9) AS hit_rate FROM f")
+def e15(spark, sf):
+    return measured(spark, sf)
+
+
+@query("c4_partition_scope", "SELECT vec_id FROM embeddings WHERE label IN (2, 4) AND vec_id % 3 = 0")
+def c4(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("kb_id"), F.when(F.col("vec_id") % 3 == 0, "pdf").otherwise("txt").alias("file_type"))
+    return R.scope(v, [2, 4], ["pdf"]).select("vec_id")
+
+
+@query("m2_embedding_route", "WITH q AS (SELECT item_id, text FROM benchmark WHERE text IN (SELECT text FROM benchmark GROUP BY text HAVING count(*) = 1)) SELECT item_id AS query_id, item_id AS chunk_id FROM q")
+def m2(spark, sf):
+    """The default embedder finds each question as its own nearest text."""
+    b = table(spark, sf, "benchmark")
+    once = b.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("item_id")).where("n = 1")
+    docs = once.select(F.col("item_id").alias("chunk_id"), "text")
+    p = Providers()
+    found = routed(docs, docs.withColumnRenamed("chunk_id", "query_id"), 1, Providers(routes={"dense": embedding_route(p.embed)}))
+    return found.select("query_id", "chunk_id")

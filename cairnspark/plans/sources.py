@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cairnspark.operators.chunking import key_values, table_chunks
@@ -62,3 +67,61 @@ def a21(spark, sf):
 @query("a23_topology", "SELECT len(embedding)::INTEGER AS dim, label % 4 AS bucket, count(*)::BIGINT AS n FROM embeddings GROUP BY ALL")
 def a23(spark, sf):
     return table(spark, sf, "embeddings").groupBy(F.size("embedding").alias("dim"), (F.col("label") % 4).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def archived(rows, member, body):
+    """Archives(path, content) with one XML member made of the lines of rows(path, lines)."""
+
+    def pack(lines):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            z.writestr(member, body([escape(x) for x in lines]))
+        return raw.getvalue()
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"path": f["path"], "content": [pack(x) for x in f["lines"]]})
+
+    return rows.select("path", "lines").mapInPandas(run, "path string, content binary")
+
+
+def text_lines(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+
+
+@query("a9_docx_text", "SELECT doc_id::VARCHAR AS path, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10))) AS content FROM documents")
+def a9(spark, sf):
+    files = archived(text_lines(spark, sf), "word/document.xml", lambda x: '<d xmlns:w="w">' + "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in x) + "</d>")
+    return A.parsed(files, "docx").select("path", F.md5("content").alias("content"))
+
+
+@query("a10_pptx_text", "SELECT doc_id::VARCHAR AS path, md5('[Slide 1]' || chr(10) || array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10))) AS content FROM documents")
+def a10(spark, sf):
+    files = archived(text_lines(spark, sf), "ppt/slides/slide1.xml", lambda x: '<s xmlns:a="a">' + "".join(f"<a:t>{t}</a:t>" for t in x) + "</s>")
+    return A.parsed(files, "pptx").select("path", F.md5("content").alias("content"))
+
+
+@query("a7_xlsx_text", "SELECT n_regionkey::VARCHAR AS path, '[Sheet 1]' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS content FROM nation GROUP BY n_regionkey")
+def a7(spark, sf):
+    line = F.concat_ws("\t", F.col("n_nationkey").cast("string"), "n_name")
+    rows = table(spark, sf, "nation").groupBy(F.col("n_regionkey").cast("string").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda x: x["l"]).alias("lines"))
+    sheet = lambda x: "<w xmlns=\"w\"><sheetData>" + "".join("<row>" + "".join(f"<c><v>{v}</v></c>" for v in r.split("\t")) + "</row>" for r in x) + "</sheetData></w>"
+    return A.parsed(archived(rows, "xl/worksheets/sheet1.xml", sheet), "xlsx").select("path", "content")
+
+
+def read_page(path):
+    if path.endswith("3"):
+        raise OSError(path)
+    return "text of " + path
+
+
+@query("a13_recognised_pages", "SELECT page_id::VARCHAR AS path, CASE WHEN page_id % 10 = 3 THEN 'fallback' ELSE 'text of ' || page_id END AS content FROM pages")
+def a13(spark, sf):
+    rows = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("").alias("content"), F.lit(True).alias("flag"))
+    return A.recognise(rows, read_page, lambda path: "fallback").select("path", "content")
+
+
+@query("a14_transcribed_audio", "SELECT conv_id || '/' || turn AS path, CASE WHEN turn % 10 = 3 THEN NULL ELSE 'text of ' || conv_id || '/' || turn END AS content FROM conversations")
+def a14(spark, sf):
+    rows = table(spark, sf, "conversations").select(F.concat("conv_id", F.lit("/"), "turn").alias("path"), F.lit("").alias("content"), F.lit(True).alias("flag"))
+    return A.recognise(rows, read_page, read_page).select("path", "content")

@@ -79,8 +79,8 @@ def xlsx_text(raw: bytes) -> str:
 PARSERS: dict[str, Callable[[bytes], str]] = {"docx": docx_text, "pptx": pptx_text, "xlsx": xlsx_text}
 
 
-def read_office(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Archives of one kind; a broken file gives a null content."""
+def parsed(files: DataFrame, kind: str) -> DataFrame:
+    """Texts of archives(path, content) of one kind; a broken one gives a null content."""
     parse = PARSERS[kind]
 
     def safe(raw: bytes) -> str | None:
@@ -93,7 +93,12 @@ def read_office(spark: SparkSession, path: str, kind: str) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"path": f["path"], "content": [safe(bytes(b)) for b in f["content"]], "flag": False})
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(path).select("path", "content").mapInPandas(run, LOADED)
+    return files.select("path", "content").mapInPandas(run, LOADED)
+
+
+def read_office(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Archives of one kind under a path."""
+    return parsed(spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(path), kind)
 
 
 def read_media(spark: SparkSession, path: str, kinds: tuple[str, ...]) -> DataFrame:
