@@ -213,12 +213,15 @@ def normalise(parts: list[str], most: int = PARENT) -> list[str]:
     return out
 
 
+CUTS = {"normal": lambda t: normalise(units(t, "paragraph")), "child": lambda t: children(t), "sentence": lambda t: sentences(t, PARENT), "fixed": lambda t: fixed(t)}
+
+
 def split_documents(docs: DataFrame, how: str) -> DataFrame:
-    """(doc_id, part, text) of docs(doc_id, text); how is heading, structure, table, paragraph or normal."""
+    """(doc_id, part, text) of docs(doc_id, text); how is a key of SPLITS or CUTS, or table."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            cut = [normalise(units(t or "", "paragraph")) if how == "normal" else units(t or "", how) for t in f["text"]]
+            cut = [CUTS[how](t or "") if how in CUTS else units(t or "", how) for t in f["text"]]
             rows = [(d, i, p) for d, parts in zip(f["doc_id"], cut, strict=True) for i, p in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["doc_id", "part", "text"])
 

@@ -210,9 +210,10 @@ def k7(spark, sf):
     return table(spark, sf, "events").select("event_id", N.confidence(raw).alias("confidence"))
 
 
-@query("k22_rule_entities", "SELECT s_suppkey, '星河科技,蓝海' AS names FROM supplier")
+@query("k22_rule_entities", "SELECT n_nationkey, n_name || ',星河科技' AS names FROM nation")
 def k22(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", F.array_join(N.rule_entities(F.lit("「蓝海」 星河科技")), ",").alias("names"))
+    text = F.concat(F.lit("见「"), "n_name", F.lit("」，又见 星河科技；「"), "n_name", F.lit("」与「这个名字太长了所以不能算是一个实体名称」"))
+    return table(spark, sf, "nation").select("n_nationkey", F.array_join(N.rule_entities(text), ",").alias("names"))
 
 
 @query("n21_serialise", f"WITH {GRAPH}, top AS (SELECT name, degree FROM deg ORDER BY degree DESC, name LIMIT 50) SELECT name, '{{\"id\":\"' || name || '\",\"degree\":' || degree || '}}' AS node FROM top")

@@ -272,3 +272,38 @@ def n13(spark, sf):
     top = c.orderBy(F.desc("n"), "community").limit(10)  # the summaries that a question reads
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "community")))
     return ranked.select(F.concat(F.lit("community:"), "community").alias("chunk_id"), F.concat("community", F.lit(": "), "n", F.lit(" members")).alias("content"), "rank", F.round(1 / F.col("rank"), 9).alias("score"))
+
+
+PARTS = "SELECT r_regionkey::BIGINT AS doc_id, (i - 1)::INTEGER AS part, list_extract({}, i) AS text FROM region, range(1, {}) t(i)"
+
+
+def child_rows(spark, sf, text):
+    from cairnspark.operators.chunking import split_documents
+
+    return split_documents(table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), text.alias("text")), "child")
+
+
+@query("i13_child_parts", PARTS.format("['1. ' || repeat('a', 300), '2. ' || repeat('b', 300) || chr(10) || '3. ' || r_name, '第一章 c' || chr(10) || repeat('d', 240)]", 4))
+def i13(spark, sf):
+    return child_rows(spark, sf, F.concat(F.lit("1. " + "a" * 300 + "\n2. " + "b" * 300 + "\n3. "), "r_name", F.lit("\n第一章 c\n" + "d" * 240)))
+
+
+@query("h11_tiny_children", PARTS.format("['1. ' || r_name || chr(10) || '2. x' || chr(10) || '3. y', '第二章 z' || chr(10) || '4. w']", 3))
+def h11(spark, sf):
+    return child_rows(spark, sf, F.concat(F.lit("1. "), "r_name", F.lit("\n2. x\n3. y\n第二章 z\n4. w")))
+
+
+@query("i12_sentence_parts", PARTS.format("['One ' || r_name || '. ' || repeat('a', 2480) || '.', repeat('b', 2500), repeat('b', 100) || '! Last.']", 4))
+def i12(spark, sf):
+    return split_rows(spark, sf, F.concat(F.lit("One "), "r_name", F.lit(". " + "a" * 2480 + "." + "b" * 2600 + "! Last.")), "sentence")
+
+
+@query("i14_fixed_windows", "SELECT r_regionkey::BIGINT AS doc_id, (i - 1)::INTEGER AS part, CASE i WHEN 1 THEN repeat('a', 440) || '.' ELSE repeat('a', 69) || '.' || r_name || repeat('b', 30) END AS text FROM region, range(1, 3) t(i)")
+def i14(spark, sf):
+    return split_rows(spark, sf, F.concat(F.lit("a" * 440 + "."), "r_name", F.lit("b" * 30)), "fixed")
+
+
+def split_rows(spark, sf, text, how):
+    from cairnspark.operators.chunking import split_documents
+
+    return split_documents(table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), text.alias("text")), how)
