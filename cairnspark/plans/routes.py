@@ -13,7 +13,7 @@ from cairnspark.operators import retrieval as R
 from cairnspark.plans.graph import ENT, MEN, REL, entities, mentions, relations
 from cairnspark.plans.registry import query, table
 from cairnspark.plans.retrieval import COSINE
-from cairnspark.providers import Providers, embedding_route, routed
+from cairnspark.providers import Graph, Providers, embedding_route, routed
 
 NAMED = r"l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), m AS (SELECT DISTINCT doc_id, i, unnest(list_distinct(list_filter(string_split_regex(line, '[\s\p{P}]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{5,}')))) AS name FROM l WHERE trim(line) <> '')"
 
@@ -161,3 +161,55 @@ def m2(spark, sf):
     p = Providers()
     found = routed(docs, docs.withColumnRenamed("chunk_id", "query_id"), 1, Providers(routes={"dense": embedding_route(p.embed)}))
     return found.select("query_id", "chunk_id")
+
+
+@query("m1_injected_model", "SELECT item_id, 'Answer: ' || md5(text) AS answer FROM benchmark")
+def m1(spark, sf):
+    p = Providers(generate=lambda prompt: F.concat(F.lit("Answer: "), F.md5(prompt)))
+    return table(spark, sf, "benchmark").select("item_id", p.answer(F.col("text")).alias("answer"))
+
+
+@query("m3_default_reranker", r"SELECT item_id, CASE WHEN len(list_filter(string_split_regex(lower(trim(text)), '\s+'), lambda w: length(w) > 1 AND NOT regexp_full_match(w, '[\p{P}\p{S}]+'))) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rerank FROM benchmark")
+def m3(spark, sf):
+    same = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("query"), F.concat(F.lit("before "), "text", F.lit(" after")).alias("content"))
+    return Providers().rerank(same).select("item_id", "rerank")
+
+
+@query("m4_injected_route", "SELECT item_id AS query_id, 'first' AS route, doc_id AS chunk_id, rank::INTEGER AS rank FROM benchmark, (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents ORDER BY doc_id LIMIT 3)")
+def m4(spark, sf):
+    def first(docs, queries, k):
+        ids = [r["chunk_id"] for r in docs.select("chunk_id").orderBy("chunk_id").limit(k).collect()]
+        hits = queries.select("query_id", F.posexplode(F.array(*map(F.lit, ids))).alias("pos", "chunk_id"))
+        return hits.select("query_id", "chunk_id", F.lit(0.0).alias("score"), (F.col("pos") + 1).alias("rank"))
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return routed(docs, asked, 3, Providers(routes={"first": first})).select("query_id", "route", "chunk_id", "rank")
+
+
+@query("m5_injected_chunker", "SELECT doc_id, (i - 1)::INTEGER AS child_index, md5(string_split(text, chr(10))[i]) AS child FROM documents, range(1, 5000) t(i) WHERE i <= len(string_split(text, chr(10)))")
+def m5(spark, sf):
+    p = Providers(chunk=lambda docs: docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("child_index", "child")))
+    return p.chunk(table(spark, sf, "documents")).select("doc_id", "child_index", F.md5("child").alias("child"))
+
+
+@query("m6_injected_loader", "SELECT page_id::VARCHAR AS path, md5(html) AS content FROM pages")
+def m6(spark, sf):
+    p = Providers(load=lambda session, path, kind: table(session, path, kind).select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content")))
+    return p.load(spark, sf, "pages").select("path", F.md5("content").alias("content"))
+
+
+@query("m10_graph_store", f"WITH {ENT}, {REL}, {MEN} SELECT 'entities' AS part, count(*)::BIGINT AS n FROM ent UNION ALL SELECT 'relations', count(*) FROM rel UNION ALL SELECT 'mentions', count(*) FROM men UNION ALL SELECT 'events', count(*) FROM orders")
+def m10(spark, sf):
+    g = Graph(entities(spark, sf), relations(spark, sf), table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id")), mentions(spark, sf))
+    return g.sizes()
+
+
+@query("p6_harness", f"WITH {FIRST}, x AS (SELECT round(avg(coalesce(1.0::DOUBLE / first, 0)), 9) AS mrr, count(*)::BIGINT AS n_questions FROM f) SELECT 'all' AS mode, n_questions, mrr FROM x UNION ALL SELECT 'first only', n_questions, (SELECT round(avg(CASE WHEN first = 1 THEN 1.0::DOUBLE ELSE 0 END), 9) FROM f) FROM x")
+def p6(spark, sf):
+    """The same questions under two modes, one row each."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("chunk_id"), F.col("value").alias("score"), "event_type")
+    gold = e.where("event_type = 'purchase'").select("query_id", F.col("chunk_id").alias("doc_id")).distinct()
+    modes = {"all": 10, "first only": 1}
+    rows = [E.metrics(R.ranked(e, ["query_id"], k), gold).select(F.lit(m).alias("mode"), "n_questions", "mrr") for m, k in modes.items()]
+    return rows[0].unionByName(rows[1])

@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairnspark.functions import vectors as V
 from cairnspark.operators import retrieval as R
@@ -46,6 +47,14 @@ class Graph:
     events: DataFrame
     mentions: DataFrame
 
+    def sizes(self) -> DataFrame:
+        """(part, n)"""
+        out = None
+        for name in ("entities", "relations", "events", "mentions"):
+            part = getattr(self, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+            out = part if out is None else out.unionByName(part)
+        return out
+
 
 @dataclass(frozen=True)
 class Providers:
