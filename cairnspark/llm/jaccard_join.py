@@ -106,7 +106,7 @@ def _prefix_rows(docs: DataFrame, n_words: int, at_least: Threshold) -> DataFram
             for _, sets in _sets(b, n_words):
                 for s in sets:
                     if len(s):
-                        seen.setdefault(_digest(s), s[: int(at_least.prefix(len(s)))])
+                        seen.setdefault(_digest(s), s[: int(at_least.prefix(len(s)))].copy())
             if not seen:
                 continue
             sid = np.fromiter(seen, np.int64, len(seen))
