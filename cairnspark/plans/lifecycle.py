@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnspark.operators import lifecycle as C
+from cairnspark.operators.chunking import heading_trails, split_documents
+from cairnspark.operators.evaluation import chunk_pages
+from cairnspark.operators.retrieval import funnel, ranked
 from cairnspark.plans.registry import LIBRARY_SQL, library, query, table
 from cairnspark.sources import sinks as S
 
@@ -184,8 +187,6 @@ def n17(spark, sf):
 
 @query("g1_best_of_group", "WITH x AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) SELECT user_id, event_id, value AS score FROM x WHERE r <= 3")
 def g1(spark, sf):
-    from cairnspark.operators.retrieval import ranked
-
     e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("chunk_id"), F.col("value").alias("score"))
     return ranked(e, ["user_id"], 3).select("user_id", F.col("chunk_id").alias("event_id"), "score")
 
@@ -197,46 +198,34 @@ def i26(spark, sf):
 
 @query("i7_heading_parts", "WITH n AS (SELECT n_regionkey AS doc_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name)::INTEGER AS part, '## ' || n_name || chr(10) || 'text of ' || n_name AS text FROM nation) SELECT r_regionkey::BIGINT AS doc_id, 0::INTEGER AS part, '# ' || r_name AS text FROM region UNION ALL SELECT doc_id, part, text FROM n")
 def i7(spark, sf):
-    from cairnspark.operators.chunking import split_documents
-
     return split_documents(outlines(spark, sf), "heading")
 
 
 @query("i8_structure_parts", "SELECT r_regionkey::BIGINT AS doc_id, (i - 1)::INTEGER AS part, list_extract(['preface of ' || r_name, '1. first', '第二条 second', '原告 third', '[Image] fourth', '（三）fifth'], i) AS text FROM region, range(1, 7) t(i)")
 def i8(spark, sf):
-    from cairnspark.operators.chunking import split_documents
-
     text = F.concat(F.lit("preface of "), "r_name", F.lit("\n1. first\n第二条 second\n原告 third\n[Image] fourth\n（三）fifth"))
     return split_documents(table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), text.alias("text")), "structure")
 
 
 @query("i9_table_parts", "SELECT r_regionkey::BIGINT AS doc_id, (i - 1)::INTEGER AS part, list_extract(['Before ' || r_name, '| a | b |' || chr(10) || '| - | - |' || chr(10) || '| 1 | 2 |', 'Between', '<table><tr><td>x</td></tr></table>', 'After'], i) AS text FROM region, range(1, 6) t(i)")
 def i9(spark, sf):
-    from cairnspark.operators.chunking import split_documents
-
     text = F.concat(F.lit("Before "), "r_name", F.lit("\n| a | b |\n| - | - |\n| 1 | 2 |\nBetween\n<table><tr><td>x</td></tr></table>\nAfter"))
     return split_documents(table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), text.alias("text")), "table")
 
 
 @query("i11_normalised_parts", "SELECT r_regionkey::BIGINT AS doc_id, (i - 1)::INTEGER AS part, list_extract(['One ' || r_name || chr(10) || chr(10) || 'Two', '| a | b |' || chr(10) || '| - | - |' || chr(10) || '| 1 | 2 |', 'Three', repeat('x', 2500), repeat('x', 500), 'Four'], i) AS text FROM region, range(1, 7) t(i)")
 def i11(spark, sf):
-    from cairnspark.operators.chunking import split_documents
-
     text = F.concat(F.lit("One "), "r_name", F.lit("\n\nTwo\n\n| a | b |\n| - | - |\n| 1 | 2 |\n\nThree\n\n" + "x" * 3000 + "\n\nFour"))
     return split_documents(table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), text.alias("text")), "normal")
 
 
 @query("h4_heading_trails", "SELECT n_regionkey::BIGINT AS doc_id, 'text of ' || n_name AS text, '# ' || r_name || ' > ## ' || n_name AS trail FROM nation JOIN region ON r_regionkey = n_regionkey")
 def h4(spark, sf):
-    from cairnspark.operators.chunking import heading_trails
-
     return heading_trails(outlines(spark, sf)).select("doc_id", "text", "trail")
 
 
 @query("h4_plain_heading_trails", "SELECT r_regionkey::BIGINT AS doc_id, list_extract(['preface', 'one', 'two', 'three'], i) AS text, list_extract(['', 'Chapter 1 ' || r_name, 'Chapter 1 ' || r_name || ' > 第二节', 'Kapitel IV'], i) AS trail FROM region, range(1, 5) t(i)")
 def h4_plain(spark, sf):
-    from cairnspark.operators.chunking import heading_trails
-
     text = F.concat(F.lit("preface\nChapter 1 "), "r_name", F.lit("\none\n第二节\ntwo\nKapitel IV\nthree"))
     return heading_trails(table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), text.alias("text"))).select("doc_id", "text", "trail")
 
@@ -251,8 +240,6 @@ def outlines(spark, sf):
 
 @query("d17_page_anchor", "WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS pages, substr(trim(string_split(text, chr(10))[len(string_split(text, chr(10))) // 2 + 1]), 1, 50) AS anchor FROM documents), y AS (SELECT doc_id, i AS page, instr(pages[i], anchor) AS pos FROM x, range(1, 3000) t(i) WHERE i <= len(pages) AND anchor <> '') SELECT doc_id, min(struct_pack(p := pos, g := page)).g::INTEGER AS page FROM y WHERE pos > 0 GROUP BY doc_id")
 def d17(spark, sf):
-    from cairnspark.operators.evaluation import chunk_pages
-
     pages = F.split("text", "\n")
     d = table(spark, sf, "documents").select("doc_id", pages.alias("pages"), F.element_at(pages, (F.floor(F.size(pages) / 2) + 1).cast("int")).alias("chunk"))
     return chunk_pages(d)
@@ -260,8 +247,6 @@ def d17(spark, sf):
 
 @query("e10_funnel", "SELECT 0::INTEGER AS ordinal, 'recalled' AS stage, user_id AS query_id, count(*)::BIGINT AS n FROM events GROUP BY user_id UNION ALL SELECT 1, 'filtered', user_id, count(*) FROM events WHERE value > 30 GROUP BY user_id UNION ALL SELECT 2, 'reranked', user_id, count(*) FROM events WHERE value > 60 GROUP BY user_id")
 def e10(spark, sf):
-    from cairnspark.operators.retrieval import funnel
-
     e = table(spark, sf, "events").select(F.col("user_id").alias("query_id"), "value")
     return funnel([("recalled", e), ("filtered", e.where("value > 30")), ("reranked", e.where("value > 60"))])
 
@@ -270,16 +255,14 @@ def e10(spark, sf):
 def n13(spark, sf):
     c = table(spark, sf, "part").groupBy(F.col("p_brand").alias("community")).agg(F.count(F.lit(1)).alias("n"))
     top = c.orderBy(F.desc("n"), "community").limit(10)  # the summaries that a question reads
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "community")))
-    return ranked.select(F.concat(F.lit("community:"), "community").alias("chunk_id"), F.concat("community", F.lit(": "), "n", F.lit(" members")).alias("content"), "rank", F.round(1 / F.col("rank"), 9).alias("score"))
+    placed = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "community")))
+    return placed.select(F.concat(F.lit("community:"), "community").alias("chunk_id"), F.concat("community", F.lit(": "), "n", F.lit(" members")).alias("content"), "rank", F.round(1 / F.col("rank"), 9).alias("score"))
 
 
 PARTS = "SELECT r_regionkey::BIGINT AS doc_id, (i - 1)::INTEGER AS part, list_extract({}, i) AS text FROM region, range(1, {}) t(i)"
 
 
 def child_rows(spark, sf, text):
-    from cairnspark.operators.chunking import split_documents
-
     return split_documents(table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), text.alias("text")), "child")
 
 
@@ -304,6 +287,4 @@ def i14(spark, sf):
 
 
 def split_rows(spark, sf, text, how):
-    from cairnspark.operators.chunking import split_documents
-
     return split_documents(table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), text.alias("text")), how)
