@@ -21,7 +21,7 @@ PARENT, CHILD, OVERLAP, LEAST = 2500, 450, 70, 20
 
 # Marks at which texts of a kind are split.
 LAW_MARKS = r"(?m)^(?=第[一二三四五六七八九十百千\d]+条|本院认为|判决如下|裁定如下|经审理查明|事实与理由|事实和理由|诉讼请求)"
-PAPER_TITLES = ("Abstract", "Introduction", "Methods?", "Methodology", "Materials? and Methods?", "Results?", "Discussion", "Conclusions?", "References", "Bibliography", "Acknowledgements?", "Appendix", r"Related\s+Work", "Background", r"Experiment(?:s|al)?(?:\s+(?:Setup|Results))?", "Evaluation", "Limitations?", r"Future\s+Work")
+PAPER_TITLES = ("Abstract", "Introduction", "Methods?", "Methodology", r"Materials?\s+and\s+Methods?", "Results?", "Discussion", "Conclusions?", "References", "Bibliography", "Acknowledgements?", "Appendix", r"Related\s+Work", "Background", r"Experiment(?:s|al)?(?:\s+(?:Setup|Results))?", "Evaluation", "Limitations?", r"Future\s+Work")
 PAPER_MARKS = r"(?mi)^(?=(?:\d+\.?\s*)?(?:" + "|".join(PAPER_TITLES) + r")\s*$)"
 QA_PAIR = r"(?ms)^\s*(?:Q|问)\s*[:：]\s*(.*?)\s*^\s*(?:A|答)\s*[:：]\s*(.*?)(?=^\s*(?:Q|问)\s*[:：]|\Z)"
 MARKS = "|".join((*(m.replace("^(原告", "^(?:原告") for m in T.STRUCTURE_MARKS), r"^#{1,6}\s+"))
