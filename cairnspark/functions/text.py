@@ -20,6 +20,7 @@ PAGE_NUMBER_PATTERNS = (
     r"\s*\d{1,4}\s*",
 )
 HEADING = r"(?m)^#{1,6}\s+"
+# Marks at which a text has structure.
 STRUCTURE_MARKS = (
     r"^[一二三四五六七八九十]+[、．.]",
     r"^（[一二三四五六七八九十]+）",
@@ -29,7 +30,7 @@ STRUCTURE_MARKS = (
     r"^第[一二三四五六七八九十百千\d]+[条章节款项]",
     r"^\[(?:Non-Text|Image|Figure|Chart|Table)\]",
 )
-#: Level and pattern of headings in texts without Markdown headings, and the longest that is a heading.
+# Level and pattern of headings in texts without Markdown headings, and the longest that is a heading.
 PLAIN_HEADINGS = (
     (1, r"^[^\S\n]*(第[一二三四五六七八九十百千零〇\d]+[章编](?:[^\S\n]+\S.*)?)$"),
     (2, r"^[^\S\n]*(第[一二三四五六七八九十百千零〇\d]+[节節部]分?(?:[^\S\n]+\S.*)?)$"),
@@ -48,7 +49,9 @@ TITLE_PATTERNS = (
     r"[^\S\n]*\d+\.[^\S\n]+[^\n]+",
     r"[^\S\n]*\d+[）\)][^\S\n]*[^\n]+",
 )
+# What a heading or label without content says.
 FRAGMENTS = ("原告", "被告", "第三人", "诉讼请求", "事实与理由", "事实和理由", "证据目录", "证据清单", "判决如下", "裁定如下", "本院认为", "经审理查明", "审判长", "审判员", "目录", "附录", "附件", "备注", "注", "说明")
+# Words of questions about a whole library, and names that no file may have.
 GLOBAL_KEYWORDS = (
     "整体", "总体", "总的来说", "总结", "汇总", "概括", "概述", "综述", "归纳", "主旨", "主题", "大致", "大体", "整个", "整本", "全书", "所有", "全部",
     "主要内容", "主要讲", "讲了什么", "讲什么", "说了什么", "关于什么", "是什么内容", "核心内容", "涵盖", "包含哪些", "有哪些主题", "这个库", "知识库", "文档集", "资料库",
