@@ -6,13 +6,14 @@ Upserts are unions reduced by key, so a merge is one shuffle and repeated eviden
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnspark.scratch import shared_folder
+
 
 def upsert_entities(old: DataFrame | None, new: DataFrame) -> DataFrame:
     """Rows (kb_id, name, type, doc_ids, seq) merged by name: first type that is not empty, union of documents."""
@@ -116,13 +117,8 @@ def with_events(nodes: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """rows written to the shared checkpoint folder of the session; a local session may do without a named one."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cairnspark-"))
+    """rows written to the shared folder of the session."""
+    rows.sparkSession.sparkContext.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()
 
 

@@ -10,6 +10,6 @@ from cairnspark.plans.registry import ORACLES, QUERIES  # noqa: F401
 from cairnspark.providers import Providers
 
 
-def flagship(spark: SparkSession, sf_dir: str, providers: Providers = retrieval.DEFAULTS) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str, providers: Providers | None = None) -> DataFrame:
     """Hybrid retrieval with the given routes and reranker."""
     return retrieval.hybrid(spark, sf_dir, providers=providers).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")

@@ -9,11 +9,12 @@ from pyspark.sql.window import Window
 from cairnspark.functions import text as T
 from cairnspark.functions import vectors as V
 from cairnspark.operators import evaluation as E
+from cairnspark.operators import postings as P
 from cairnspark.operators import retrieval as R
 from cairnspark.plans.registry import query, table
-from cairnspark.providers import Providers, routed, sparse_route
+from cairnspark.providers import Providers, routed
+from cairnspark.scratch import Scratch, exists, maybe_broadcast
 
-DEFAULTS = Providers()
 WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1)"
 DOC_TERMS = f"d AS (SELECT doc_id, {WORDS.format('text')} AS ws FROM documents), t AS (SELECT doc_id, unnest(ws) AS term FROM d), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL)"
 QUERY_TERMS = f"q AS (SELECT DISTINCT item_id, unnest({WORDS.format('text')}) AS term FROM benchmark)"
@@ -42,16 +43,32 @@ def dense_hits(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
     return R.dense_topk(v, v.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), k)
 
 
+_indexes: dict[tuple[str, str], P.Postings] = {}
+
+
+def index_of(spark: SparkSession, sf: str) -> P.Postings:
+    """The postings of the documents: written by the first query of a session that needs them, read by all others."""
+    name = (spark.sparkContext.applicationId, sf)
+    found = _indexes.get(name)
+    if found is None or not exists(spark, found.path):
+        found = _indexes[name] = P.append(chunks(spark, sf), f"{Scratch(spark).folder}/index")
+    return found
+
+
+def defaults(spark: SparkSession, sf: str) -> Providers:
+    return Providers(routes=P.routes(index_of(spark, sf)))
+
+
 def bm25_hits(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
-    return R.bm25_topk(chunks(spark, sf), asked(spark, sf), k)
+    return P.search(index_of(spark, sf), asked(spark, sf), k, "bm25").hits
 
 
 def sparse_hits(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
-    return sparse_route(chunks(spark, sf), asked(spark, sf), k)
+    return P.search(index_of(spark, sf), asked(spark, sf), k, "sparse").hits
 
 
-def routes(spark: SparkSession, sf: str, k: int = 20, providers: Providers = DEFAULTS) -> DataFrame:
-    return routed(chunks(spark, sf), asked(spark, sf), k, providers)
+def routes(spark: SparkSession, sf: str, k: int = 20, providers: Providers | None = None) -> DataFrame:
+    return routed(chunks(spark, sf), asked(spark, sf), k, providers or defaults(spark, sf))
 
 
 ROUTES = BM25 + ", " + TF.split(QUERY_TERMS + ", ")[1] + ", r AS (SELECT query_id, 'bm25' AS route, chunk_id, score, rank FROM btop WHERE rank <= 20 UNION ALL SELECT query_id, 'sparse', chunk_id, score, rank FROM stop WHERE rank <= 20)"
@@ -91,6 +108,14 @@ def j3(spark, sf):
     return bm25_hits(spark, sf).withColumn("score", F.round("score", 6))
 
 
+@query("j3_term_statistics", f"WITH {DOC_TERMS} SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term")
+def j3_terms(spark, sf):
+    """A new index in two batches, and what it says of every term."""
+    docs, folder = chunks(spark, sf), f"{Scratch(spark).folder}/index"
+    P.append(docs.where("chunk_id % 3 = 0"), folder, 0)
+    return P.term_stats(P.append(docs.where("chunk_id % 3 <> 0"), folder, 1))
+
+
 @query("e6_rrf", f"WITH {ROUTES} SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM r GROUP BY ALL")
 def e6(spark, sf):
     return R.rrf(routes(spark, sf)).select("query_id", "chunk_id", F.round("score", 9).alias("score"))
@@ -104,10 +129,10 @@ def e9(spark, sf):
 FUSED = f"{ROUTES}, f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) * CASE WHEN chunk_id % 4 = 0 AND chunk_id % 8 <> 0 THEN 0.8::DOUBLE ELSE 1 END AS base FROM r GROUP BY query_id, chunk_id)"
 
 
-def fused(spark, sf, providers=DEFAULTS):
+def fused(spark, sf, providers=None, found=None):
     kind = F.when(F.col("chunk_id") % 4 == 0, "table").otherwise("text")
     file_type = F.when(F.col("chunk_id") % 8 == 0, "csv").otherwise("txt")
-    return R.rrf(routes(spark, sf, providers=providers)).select("query_id", "chunk_id", (F.col("score") * R.type_weight(kind, file_type)).alias("base"))
+    return R.rrf(routes(spark, sf, providers=providers) if found is None else found).select("query_id", "chunk_id", (F.col("score") * R.type_weight(kind, file_type)).alias("base"))
 
 
 @query("j5_weighted_fusion", f"WITH {FUSED} SELECT query_id, chunk_id, round(base, 9) AS score FROM f")
@@ -120,9 +145,19 @@ RERANKED = f"""{FUSED}, rr AS (SELECT query_id, chunk_id, base, d2.text AS conte
  FROM f JOIN documents d2 ON d2.doc_id = chunk_id JOIN benchmark b ON b.item_id = query_id)"""
 
 
-def reranked(spark, sf, providers=DEFAULTS):
-    hits = fused(spark, sf, providers).join(chunks(spark, sf).withColumnRenamed("text", "content"), "chunk_id").join(asked(spark, sf).withColumnRenamed("text", "query"), "query_id")
-    return providers.rerank(hits).withColumn("rerank", R.penalised(F.col("rerank"), F.col("content")))
+def reranked(spark, sf, providers=None, hits=None):
+    """Fused hits with their texts and reranking. Texts of chunks that were hit are dealt out by chunk before they are split into tokens, each once."""
+    scratch = Scratch(spark)
+    providers = providers or defaults(spark, sf)
+    hits = scratch.keep(fused(spark, sf, providers) if hits is None else hits)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = maybe_broadcast(hits.select("chunk_id").distinct())
+    tokens = lambda name: [F.col("text").alias(name), T.tokens(F.col("text")).alias(f"{name}_tokens")]
+    texts = scratch.keep(chunks(spark, sf).join(found, "chunk_id", "left_semi").repartition(n, "chunk_id").select("chunk_id", *tokens("content")))
+    asked_tokens = scratch.keep(asked(spark, sf).select("query_id", *tokens("query")))
+    both = hits.repartition(n, "chunk_id").join(texts.repartition(n, "chunk_id"), "chunk_id").join(asked_tokens, "query_id")
+    scored = providers.rerank(both).drop("content_tokens", "query_tokens")
+    return scratch.keep(scored.withColumn("rerank", R.penalised(F.col("rerank"), F.col("content"))))
 
 
 @query("j6_rerank", f"WITH {RERANKED} SELECT query_id, chunk_id, round(rerank, 9) AS rerank FROM rr")
@@ -150,7 +185,7 @@ COMPOSED = f"""{FILTERED}, c AS (SELECT query_id, chunk_id, base, rerank, conten
  final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM g)"""
 
 
-def hybrid(spark, sf, k=10, providers=DEFAULTS):
+def hybrid(spark, sf, k=10, providers=None):
     """Fused, reranked, filtered and composed hits; the k best of each query."""
     return R.ranked(R.composite(R.soft_threshold(reranked(spark, sf, providers))), ["query_id"], k)
 
@@ -167,8 +202,11 @@ def j14(spark, sf):
 
 @query("j15_traced_hybrid", f"WITH {COMPOSED}, u AS (SELECT 0 AS ordinal, 'routes' AS stage, query_id FROM r UNION ALL SELECT 1, 'fused', query_id FROM f UNION ALL SELECT 2, 'filtered', query_id FROM k UNION ALL SELECT 3, 'returned', query_id FROM final WHERE rank <= 10) SELECT ordinal::INTEGER AS ordinal, stage, query_id, count(*)::BIGINT AS n FROM u GROUP BY ALL")
 def j15(spark, sf):
-    kept = R.soft_threshold(reranked(spark, sf))
-    return R.funnel([("routes", routes(spark, sf)), ("fused", fused(spark, sf)), ("filtered", kept), ("returned", R.ranked(R.composite(kept), ["query_id"], 10))])
+    scratch = Scratch(spark)
+    found = scratch.keep(routes(spark, sf))
+    hits = scratch.keep(fused(spark, sf, found=found))
+    kept = scratch.keep(R.soft_threshold(reranked(spark, sf, hits=hits)))
+    return R.funnel([("routes", found), ("fused", hits), ("filtered", kept), ("returned", R.ranked(R.composite(kept), ["query_id"], 10))])
 
 
 @query("j10_mmr")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
+from cairnspark.scratch import shared_folder
+
 ENVELOPE = "k long"
 
 
@@ -25,13 +26,7 @@ def event_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
 def drain(stream: DataFrame, keys: list[str] | None = None, mode: str = "update") -> DataFrame:
     """Runs a stream over all input there is. Each micro-batch overwrites its own folder, so a replayed batch changes nothing; of repeated keys the last batch counts."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="cairnspark-")
-        spark.sparkContext.setCheckpointDir(base)
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
