@@ -6,7 +6,8 @@ they share a rare line (``least_words`` words or more, at most ``rare`` occurren
 frequent: frequent single lines pair nobody. Each such pair is aligned by patience diff: lines that stand once in
 either document, and runs, are the anchors; the longest series of anchors in the same order is kept, and each
 grows over equal neighbours (blank lines don't count). An aligned block goes from the later document when it
-holds ``least_block`` words in all; a run that stands in another order is a block by itself.
+holds ``least_block`` words in all. Runs that the alignment leaves, since they stand in another order, are aligned
+again by themselves, so moved passages go too; nothing goes that no alignment holds.
 
 Any block of that many words without a blank line is made up of such runs, so no shared block is lost because its
 lines were first seen in several documents or are frequent. Tracing to the first holder makes pairs linear in the
@@ -63,29 +64,37 @@ def aligned(lines: list[tuple[int, int, bool]], runs: list[tuple[int, int, int]]
     """Ranks that go of one document, from what it shares with one other.
 
     lines has (rank here, rank there, whether the line stands once in either), runs (rank here, rank there, lines),
-    words those of each shared line here. Lines that repeat are no anchors; they join a block beside one.
+    words those of each shared line here. Lines that repeat are no anchors; they join a block beside one. What one
+    alignment leaves because it stands in another order is aligned again by its runs, until a round deletes nothing.
     """
-    anchors = {(here, there): 1 for here, there, once in lines if once} | {(here, there): n for here, there, n in runs}
-    matched: dict[int, int] = {}
-    for here, there in patience(sorted(anchors, key=lambda a: (a[0], -a[1]))):
-        for k in range(anchors[here, there]):
-            matched.setdefault(here + k, there + k)
     there_of = {here: there for here, there, _ in lines}
-    for here, there in list(matched.items()):
-        for step in (-1, 1):
-            k = 1
-            while here + step * k not in matched and there_of.get(here + step * k) == there + step * k:
-                matched[here + step * k] = there + step * k
-                k += 1
-    gone = {here + k for here, _, n in runs for k in range(n)}
-    block: list[int] = []
-    for here in [*sorted(matched), None]:
-        if block and (here is None or here != block[-1] + 1 or matched[here] != matched[block[-1]] + 1):
-            if sum(words.get(x, 0) for x in block) >= least_block:
-                gone.update(block)
-            block = []
-        if here is not None:
-            block.append(here)
+    anchors = {(here, there): 1 for here, there, once in lines if once} | {(here, there): n for here, there, n in runs}
+    gone: set[int] = set()
+    while anchors:
+        matched: dict[int, int] = {}
+        for here, there in patience(sorted(anchors, key=lambda a: (a[0], -a[1]))):
+            for k in range(anchors[here, there]):
+                matched.setdefault(here + k, there + k)
+        for here, there in list(matched.items()):
+            for step in (-1, 1):
+                k = 1
+                while here + step * k not in matched and there_of.get(here + step * k) == there + step * k:
+                    matched[here + step * k] = there + step * k
+                    k += 1
+        found: set[int] = set()
+        block: list[int] = []
+        for here in [*sorted(matched), None]:
+            if block and (here is None or here != block[-1] + 1 or matched[here] != matched[block[-1]] + 1):
+                if sum(words.get(x, 0) for x in block) >= least_block:
+                    found.update(block)
+                block = []
+            if here is not None:
+                block.append(here)
+        if anchors.keys() <= {(here, there) for here, there, _ in runs} and found <= gone:
+            break
+        gone |= found
+        # a chain's first run is matched as a whole, so every round of runs deletes at least one of them
+        anchors = {(here, there): n for here, there, n in runs if any(here + k not in gone for k in range(n))}
     return gone
 
 
