@@ -2,15 +2,15 @@
 
 The raw model counts hashed word unigrams and bigrams over all documents, in buckets whose number follows theirs, the target model over the labelled
 documents of good quality. A document's weight is the mean log ratio of the two models over its n-grams,
-times ``strength``; its key is the weight plus Gumbel noise that is a hash of its id and the seed. The rows of
-the k largest keys are a sample without replacement in proportion to the weights. k is, unless given, the
+times ``strength``; its key is the weight plus Gumbel noise, a hash of its id, its text and the seed, and for rows
+that repeat both also of the row itself. The rows of the k largest keys are a sample without replacement in proportion to the weights. k is, unless given, the
 upper bound (three standard errors) of the share of good labels, of all rows; ties in the key go to the smaller doc_id.
 
 Counts are partial sums of fixed width per task, added up by bucket. The top k is found without a global
 sort: keys are counted in fine bins, whole bins above the border stay, and only the border bin is ranked.
 
 Results: null and empty texts have no n-grams and weight 0, as neutral as a text that both models find
-equally likely; repeated rows are drawn each; extra columns are ignored; without labels the target is the
+equally likely; rows with a null id are told apart by their texts; repeated rows are drawn each for itself; extra columns are ignored; without labels the target is the
 raw model, so all weights are 0; an empty table gives an empty result.
 """
 
@@ -29,7 +29,7 @@ from cairnspark.llm.word_hash import ngrams, word_hashes
 
 #: Buckets of the n-gram models: a power of two that follows the number of documents between these bounds; what a task sends and a scorer holds is bounded by the upper one.
 BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 22
-STRENGTH = 40.0
+STRENGTH = 20.0
 SEED = 11
 
 
@@ -97,8 +97,20 @@ def weigh(docs: DataFrame, ratios: np.ndarray, strength: float = STRENGTH, seed:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(bags)), b.column(1).slice(at, len(bags)), pa.array(mean, pa.float64())], ["doc_id", "text_key", "log_ratio"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, text_key long, log_ratio double")
-    share = (F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)).bitwiseAND((1 << 52) - 1) + F.lit(0.5)) / F.lit(float(1 << 52))
-    return found.withColumn("key", F.col("log_ratio") * strength - F.log(-F.log(share)))
+    return with_keys(Scratch(docs.sparkSession).keep(found), strength, seed)
+
+
+def with_keys(found: DataFrame, strength: float = STRENGTH, seed: int = SEED) -> DataFrame:
+    """found(doc_id, text_key, log_ratio), a written table, with key: the weight plus a Gumbel draw of each row.
+
+    Rows whose id and text stand once draw by these alone, however the table is dealt; rows that repeat both add
+    their place in it.
+    """
+    again = found.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    both = found.withColumn("__row", F.monotonically_increasing_id()).join(maybe_broadcast(again), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
+    row = F.when(F.col("__key").isNull(), F.lit(-1).cast("long")).otherwise(F.col("__row"))
+    share = (F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_key", row, F.lit(seed)).bitwiseAND((1 << 52) - 1) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return both.withColumn("key", F.col("log_ratio") * strength - F.log(-F.log(share))).drop("__id", "__key", "__row")
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:

@@ -13,6 +13,7 @@ from test_llm_operators import DOCS, LABELS, docs, shingles, tokenizer
 
 from cairnspark.llm import compression_toxicity as tox
 from cairnspark.llm import importance_resampling as imp
+from cairnspark.llm import line_dedup
 from cairnspark.llm import queries as Q
 from cairnspark.llm.common import Scratch, components
 from cairnspark.llm.jaccard_join import PARITY, _parity, jaccard_components, one_of_each
@@ -163,6 +164,42 @@ def test_op1_noise_samples_in_proportion(spark):
     assert sum(drawn.values()) == 120 and max(drawn.values()) < 12 and len(drawn) == 20
 
 
+def test_op1_includes_in_proportion_to_unequal_weights(spark):
+    """The first of k draws has the share of its weight; two of three follow the product of shares without replacement."""
+    weights = {0: 1.0, 1: 2.0, 2: 5.0}
+    rows = [(100 * s + i, 7 * s, math.log(w)) for s in range(4000) for i, w in weights.items()]
+    keyed = imp.with_keys(Scratch(spark).keep(spark.createDataFrame(rows, "doc_id long, text_key long, log_ratio double")), strength=1.0)
+    by = {}
+    for r in keyed.collect():
+        by.setdefault(r["doc_id"] // 100, []).append((-r["key"], r["doc_id"] % 100))
+    order = [[i for _, i in sorted(v)] for v in by.values()]
+    first = Counter(o[0] for o in order)
+    left_out = Counter(o[2] for o in order)
+    for i, w in weights.items():
+        assert abs(first[i] / 4000 - w / 8) < 0.03
+        others = [x for j, x in weights.items() if j != i]
+        wanted = sum(a / 8 * b / (8 - a) for a, b in (others, others[::-1]))
+        assert abs(left_out[i] / 4000 - wanted) < 0.03
+
+
+def test_op1_rows_that_repeat_or_lack_an_id_draw_each_for_itself(spark):
+    rows = [(None, f"text {i}") for i in range(20)] + [(7, "same")] * 10
+    keys = [r["key"] for r in imp.weigh(docs(spark, rows), np.zeros(imp.BUCKETS)).collect()]
+    assert len(keys) == len(set(keys)) == 30
+    single = {(r["doc_id"], r["text_key"]): r["key"] for r in imp.weigh(docs(spark, rows[:20]).repartition(5), np.zeros(imp.BUCKETS)).collect()}
+    assert set(single.values()) <= set(keys)
+
+
+def test_op2_deletes_nothing_without_alignment(spark, monkeypatch):
+    shared = [(k, k + 3, True) for k in range(6)]
+    moved = [(0, 10, 2), (2, 0, 2)]
+    words = dict.fromkeys(range(6), 12)
+    assert line_dedup.aligned(shared, [], words, 20) == set(range(6))
+    assert line_dedup.aligned([], moved, words, 20) == {0, 1, 2, 3}  # the second run by a second alignment
+    monkeypatch.setattr(line_dedup, "patience", lambda pairs: [])
+    assert line_dedup.aligned(shared, [(0, 3, 2), *moved], words, 20) == set()
+
+
 def test_op5_learns_planted_words_and_takes_odd_rows(spark):
     rng = random.Random(3)
     say = [f"{a}{b}" for a in "ba ko mi tu re".split() for b in "lon sen dar vik".split()]
