@@ -2,69 +2,18 @@
 
 from __future__ import annotations
 
-import logging
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of at most two longs that a size-checked join may broadcast (some 32 MB).
-BROADCAST_ROWS = 1_000_000
-
+from cairnspark.scratch import BROADCAST_ROWS, Scratch, maybe_broadcast  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees; a temporary one only in a local session that names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="cairnspark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Written tables that cut lineage: a lost executor costs a re-read, not a re-run."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.folder = f"{shared_folder(spark)}/cairnspark-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.folder}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Remove tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            try:
-                path.getFileSystem(conf).delete(path, True)
-            except Py4JError as e:  # a table that stays costs disk only
-                logging.getLogger(__name__).warning("scratch table %s stays: %s", path, e)
-
-
-def maybe_broadcast(small: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only where the counted rows are within the bound; else Spark shuffles both sides."""
-    rows = small.count() if rows is None else rows
-    return F.broadcast(small) if rows <= most else small
-
-
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
