@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnspark.operators.substrings import contains_join
+
 
 def route(mode: Column, n_kbs: Column, has_files: Column, skip: Column, many: Column | None = None, tools: Column | None = None) -> Column:
     """C17: agent, multi_kb, single_kb, chitchat or none."""
@@ -14,32 +16,10 @@ def route(mode: Column, n_kbs: Column, has_files: Column, skip: Column, many: Co
     return F.when(mode == "agent", agent).otherwise(plain)
 
 
-def _runs(text: str):
-    """Hashes of all runs of three words of a text. Arrays are arguments, never captured by a lambda, which would build them anew for each element."""
-    words = F.split(F.col(text), r"\s+")
-    n = F.greatest(F.size(words) - 2, F.lit(0))
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    pairs = F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
-    return F.zip_with(pairs, F.slice(hashes, F.lit(3), n), lambda a, b: F.xxhash64(a, b))
-
-
 def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) of docs(chunk_id, text) that contain the text of items(query_id, text).
-
-    The words of a contained item, but for its first and last, are whole words of the document, so an equi-join
-    on the second run of three words finds every candidate without comparing all pairs. Items of fewer than
-    five words are looked for one by one, as one broadcast list of a stated question set.
-    """
-    long_enough = F.size(F.split(F.trim("text"), r"\s+")) >= 5
-    known = items.where(long_enough).select("query_id", F.trim("text").alias("key"), F.col("text").alias("item"))
-    known = known.select("query_id", "item", _runs("key")[1].alias("h"))
-    windows = docs.select("chunk_id", F.explode(F.array_distinct(_runs("text"))).alias("h"))
-    near = windows.join(known.select("query_id", "h"), "h").select("chunk_id", "query_id").distinct()
-    sure = near.join(docs, "chunk_id").join(known.select("query_id", "item"), "query_id").where(F.contains(F.col("text"), F.col("item"))).select("query_id", "chunk_id")
-    short = items.where(~long_enough).select("query_id", F.col("text").alias("item"))
-    listed = short.agg(F.collect_list(F.struct("query_id", "item")).alias("all"))
-    held = docs.crossJoin(F.broadcast(listed)).select("chunk_id", F.explode(F.filter("all", lambda x: F.contains(F.col("text"), x["item"]))).alias("x"))  # one row
-    return sure.unionByName(held.select("x.query_id", "chunk_id"))
+    """(query_id, chunk_id) of docs(chunk_id, text) that contain the text of items(query_id, text), by signatures."""
+    found = contains_join(docs.select(F.col("chunk_id").alias("tid"), "text"), items.select(F.col("query_id").alias("pid"), F.col("text").alias("pattern")))
+    return found.select(F.col("pid").alias("query_id"), F.col("tid").alias("chunk_id"))
 
 
 def chunk_pages(chunks: DataFrame, letters: int = 50) -> DataFrame:

@@ -12,7 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnspark.scratch import shared_folder
+from cairnspark.functions.vectors import cosine
+from cairnspark.operators.substrings import contains_join
+from cairnspark.scratch import Scratch
+
+#: A name is heavy that HEAVY_EVENTS events and so large a share of all events mention; heavy names are bits of a long.
+HEAVY_SHARE, HEAVY_EVENTS, HEAVY_BITS = 0.01, 1000, 62
 
 
 def upsert_entities(old: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -116,50 +121,22 @@ def with_events(nodes: DataFrame, mentions: DataFrame) -> DataFrame:
     return nodes.select(F.col("name").alias("id"), F.lit("entity").alias("node_type")).union(events.withColumn("node_type", F.lit("event")))
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """rows written to the shared folder of the session."""
-    rows.sparkSession.sparkContext.setCheckpointDir(shared_folder(rows.sparkSession))
-    return rows.checkpoint()
-
-
-def communities(entities: DataFrame, relations: DataFrame, rounds: int = 5) -> DataFrame:
-    """(name, community) by synchronous label propagation: the label of most weight among the neighbours, ties to the smaller; a fixed number of rounds.
-
-    Labels are checkpointed after each round, so the plan stays that of one round and a lost executor costs one.
-    """
-    both = relations.select(F.col("source").alias("a"), F.col("target").alias("b"), "weight").union(relations.select("target", "source", "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    labels = entities.select("name", F.col("name").alias("community"))
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("name", "b"), "b").groupBy("a", "community").agg(F.sum("weight").alias("votes"))
-        best = votes.groupBy("a").agg(F.min(F.struct((-F.col("votes")).alias("v"), "community")).alias("x")).select(F.col("a").alias("name"), F.col("x.community").alias("best"))
-        labels = settled(labels.join(best, "name", "left").select("name", F.coalesce("best", "community").alias("community")))
-    return labels
-
-
-def community_summaries(labels: DataFrame, relations: DataFrame, least: int = 3, most: int = 100, members: int = 30) -> DataFrame:
-    """The largest communities with their members and the number of relations inside."""
-    ends = relations.join(labels.select(F.col("name").alias("source"), F.col("community").alias("c1")), "source").join(labels.select(F.col("name").alias("target"), F.col("community").alias("c2")), "target")
-    inside = ends.where("c1 = c2").groupBy(F.col("c1").alias("community")).agg(F.count(F.lit(1)).alias("n_relations"))
-    placed = labels.withColumn("__r", F.row_number().over(Window.partitionBy("community").orderBy("name")))
-    sizes = placed.groupBy("community").agg(F.count(F.lit(1)).alias("n_members"), F.array_sort(F.collect_list(F.when(F.col("__r") <= members, F.col("name")))).alias("members")).where(F.col("n_members") >= least)
-    top = sizes.orderBy(F.desc("n_members"), "community").limit(most)
-    return top.join(inside, "community", "left").withColumn("n_relations", F.coalesce("n_relations", F.lit(0)).cast("long"))
-
-
 def resolve_aliases(entities: DataFrame, least: float = 0.92, candidates: int = 10) -> DataFrame:
     """(name, canonical): entities(name, type, vector) whose name holds another's of the same type, at a cosine of least or more.
 
-    Candidates meet on shared tokens of the same type, so no cross product arises; the last best wins ties.
+    Names meet by the substring join, so a part of a word is a candidate too; of a name's candidates the first few by
+    name are compared, and the last best wins ties.
     """
-    from cairnspark.functions.vectors import cosine
-
-    toks = entities.select("name", "type", "vector", F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("t"))
-    other = toks.select(F.col("name").alias("canonical"), "type", F.col("vector").alias("v2"), "t")
-    near = toks.join(other, ["type", "t"]).where((F.col("name") != F.col("canonical")) & F.contains(F.col("name"), F.col("canonical"))).dropDuplicates(["name", "canonical"])
-    near = near.withColumn("__c", F.row_number().over(Window.partitionBy("name").orderBy("canonical"))).where(F.col("__c") <= candidates)
-    scored = near.withColumn("s", cosine(F.col("vector"), F.col("v2"))).where(F.col("s") >= least)
-    best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("s"), F.desc("canonical")))
-    return scored.withColumn("__r", best).where("__r = 1").select("name", "canonical")
+    scratch = Scratch(entities.sparkSession)
+    keyed = scratch.keep(entities.withColumn("tid", F.xxhash64("name", "type")).dropDuplicates(["tid"]))
+    pairs = contains_join(keyed.select("tid", F.col("name").alias("text")), keyed.select(F.col("tid").alias("pid"), F.col("name").alias("pattern"))).where("tid <> pid")
+    names = pairs.join(keyed.select("tid", "name", "type"), "tid").join(keyed.select(F.col("tid").alias("pid"), F.col("name").alias("canonical"), F.col("type").alias("__t")), "pid")
+    near = names.where(F.col("type").eqNullSafe(F.col("__t")) & (F.col("name") != F.col("canonical")))
+    near = near.withColumn("__c", F.row_number().over(Window.partitionBy("tid").orderBy("canonical"))).where(F.col("__c") <= candidates)
+    vectors = keyed.select("tid", "vector")
+    both = near.join(vectors, "tid").join(vectors.select(F.col("tid").alias("pid"), F.col("vector").alias("v2")), "pid")
+    scored = both.withColumn("s", cosine(F.col("vector"), F.col("v2"))).where(F.col("s") >= least)
+    return scored.groupBy("tid", "name").agg(F.max(F.struct("s", "canonical"))["canonical"].alias("canonical")).select("name", "canonical")
 
 
 def filter_events(events: DataFrame, most: int = 3) -> DataFrame:
@@ -168,13 +145,47 @@ def filter_events(events: DataFrame, most: int = 3) -> DataFrame:
     return kept.withColumn("__r", F.row_number().over(Window.partitionBy("chunk_id").orderBy("event_id"))).where(F.col("__r") <= most).drop("__r", "known")
 
 
+def heavy_names(mentions: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
+    """(name, bit): names that so large a share of all events mention, the most frequent HEAVY_BITS at most."""
+    n = mentions.agg(F.approx_count_distinct("event_id")).first()[0]
+    held = mentions.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(HEAVY_EVENTS, share * n))
+    top = held.orderBy(F.desc("n"), "name").limit(HEAVY_BITS)
+    return Scratch(mentions.sparkSession).keep(top.withColumn("bit", F.row_number().over(Window.orderBy(F.desc("n"), "name")) - 1).select("name", "bit"))  # HEAVY_BITS rows
+
+
+def shared_names(mentions: DataFrame, seeds: DataFrame, k: int, share: float = HEAVY_SHARE) -> DataFrame:
+    """N14's step: (query_id, event_id, shared) with the names that an event shares with a query's seed events; of each query at least the k best by (shared, event_id) that are no seeds.
+
+    Light names meet by a join. Heavy ones, which a large share of events mention, are bits: an event tests the names
+    of a query by one bitwise and. Events with the same bits are equal for every query, so of each pattern only the
+    first k and as many more as a query has seeds are offered; those that light names reach are tested one by one. So
+    rows don't grow with the events that mention a hub.
+    """
+    scratch = Scratch(mentions.sparkSession)
+    heavy = F.broadcast(heavy_names(mentions, share))
+    asked = seeds.select("query_id", "event_id").distinct()
+    names = scratch.keep(mentions.join(asked, "event_id").select("query_id", "name").distinct())
+    bit = F.expr("shiftleft(1L, bit)")
+    masks = scratch.keep(names.join(heavy, "name").groupBy("query_id").agg(F.bit_or(bit).alias("mask")))
+    bits = scratch.keep(mentions.join(heavy, "name").groupBy("event_id").agg(F.bit_or(bit).alias("bits")))
+    light = names.join(heavy, "name", "left_anti").join(mentions.select("event_id", "name").distinct(), "name").groupBy("query_id", "event_id").agg(F.count(F.lit(1)).alias("light"))
+    both = light.join(bits, "event_id", "left").join(masks, "query_id", "left")
+    common = F.bit_count(F.coalesce(F.col("bits"), F.lit(0).cast("long")).bitwiseAND(F.coalesce(F.col("mask"), F.lit(0).cast("long"))))
+    reached = both.select("query_id", "event_id", (F.col("light") + common).cast("long").alias("shared"))
+    more = k + (asked.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
+    first = bits.withColumn("r", F.row_number().over(Window.partitionBy("bits").orderBy("event_id"))).where(F.col("r") <= more)
+    patterns = first.select("bits").distinct().join(heavy, (F.col("bits").bitwiseAND(bit)) != 0).select("bits", "name")
+    met = names.join(patterns, "name").groupBy("query_id", "bits").agg(F.count(F.lit(1)).alias("shared"))
+    offered = met.join(first.select("bits", "event_id"), "bits").select("query_id", "event_id", "shared")
+    return reached.unionByName(offered).groupBy("query_id", "event_id").agg(F.max("shared").alias("shared"))
+
+
 def event_recall(mentions: DataFrame, chunks: DataFrame, seeds: DataFrame, expand: int = 50, coarse: int = 15, k: int = 20) -> DataFrame:
     """(query_id, chunk_id, score): seed events(query_id, event_id, base), one hop more, ranked, then their chunks.
 
     Each limit is a top-k of the recall: how many events are reached, ranked, and chunks returned.
     """
-    named = mentions.join(seeds, "event_id").select("query_id", "name", "base")
-    reached = named.join(mentions, "name").groupBy("query_id", "event_id").agg(F.count_distinct("name").alias("shared"))
+    reached = shared_names(mentions, seeds, expand)
     reached = reached.join(seeds.select("query_id", "event_id"), ["query_id", "event_id"], "left_anti").select("query_id", "event_id", F.col("shared").cast("double").alias("base"), F.lit(1).alias("o"))
     few = reached.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("base"), "event_id"))).where(F.col("r") <= expand).drop("r")
     both = seeds.select("query_id", "event_id", "base", F.lit(0).alias("o")).unionByName(few)

@@ -49,6 +49,11 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     each = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
     v = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), V.as_double(F.col("vector")).alias("vector"), F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), each(blocks, "block"))
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), V.as_double(F.col("vector")).alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each(shards, "shard"))
+    return ranked(meet(v, q, ["shard", "block"], k), ["query_id"], k)
+
+
+def meet(vectors: DataFrame, queries: DataFrame, by: list[str], k: int) -> DataFrame:
+    """(query_id, chunk_id, score): of each group of vectors and queries that share the keys ``by``, the k largest cosines of every query."""
 
     def unit(rows: pa.Table) -> np.ndarray:
         x = np.array(rows.column("vector").to_pylist(), float)
@@ -71,9 +76,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
                     how.append(row[near])
         return pa.table([pa.array(np.concatenate(c)) for c in (who, what, how)], ["query_id", "chunk_id", "score"])
 
-    by = ["shard", "block"]
-    found = v.groupBy(*by).cogroup(q.groupBy(*by)).applyInArrow(run, "query_id long, chunk_id long, score double")
-    return ranked(found, ["query_id"], k)
+    return vectors.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(run, "query_id long, chunk_id long, score double")
 
 
 def words(text: str = "text") -> Column:

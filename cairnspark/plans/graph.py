@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from cairnspark.functions import names as N
 from cairnspark.functions import vectors as V
+from cairnspark.operators import communities as C
 from cairnspark.operators import graph as G
+from cairnspark.operators.substrings import contains_join
 from cairnspark.plans.registry import query, table
 
 ENT = "ent AS (SELECT 'p' || p_partkey AS name, p_brand AS type FROM part UNION ALL SELECT 's' || s_suppkey, 'supplier' FROM supplier)"
@@ -136,13 +138,13 @@ def n10(spark, sf):
 
 @query("n11_communities")
 def n11(spark, sf):
-    return G.communities(*full(spark, sf), rounds=4)
+    return C.louvain(*full(spark, sf)).labels
 
 
 @query("n12_community_summaries")
 def n12(spark, sf):
     e, r = full(spark, sf)
-    return G.community_summaries(G.communities(e, r, rounds=4), r)
+    return C.summaries(C.louvain(e, r).labels, r)
 
 
 @query("n3_alias_resolution")
@@ -181,9 +183,11 @@ def n15(spark, sf):
 
 @query("n9_centre", "WITH c AS (SELECT 's' || s_suppkey AS id, s_name AS name FROM supplier), q AS (SELECT * FROM (VALUES ('s3'), ('Supplier#00000000')) t(q)), m AS (SELECT q, id, CASE WHEN id = q THEN 0 ELSE 1 END AS o FROM q JOIN c ON id = q OR contains(name, q)) SELECT q, arg_min(id, o * 1000000 + CAST(substr(id, 2) AS BIGINT)) AS id FROM m GROUP BY q")
 def n9(spark, sf):
-    c = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), "s_suppkey")
-    asked = F.array(F.lit("s3"), F.lit("Supplier#00000000"))
-    m = c.select("id", "name", "s_suppkey", F.explode(asked).alias("q")).where((F.col("id") == F.col("q")) | F.contains(F.col("name"), F.col("q")))
+    c = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    asked = spark.createDataFrame([(1, "s3"), (2, "Supplier#00000000")], "pid long, pattern string")
+    inside = contains_join(c.select(F.col("s_suppkey").alias("tid"), F.col("name").alias("text")), asked).select(F.col("tid").alias("s_suppkey"), "pid")
+    same = c.join(asked, F.col("id") == F.col("pattern")).select("s_suppkey", "pid")
+    m = inside.union(same).distinct().join(c, "s_suppkey").join(asked.withColumnRenamed("pattern", "q"), "pid")
     return m.groupBy("q").agg(F.min(F.struct((F.col("id") != F.col("q")).alias("o"), "s_suppkey", "id"))["id"].alias("id"))
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairnspark.plans.registry import LIBRARY_SQL, library, query, table
+from cairnspark.scratch import Scratch
+from cairnspark.streaming import log as L
 from cairnspark.streaming import tasks as S
+from cairnspark.streaming.progress import ProgressWriter
 
 
 @query("l1_log_replay", "SELECT event_id, user_id FROM events")
@@ -38,6 +41,29 @@ def l7(spark, sf):
     return S.failure_runs(table(spark, sf, "events"), "user_id", F.col("event_type") == "error", ["ts", "event_id"]).where("run >= 3").select("user_id", "event_id", "run")
 
 
+def deliveries(spark, sf):
+    """The events as a task log: each is delivered when it happens, clicks and purchases are acknowledged some minutes later, errors fail once."""
+    e = table(spark, sf, "events").select((F.col("user_id") % 16).alias("lane"), F.col("event_id").alias("task"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.floor(F.col("value") * 60).alias("s"))
+    row = lambda part, kind, at: part.select("lane", "task", F.lit(kind).alias("kind"), F.timestamp_micros(at).alias("ts"))
+    later = F.col("at") + F.col("s") * 1_000_000
+    return row(e, "deliver", F.col("at")).union(row(e.where("event_type in ('click', 'purchase')"), "ack", later)).union(row(e.where("event_type = 'error'"), "fail", later))
+
+
+@query("l1_task_log")
+def l1_log(spark, sf):
+    return S.drain(L.task_log(L.sliced(deliveries(spark, sf)), 1_800_000, 3, 3, 3_600_000), mode="append")
+
+
+DEATHS = """e AS (SELECT user_id % 16 AS lane, event_id AS task, event_type, epoch_us(ts) // 1000 AS t, floor(value * 60)::BIGINT * 1000 AS s FROM events),
+ r AS (SELECT lane, t AS ms FROM e UNION ALL SELECT lane, t + s FROM e WHERE event_type IN ('click', 'purchase', 'error')), w AS (SELECT max(ms) - 600000 AS w FROM r), x AS (SELECT lane, max(ms) AS last FROM r GROUP BY lane)"""
+
+
+@query("l5_dead_letter_stream", f"WITH {DEATHS} SELECT lane, task, 3::INTEGER AS deliveries, (t + 5400000)::BIGINT AS died_ms FROM e JOIN x USING (lane), w WHERE NOT (event_type IN ('click', 'purchase') AND s < 5400000) AND t + 5400000 <= greatest(w, last)")
+def l5_stream(spark, sf):
+    """Tasks that three deliveries, half an hour apart, left without an acknowledgement; the breaker is set beyond reach."""
+    return S.drain(L.task_log(L.sliced(deliveries(spark, sf)), 1_800_000, 3, 1 << 30, 1), mode="append").where("outcome = 'dead'").select("lane", "task", "deliveries", F.col("at").alias("died_ms"))
+
+
 @query("l9_idempotency", f"WITH {LIBRARY_SQL} SELECT event_id FROM events WHERE user_id NOT IN (SELECT doc_id FROM library WHERE status IN ('completed', 'cancelled'))")
 def l9(spark, sf):
     done = library(spark, sf).where("status in ('completed', 'cancelled')").select(F.col("doc_id").alias("user_id"))
@@ -100,6 +126,33 @@ def l22(spark, sf):
     return S.sessions(table(spark, sf, "events"), "6 hours", "user_id")
 
 
+@query("l21_nonce_stream", "SELECT DISTINCT event_id // 2 AS nonce FROM events")
+def l21_stream(spark, sf):
+    """A nonce comes twice within minutes; state keeps it for two hours of event time."""
+    e = L.sliced(table(spark, sf, "events").select("event_id", "ts")).withColumn("nonce", F.expr("event_id div 2"))
+    return S.drain(S.first_in_window(e, ["nonce"], "2 hours").select("nonce"), mode="append")
+
+
+@query("l22_session_stream", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events), h AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT min(ts) AS start, max(ts) AS last, user_id, count(*)::BIGINT AS n FROM h GROUP BY user_id, k) SELECT start, user_id, n FROM c WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def l22_stream(spark, sf):
+    """Sessions that the watermark has ended; those that may go on stay in the state."""
+    return S.drain(S.sessions(L.sliced(table(spark, sf, "events").select("user_id", "ts")), "6 hours", "user_id", "1 hour"), mode="append")
+
+
+@query("l17_stream_progress", "SELECT count(*)::BIGINT AS input_rows, 0::BIGINT AS late_rows, 0::BIGINT AS n_slow FROM events")
+def l17_progress(spark, sf):
+    """What a stream of several micro-batches reported of itself while it ran."""
+    writer = ProgressWriter(spark, f"{Scratch(spark).folder}/progress")
+    spark.streams.addListener(writer)
+    try:
+        S.drain(S.tumbling(L.sliced(table(spark, sf, "events").select("user_id", "ts", "value")), "1 hour", ["user_id"], "1 hour"), ["start", "user_id"])
+        writer.write()
+    finally:
+        spark.streams.removeListener(writer)
+    seen = writer.table()
+    return seen.agg(F.sum("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows"), F.sum(F.size("slow")).cast("long").alias("n_slow"))
+
+
 @query("l23_latest_status", f"WITH {LIBRARY_SQL} SELECT doc_id FROM library WHERE status <> 'cancelled'")
 def l23(spark, sf):
     d = library(spark, sf).select("doc_id", "status")

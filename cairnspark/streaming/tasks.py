@@ -112,10 +112,17 @@ def hits_before(events: DataFrame, key: str, seconds: int = 60) -> DataFrame:
     return events.withColumn("hits", F.count(F.lit(1)).over(w))
 
 
-def limiter(events: DataFrame, key: str = "user_id", most: int = 3, seconds: int = 3600) -> DataFrame:
-    """H10, exact and stateful: (key, event_id, allowed); refused rows are not recorded. State holds at most ``most`` times a key."""
+def limiter(events: DataFrame, key: str = "user_id", most: int = 3, seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """H10, exact and stateful: (key, event_id, allowed); refused rows are not recorded.
+
+    State holds at most ``most`` times a key, and goes when the watermark passes the last of them by the window. Rows
+    later than the watermark are dropped, so no row is judged by times that have been forgotten.
+    """
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
         out = []
@@ -126,10 +133,11 @@ def limiter(events: DataFrame, key: str = "user_id", most: int = 3, seconds: int
                 held.append(int(at))
             out.append((k[0], e, ok))
         state.update((held,))
+        state.setTimeoutTimestamp(max((held[-1] + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "event_id", "allowed"])
 
-    timed = events.select(key, "event_id", F.col("ts").cast("timestamp").cast("long").alias("at"))
-    return timed.groupBy(key).applyInPandasWithState(run, f"{key} long, event_id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select(key, "event_id", "ts", F.col("ts").cast("long").alias("at"))
+    return timed.groupBy(key).applyInPandasWithState(run, f"{key} long, event_id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class ThinkSplitter:
