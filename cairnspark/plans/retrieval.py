@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cairnspark.functions import text as T
 from cairnspark.functions import vectors as V
+from cairnspark.operators import cells as K
 from cairnspark.operators import evaluation as E
 from cairnspark.operators import postings as P
 from cairnspark.operators import retrieval as R
@@ -93,6 +94,33 @@ def j4(spark, sf):
     return R.dense_topk(R.scope(v, [1, 3, 5]), q, 5).withColumn("score", F.round("score", 6))
 
 
+_cells: dict[tuple[str, str], K.Cells] = {}
+
+
+def cells_of(spark: SparkSession, sf: str) -> K.Cells:
+    """The vectors in cells, written by the first query of a session that needs them; the labels are the knowledge bases."""
+    name = (spark.sparkContext.applicationId, sf)
+    if name not in _cells or not exists(spark, _cells[name].path):
+        _cells[name] = K.build(vectors(spark, sf), f"{Scratch(spark).folder}/cells")
+    return _cells[name]
+
+
+def probing(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors(spark, sf).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+
+
+@query("j1_cell_search")
+def j1_cells(spark, sf):
+    """The nearest cells alone; its recall against j1_dense_topk is tested."""
+    return K.search(cells_of(spark, sf), probing(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query("j4_scoped_cells", f"WITH {DENSE}, sc AS (SELECT dense.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense JOIN embeddings e ON e.vec_id = chunk_id WHERE e.label IN (2, 4)) SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM sc WHERE rank <= 5")
+def j4_cells(spark, sf):
+    """Every cell of two bases; folders of other buckets are not opened."""
+    return K.search(cells_of(spark, sf), probing(spark, sf), 5, share=1.0, kb_ids=[2, 4]).withColumn("score", F.round("score", 6))
+
+
 @query("j17_direct_mode", f"WITH {DENSE} SELECT query_id, chunk_id, round(score, 6) AS score FROM dtop WHERE rank <= 10 AND score >= 0.2")
 def j17(spark, sf):
     return dense_hits(spark, sf).where("score >= 0.2").select("query_id", "chunk_id", F.round("score", 6).alias("score"))
