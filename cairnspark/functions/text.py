@@ -39,15 +39,20 @@ PLAIN_HEADINGS = (
     (2, r"^[ \t]*([一二三四五六七八九十]+、\s*\S.*)$"),
 )
 LONGEST_HEADING = 40
-TITLE_PATTERNS = (
-    r"#{1,4}[^\S\n]+.+",
-    r"[^\S\n]*第[一二三四五六七八九十百千\d]+[章编]([^\S\n]+\S[^\n]*)?",
-    r"[^\S\n]*第[一二三四五六七八九十百千\d]+[节部]分?([^\S\n]+\S[^\n]*)?",
-    r"[^\S\n]*[一二三四五六七八九十]+、[^\n]+",
-    r"[^\S\n]*[（\(][一二三四五六七八九十]+[）\)][^\n]+",
-    r"[^\S\n]*\d+(\.\d+){0,2}[^\S\n]+[^\n]+",
-    r"[^\S\n]*\d+\.[^\S\n]+[^\n]+",
-    r"[^\S\n]*\d+[）\)][^\S\n]*[^\n]+",
+# Level and pattern of the headings that make up a section path, as whole lines.
+SECTION_HEADINGS = (
+    (4, r"####[^\S\n]+(.+)"),
+    (3, r"###[^\S\n]+(.+)"),
+    (2, r"##[^\S\n]+(.+)"),
+    (1, r"#[^\S\n]+(.+)"),
+    (1, r"[^\S\n]*(第[一二三四五六七八九十百千\d]+[章编])(?:[^\S\n]+\S[^\n]*)?"),
+    (2, r"[^\S\n]*(第[一二三四五六七八九十百千\d]+[节部]分?)(?:[^\S\n]+\S[^\n]*)?"),
+    (2, r"[^\S\n]*([一二三四五六七八九十]+)、([^\n]+)"),
+    (3, r"[^\S\n]*[（\(]([一二三四五六七八九十]+)[）\)]([^\n]+)"),
+    (4, r"[^\S\n]*(\d+\.\d+\.\d+)[^\S\n]+([^\n]+)"),
+    (3, r"[^\S\n]*(\d+\.\d+)[^\S\n]+([^\n]+)"),
+    (2, r"[^\S\n]*(\d+)\.[^\S\n]+([^\n]+)"),
+    (4, r"[^\S\n]*(\d+)[）\)][^\S\n]*([^\n]+)"),
 )
 # What a heading or label without content says.
 FRAGMENTS = ("原告", "被告", "第三人", "诉讼请求", "事实与理由", "事实和理由", "证据目录", "证据清单", "判决如下", "裁定如下", "本院认为", "经审理查明", "审判长", "审判员", "目录", "附录", "附件", "备注", "注", "说明")
@@ -206,7 +211,7 @@ def element_type(content: Column) -> Column:
     """Table if most lines look like rows, title if short and like a heading, else text."""
     lines = F.filter(F.split(F.trim(content), "\n"), lambda x: F.trim(x) != "")
     rows = F.filter(lines, lambda x: (F.length(x) - F.length(F.replace(x, F.lit("|"))) >= 2) | (F.length(F.trim(x)) - F.length(F.replace(F.trim(x), F.lit("\t"))) >= 2))
-    title = F.trim(content).rlike("(?m)^(" + "|".join(TITLE_PATTERNS) + ")$")
+    title = F.trim(content).rlike(r"(?m)\A(?:" + "|".join(p for _, p in SECTION_HEADINGS) + ")$")
     return F.when(F.size(rows) > F.size(lines) * 0.5, "table").when((F.length(F.trim(content)) < 100) & (F.size(lines) <= 2) & title, "title").otherwise("text")
 
 

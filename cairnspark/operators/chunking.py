@@ -7,6 +7,7 @@ around it (routes, page statistics, table groups, paths) is DataFrame work.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +28,7 @@ QA_PAIR = r"(?ms)^\s*(?:Q|问)\s*[:：]\s*(.*?)\s*^\s*(?:A|答)\s*[:：]\s*(.*?)
 MARKS = "|".join((*(m.replace("^(原告", "^(?:原告") for m in T.STRUCTURE_MARKS), r"^#{1,6}\s+"))
 STRUCTURE = f"(?m)(?={MARKS})"
 TABLE = r"(?ms)(<table>.*?</table>|(?:^\|.*\|$\n?){2,})"
+SECTION_LINES = tuple((n, re.compile(p)) for n, p in T.SECTION_HEADINGS)
 SENTENCE_END = r"(?<=[。！？.!?\n])"
 
 
@@ -300,7 +302,41 @@ def enforce_limits(chunks: DataFrame, parent: int = PARENT * 2, child: int = CHI
     return cut.select("doc_id", "parent_index", at.alias("child_index"), "parent", "child", "context_header")
 
 
-def section_paths(chunks: DataFrame) -> DataFrame:
-    """(doc_id, child_index, section_path, element_type) of chunk rows."""
-    path = F.transform(F.filter(F.split("context_header", " > "), lambda x: x != ""), lambda x: F.substring(F.regexp_replace(x, "^#{1,6} ", ""), 1, 40))
-    return chunks.select("doc_id", "child_index", path.alias("section_path"), T.element_type(F.col("child")).alias("element_type"))
+def heading_paths(text: str) -> tuple[list[int], list[list[str]]]:
+    """Places of a text's headings and the path of titles that holds from each on: a heading ends all deeper ones."""
+    places, paths, now, at = [], [], {}, 0
+    for line in text.split("\n"):
+        level = next((n for n, p in SECTION_LINES if p.fullmatch(line)), None)
+        title = line.strip()
+        if level and len(title) <= T.LONGEST_HEADING:
+            now = {n: t for n, t in now.items() if n < level} | {level: title}
+            places.append(at)
+            paths.append([now[n] for n in sorted(now)])
+        at += len(line) + 1
+    return places, paths
+
+
+def section_paths(chunks: DataFrame, anchor: int = 50, many: int = 100) -> DataFrame:
+    """(doc_id, child_index, section_path, element_type) of chunk rows(doc_id, parent_index, child_index, parent, child).
+
+    A child stands where its first letters first occur in its document's parents; its path is that of the last heading
+    before. Documents of more than ``many`` parents with one child each were cut beforehand and have no paths. A group
+    is one document.
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("child_index")
+        parents = f.drop_duplicates("parent_index").sort_values("parent_index")["parent"].fillna("")
+        whole = "\n".join(parents)
+        cut_before = len(parents) > many and len(parents) == len(f)
+        places, paths = ([], []) if cut_before else heading_paths(whole)
+        out = []
+        for child in f["child"].fillna(""):
+            start = child[:anchor].strip()
+            at = whole.find(start) if start and places else -1
+            last = bisect_left(places, at) - 1 if at >= 0 else -1
+            out.append(paths[last] if last >= 0 else [])
+        return pd.DataFrame({"doc_id": f["doc_id"], "child_index": f["child_index"], "section_path": out, "child": f["child"]})
+
+    found = chunks.select("doc_id", "parent_index", "child_index", "parent", "child").groupBy("doc_id").applyInPandas(run, "doc_id long, child_index int, section_path array<string>, child string")
+    return found.select("doc_id", "child_index", "section_path", T.element_type(F.col("child")).alias("element_type"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnspark.scratch import Scratch
+
 IDENTIFIER = r"^[0-9a-zA-Z_-]{1,64}$"
 
 
@@ -101,17 +103,35 @@ def duplicates(files: DataFrame) -> DataFrame:
     return files.join(first, ["kb_id", "file_hash"]).withColumn("first_id", F.when(F.col("first") != F.col("doc_id"), F.col("first"))).drop("first")
 
 
-def ancestors(folders: DataFrame, most: int = 32) -> DataFrame:
-    """(id, ancestor, depth) of folders(id, parent_id), by doubling; a cycle ends at the depth bound."""
-    up = folders.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth"))
-    reach = 1
-    while reach < most:
-        further = up.alias("a").join(up.alias("b"), F.col("a.ancestor") == F.col("b.id")).select("a.id", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        both = up.unionByName(further).groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
-        if both.count() == up.count():
-            return both
-        up, reach = both, reach * 2
-    return up
+def trails(folders: DataFrame) -> DataFrame:
+    """(id, trail): the folders above each of folders(id, parent_id), nearest first, by pointer doubling.
+
+    One row a folder: a round joins each trail with that of its last folder, so depth d takes log2(d) rounds, and each
+    round is a written table. A parent without a row of its own ends a trail; a folder on or below a cycle has each
+    folder of the cycle once, never itself; of rows that repeat an id the least parent counts.
+    """
+    scratch = Scratch(folders.sparkSession)
+    one = folders.where("id is not null").groupBy("id").agg(F.min("parent_id").alias("last"))
+    now = scratch.keep(one.select("id", F.array_compact(F.array("last")).alias("trail"), "last"))
+    while now.where("last is not null").limit(1).count():
+        up = now.select(F.col("id").alias("last"), F.col("trail").alias("__t"), F.col("last").alias("__l"))
+        both = now.join(up, "last", "left").select("id", F.concat("trail", F.coalesce("__t", F.array().cast("array<string>"))).alias("long"), F.col("__l").alias("last"))
+        both = both.withColumn("trail", F.array_remove(F.array_distinct("long"), F.col("id")))
+        # what repeats a folder has been round a cycle
+        further = scratch.keep(both.select("id", "trail", F.when(F.size("trail") == F.size("long"), F.col("last")).alias("last")))
+        scratch.drop(now)
+        now = further
+    return now.select("id", "trail")
+
+
+def ancestors(folders: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) of every folder above another, whatever the depth."""
+    return trails(folders).select("id", F.posexplode("trail").alias("depth", "ancestor")).select("id", "ancestor", (F.col("depth") + 1).alias("depth"))
+
+
+def descendants(folders: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id) of every folder below one of roots(root)."""
+    return ancestors(folders).select(F.col("ancestor").alias("root"), "id").join(roots.select("root").distinct(), "root", "left_semi")
 
 
 def folder_classes(paths: DataFrame, supported: tuple[str, ...]) -> DataFrame:

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnspark.sources.loaders import READERS
+
 # Per cent of progress at which each stage begins and ends.
 STAGES = {"load": (0, 10), "ocr": (10, 30), "chunk": (30, 50), "embed": (50, 90), "index": (90, 100)}
 # Intents that need no retrieval, and the longest rewritten question.
 NO_RETRIEVAL, LONGEST_REWRITE = ("greeting", "chitchat", "follow_up"), 200
-# File types and the reader of each.
-READERS = {"text": ("txt", "md", "markdown"), "table": ("csv", "xlsx", "xls"), "office": ("pdf", "docx", "doc", "pptx"), "image": ("png", "jpg", "jpeg", "bmp", "webp"), "audio": ("mp3", "wav", "m4a")}
 
 
-def reader(filename: Column) -> Column:
-    """The reader of a file by its extension, lower-cased; null where there is none."""
+def reader(filename: Column, strict: bool = False) -> Column:
+    """The reader of a file by its extension, lower-cased; of an unknown type null, or an error if strict."""
     kind = F.lower(F.regexp_extract(filename, r"\.([^.]+)$", 1))
-    out = F.lit(None).cast("string")
+    out = F.raise_error(F.concat(F.lit("unsupported file type: "), kind)).cast("string") if strict else F.lit(None).cast("string")
     for name, kinds in READERS.items():
         out = F.when(kind.isin(*kinds), name).otherwise(out)
     return out
@@ -80,15 +80,20 @@ def progress(stage: Column, done: Column, total: Column) -> Column:
     return F.when(total <= 0, last).otherwise(first + F.floor(part * (last - first)).cast("int"))
 
 
+def _answered(answer: Column) -> Column:
+    """From the first brace of a model's answer to the last: fences and words around the JSON don't matter."""
+    return F.regexp_extract(F.coalesce(answer, F.lit("")), r"(?s)(\{.*\})", 1)
+
+
 def intent(answer: Column) -> Column:
-    """K8: the intent of a model's JSON answer; what is unknown needs retrieval."""
-    found = F.lower(F.trim(F.coalesce(F.get_json_object(answer, "$.intent"), F.lit(""))))
+    """K8: the intent of a model's JSON answer; what is unknown or unreadable needs retrieval."""
+    found = F.lower(F.trim(F.coalesce(F.get_json_object(_answered(answer), "$.intent"), F.lit(""))))
     return F.when(found.isin(*NO_RETRIEVAL), found).otherwise("kb_search")
 
 
 def rewrite(answer: Column, question: Column) -> Column:
     """K8: the rewritten question of an answer; the question itself where there is none or it is too long."""
-    found = F.trim(F.coalesce(F.get_json_object(answer, "$.rewrite_query"), F.lit("")))
+    found = F.trim(F.coalesce(F.get_json_object(_answered(answer), "$.rewrite_query"), F.lit("")))
     return F.when((found == "") | (F.length(found) > LONGEST_REWRITE), question).otherwise(found)
 
 

@@ -156,7 +156,7 @@ def folders(spark, sf):
 
 @query("d19_descendants", "SELECT 'c' || c_custkey AS id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 1")
 def d19(spark, sf):
-    return G.ancestors(folders(spark, sf)).where("ancestor = 'r1'").select("id")
+    return G.descendants(folders(spark, sf), spark.createDataFrame([("r1",)], "root string")).select("id")
 
 
 @query("e1_counts", f"{L} SELECT count(*)::BIGINT AS n, count(*) FILTER (status = 'completed')::BIGINT AS n_completed FROM library")

@@ -13,10 +13,12 @@ from cairnspark.plans.registry import LIBRARY_SQL, library, query, table
 from cairnspark.sources import sinks as S
 
 L = f"WITH {LIBRARY_SQL}"
-NAME = "CASE page_id % 6 WHEN 0 THEN 'a.TXT' WHEN 1 THEN 'b.csv' WHEN 2 THEN 'c.Docx' WHEN 3 THEN 'd.png' WHEN 4 THEN 'e.mp3' ELSE 'f.exe' END"
+TYPES = "['Txt', 'md', 'CSV', 'xlsx', 'pdf', 'doc', 'Docx', 'pptx', 'jpg', 'jpeg', 'png', 'mp3', 'wav', 'm4a', 'flac', 'ogg', 'exe', 'webp']"
+NAME = f"concat('report.v2.', element_at(array{TYPES}, cast(page_id % 18 as int) + 1))".replace("array[", "array(").replace("'], ", "'), ").replace("']", "')")
 
 
-@query("a1_reader_dispatch", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'table' WHEN 2 THEN 'office' WHEN 3 THEN 'image' WHEN 4 THEN 'audio' END AS reader FROM pages")
+@query("a1_reader_dispatch", f"""SELECT page_id, CASE WHEN k IN ('txt', 'md') THEN 'text' WHEN k IN ('csv', 'xlsx') THEN 'table' WHEN k IN ('pdf', 'doc', 'docx', 'pptx') THEN 'office'
+ WHEN k IN ('jpg', 'jpeg', 'png') THEN 'image' WHEN k IN ('mp3', 'wav', 'm4a', 'flac', 'ogg') THEN 'audio' END AS reader FROM (SELECT page_id, lower(({TYPES})[page_id % 18 + 1]) AS k FROM pages)""")
 def a1(spark, sf):
     return table(spark, sf, "pages").select("page_id", C.reader(F.expr(NAME)).alias("reader"))
 
@@ -34,7 +36,7 @@ def a3(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", cells.alias("c")).select("s_suppkey", "c.id", "c.name")
 
 
-@query("a12_media_rows", "SELECT page_id, '' AS content, page_id % 6 = 4 AS is_audio FROM pages WHERE page_id % 6 IN (3, 4)")
+@query("a12_media_rows", "SELECT page_id, '' AS content, page_id % 18 >= 11 AS is_audio FROM pages WHERE page_id % 18 BETWEEN 8 AND 15")
 def a12(spark, sf):
     kind = C.reader(F.expr(NAME))
     return table(spark, sf, "pages").where(kind.isin("image", "audio")).select("page_id", F.lit("").alias("content"), (kind == "audio").alias("is_audio"))
@@ -134,7 +136,7 @@ def o7(spark, sf):
 def k8(spark, sf):
     said = F.when(F.col("event_type") == "view", " ChitChat ").otherwise(F.col("event_type"))
     longer = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.col("event_type")).otherwise(F.repeat(F.col("event_type"), 60))
-    answer = F.to_json(F.struct(said.alias("intent"), longer.alias("rewrite_query")))
+    answer = F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.struct(said.alias("intent"), longer.alias("rewrite_query"))), F.lit("\n```\ndone"))
     names = C.name_list(F.lit('Names:\n["a", " b c ", "", "a"] done'))
     return table(spark, sf, "events").select("event_id", C.intent(answer).alias("intent"), C.rewrite(answer, F.col("props")).alias("rewrite"), F.array_join(names, ",").alias("names"))
 

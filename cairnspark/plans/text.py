@@ -46,13 +46,13 @@ def i23(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(T.index_content(F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")), F.col("text"))).alias("indexed"))
 
 
-@query("i25_element_type", """WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '| a | b |' || chr(10) || '| ' || doc_id || ' | c |' WHEN 1 THEN '## Part ' || doc_id ELSE text END AS t FROM documents),
+@query("i25_element_type", """WITH x AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '| a | b |' || chr(10) || '| ' || doc_id || ' | c |' WHEN 1 THEN '## Part ' || doc_id WHEN 2 THEN doc_id || ' words that follow' WHEN 3 THEN doc_id || '.1 Words that follow' ELSE text END AS t FROM documents),
  y AS (SELECT doc_id, t, list_filter(string_split(trim(t), chr(10)), lambda x: trim(x) <> '') AS lines FROM x)
  SELECT doc_id, CASE WHEN len(list_filter(lines, lambda x: length(x) - length(replace(x, '|', '')) >= 2)) > len(lines) * 0.5 THEN 'table'
-   WHEN length(trim(t)) < 100 AND len(lines) <= 2 AND regexp_matches(trim(t), '(?m)^(#{1,4}[^\\S\\n]+.+|[^\\S\\n]*\\d+(\\.\\d+){0,2}[^\\S\\n]+[^\\n]+|[^\\S\\n]*\\d+\\.[^\\S\\n]+[^\\n]+|[^\\S\\n]*\\d+[）\\)][^\\S\\n]*[^\\n]+)$') THEN 'title' ELSE 'text' END AS element_type FROM y""")
+   WHEN length(trim(t)) < 100 AND len(lines) <= 2 AND regexp_matches(trim(t), '\\A(#{1,4}[^\\S\\n]+[^\\n]+|[^\\S\\n]*\\d+(\\.\\d+){1,2}[^\\S\\n]+[^\\n]+|[^\\S\\n]*\\d+\\.[^\\S\\n]+[^\\n]+|[^\\S\\n]*\\d+[）\\)][^\\S\\n]*[^\\n]+)(\\n|\\z)') THEN 'title' ELSE 'text' END AS element_type FROM y""")
 def i25(spark, sf):
-    k = F.col("doc_id") % 3
-    made = F.when(k == 0, F.concat(F.lit("| a | b |\n| "), F.col("doc_id"), F.lit(" | c |"))).when(k == 1, F.concat(F.lit("## Part "), F.col("doc_id"))).otherwise(F.col("text"))
+    k, own = F.col("doc_id") % 6, F.col("doc_id").cast("string")
+    made = F.when(k == 0, F.concat(F.lit("| a | b |\n| "), own, F.lit(" | c |"))).when(k == 1, F.concat(F.lit("## Part "), own)).when(k == 2, F.concat(own, F.lit(" words that follow"))).when(k == 3, F.concat(own, F.lit(".1 Words that follow"))).otherwise(F.col("text"))
     return _docs(spark, sf).select("doc_id", T.element_type(made).alias("element_type"))
 
 
@@ -211,7 +211,7 @@ def i16(spark, sf):
 
 @query("i24_section_paths")
 def i24(spark, sf):
-    made = _docs(spark, sf).select("doc_id", F.concat(F.lit("# Part "), F.col("doc_id"), F.lit("\n\nIntro.\n\n## Detail\n\n"), "text").alias("text"))
+    made = _docs(spark, sf).select("doc_id", F.concat(F.lit("# Part "), F.col("doc_id"), F.lit("\n\nIntro.\n\n1.1 Detail\n\n"), "text").alias("text"))
     return chunking.section_paths(chunking.chunk_documents(made, mode="naive"))
 
 

@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 LOADED = StructType([StructField("path", StringType()), StructField("content", StringType()), StructField("flag", BooleanType())])
-IMAGES, AUDIO = ("png", "jpg", "jpeg", "bmp", "tiff", "webp"), ("mp3", "wav", "m4a", "flac")
+# The file types that can be loaded, and the reader of each.
+READERS = {"text": ("md", "txt"), "table": ("csv", "xlsx"), "office": ("pdf", "doc", "docx", "pptx"), "image": ("jpg", "jpeg", "png"), "audio": ("mp3", "wav", "m4a", "flac", "ogg")}
+SUPPORTED = tuple(sorted(kind for kinds in READERS.values() for kind in kinds))
+
+
+def unsupported(kind: str) -> str:
+    return f"unsupported file type: {kind}; supported: {', '.join(SUPPORTED)}"
 
 
 def read_text(spark: SparkSession, path: str, pattern: str = "*.{txt,md}") -> DataFrame:
@@ -29,7 +35,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rows_per_chunk(table: DataFrame, columns: list[str], budget: int = 5000, sample: int = 200) -> DataFrame:
-    """A4: one row, n: how many rows fit a chunk, by the 90th percentile of the width of the first rows; the sample is the rule itself."""
+    """A4: one row, n: how many rows fit a chunk, by the 90th percentile of the width of the first rows as they are read; the sample is the rule itself."""
     width = sum((F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))) + 3 for c in columns), F.lit(1))
     widths = table.limit(sample).agg(F.array_sort(F.collect_list(width)).alias("w"))
     p90 = F.coalesce(F.get("w", F.least(F.floor(F.size("w") * 0.9), F.size("w") - 1).cast("int")), F.lit(1))
@@ -108,17 +114,19 @@ def read_media(spark: SparkSession, path: str, kinds: tuple[str, ...]) -> DataFr
 
 
 def load(spark: SparkSession, path: str, file_type: str) -> DataFrame:
-    """A1: dispatch by extension."""
-    kind = file_type.lower().lstrip(".")
-    if kind in ("txt", "md", "markdown"):
+    """A1: dispatch by extension; an unknown type is an error, and so is one whose parser isn't here (pdf, doc)."""
+    kind = file_type.lower().strip(".")
+    if kind not in SUPPORTED:
+        raise ValueError(unsupported(kind))
+    if kind in READERS["text"]:
         return read_text(spark, path, f"*.{kind}")
     if kind == "csv":
         return read_csv(spark, path)
     if kind in PARSERS:
         return read_office(spark, path, kind)
-    if kind in IMAGES + AUDIO:
+    if kind in READERS["image"] + READERS["audio"]:
         return read_media(spark, path, (kind,))
-    raise ValueError(f"no loader for {file_type!r}")
+    raise NotImplementedError(f"no parser for {kind}")
 
 
 def recognise(rows: DataFrame, provider: Callable[[str], str], fallback: Callable[[str], str]) -> DataFrame:
