@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.plans import governance, graph, lifecycle, retrieval, routes, sources, streaming, tables, text  # noqa: F401
+from cairnspark.plans import governance, graph, lifecycle, retrieval, routes, sources, streaming, tables, text, webpages  # noqa: F401
 from cairnspark.plans.registry import ORACLES, QUERIES  # noqa: F401
 from cairnspark.providers import Providers
 

@@ -258,3 +258,30 @@ def j11(spark, sf):
 @query("j19_hash_embedding")
 def j19(spark, sf):
     return _docs(spark, sf).select("doc_id", V.hash_embedder()("text").alias("vector"))
+
+
+OUTLINED = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+ made AS (SELECT doc_id, 3 * i + k AS i, CASE k WHEN 0 THEN CASE WHEN i % 2 = 0 THEN '# Part ' || i ELSE '## Section ' || i END WHEN 1 THEN line ELSE '' END AS line, i AS n, k FROM lines, range(0, 3) t(k))"""
+
+
+def outlined(spark, sf):
+    """Whole documents, each line under a heading of its own, of two levels in turn."""
+    part = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 2 == 0, "# Part ").otherwise("## Section "), i.cast("string"), F.lit("\n"), x, F.lit("\n")))
+    return _docs(spark, sf).select("doc_id", F.array_join(part, "\n").alias("text"))
+
+
+@query("h4_document_trails", rf"WITH {OUTLINED} SELECT doc_id, i::INTEGER AS line, md5(line) AS text, CASE WHEN n % 2 = 0 THEN '# Part ' || n ELSE '# Part ' || (n - 1) || ' > ## Section ' || n END AS trail FROM made WHERE k = 1 AND regexp_matches(line, '\S')")
+def h4_documents(spark, sf):
+    return chunking.heading_trails(outlined(spark, sf)).select("doc_id", "line", F.md5("text").alias("text"), "trail")
+
+
+@query("i7_document_parts", rf"WITH {OUTLINED}, x AS (SELECT doc_id, n, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS text FROM made GROUP BY ALL) SELECT doc_id, n::INTEGER AS part, md5(text) AS text FROM x")
+def i7_documents(spark, sf):
+    return chunking.split_documents(outlined(spark, sf), "heading").select("doc_id", "part", F.md5("text").alias("text"))
+
+
+@query("i9_document_parts", r"""WITH x AS (SELECT doc_id, unnest([regexp_replace(text, '^\s+|\s+$', '', 'g'), '| a | b |' || chr(10) || '| ' || doc_id || ' | c |', 'After ' || doc_id]) AS text, unnest([0, 1, 2])::INTEGER AS part FROM documents) SELECT doc_id, part, md5(text) AS text FROM x""")
+def i9_documents(spark, sf):
+    own = F.col("doc_id").cast("string")
+    made = F.concat(F.col("text"), F.lit("\n| a | b |\n| "), own, F.lit(" | c |\nAfter "), own)
+    return chunking.split_documents(_docs(spark, sf).select("doc_id", made.alias("text")), "table").select("doc_id", "part", F.md5("text").alias("text"))

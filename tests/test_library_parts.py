@@ -9,6 +9,7 @@ from cairnspark.operators import chunking as K
 from cairnspark.operators import governance as G
 from cairnspark.operators import lifecycle as C
 from cairnspark.sources import loaders as L
+from cairnspark.sources import webpages as W
 
 
 def test_trails_of_any_depth_with_cycles(spark):
@@ -60,3 +61,17 @@ def test_section_paths(spark):
     got = {(r["doc_id"], r["child_index"]): r["section_path"] for r in K.section_paths(spark.createDataFrame(rows, "doc_id long, parent_index int, child_index int, parent string, child string")).collect()}
     assert [got[7, i] for i in range(6)] == [["# One"], ["# One", "1.1 Deep"], ["# One", "## Two"], ["第二章 后"], [], []]
     assert got[8, 5] == [] and got[9, 0] == []
+
+
+def test_main_text(spark):
+    long = "This paragraph has more than enough words of its own to stay in the text."
+    html = (
+        "<html><head><title>A &amp; B</title><style>p{}</style></head><body><nav><ul><li><a href='/x'>Home</a></li><li><a href='/y'>All our many other pages and sections of this site</a></li></ul></nav>"
+        f"<!-- note --><script>var s = '<p>{long}</p>';</script><div class=ad>Buy now</div><article><h1>Head &lt;line&gt;</h1><p>{long}<p>Short one.</p><h2>Second</h2><ul><li>{long}</li></ul></article>"
+        "<footer><p>All rights</p></footer></body></html>"
+    )
+    rows = [(1, "https://h.example/p?q", html), (2, "nowhere", None), (3, None, "<p>tiny</p>")]
+    got = {r["page_id"]: r for r in W.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1]["title"] == "A & B" and got[1]["body"] == f"# Head <line>\n\n{long}\n\nShort one.\n\n## Second\n\n- {long}"
+    assert got[1]["markdown"].startswith("# A & B\n\n> 来源：h.example\n> 原文链接：https://h.example/p?q\n\n# Head")
+    assert got[2]["body"] == got[3]["body"] == ""
