@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from cairnspark.functions import text as T
 from cairnspark.functions import vectors as V
+from cairnspark.scratch import Scratch, maybe_broadcast
 
 RRF_K = 60
 #: Vectors and queries that meet in one task, and queries whose scores are held at once.
@@ -29,6 +30,23 @@ def ranked(hits: DataFrame, by: list[str], k: int | None = None, score: str = "s
     return out.where(F.col("rank") <= k) if k else out
 
 
+def placed(rows: DataFrame, by: str, *order: Column) -> DataFrame:
+    """H2: rows with place, from 0, and n, the size of their group, in an order within each group that may hold any share of the table.
+
+    Rows are dealt by ranges of (group, order), counted within a range, and the counts of a group's earlier ranges
+    are added; what is added has a row for each group and range.
+    """
+    scratch = Scratch(rows.sparkSession)
+    dealt = scratch.keep(rows.repartitionByRange(F.col(by).asc_nulls_first(), *order).withColumn("__part", F.spark_partition_id()))
+    own = Window.partitionBy(by, "__part").orderBy(*order)
+    group = Window.partitionBy(by)
+    counts = dealt.groupBy(by, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    earlier = F.coalesce(F.sum("__c").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select(F.col(by).alias("__by"), F.col("__part").alias("__p"), earlier.alias("__first"), F.sum("__c").over(group).alias("n"))
+    both = dealt.join(maybe_broadcast(first, most=100_000), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__p")))
+    return both.withColumn("place", F.row_number().over(own) - 1 + F.col("__first")).drop("__part", "__by", "__p", "__first")
+
+
 def scope(chunks: DataFrame, kb_ids: list | None = None, doc_types: list | None = None, kb: str = "kb_id", kind: str = "file_type") -> DataFrame:
     """Rows of the named knowledge bases and types; no list, no filter."""
     wanted = [F.col(c).isin(*v) for c, v in ((kb, kb_ids), (kind, doc_types)) if v]

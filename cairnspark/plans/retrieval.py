@@ -244,8 +244,8 @@ def j10(spark, sf):
 
 @query("h2_position_prior", "WITH x AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, round(CASE WHEN n = 1 THEN 1 ELSE greatest(0.1::DOUBLE, 1 - i / n::DOUBLE) END, 9) AS prior, round(1 / (1 + i)::DOUBLE, 9) AS reciprocal FROM x")
 def h2(spark, sf):
-    w = Window.partitionBy("source")
-    x = table(spark, sf, "documents").select("doc_id", (F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    x = R.placed(d, "source", F.desc("n_chars"), F.col("doc_id")).withColumnRenamed("place", "i")
     return x.select("doc_id", F.round(F.when(F.col("n") == 1, 1.0).otherwise(F.greatest(F.lit(0.1), 1 - F.col("i") / F.col("n"))), 9).alias("prior"), F.round(1 / (1 + F.col("i")), 9).alias("reciprocal"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnspark.functions import names as N
@@ -10,7 +13,7 @@ from cairnspark.functions import vectors as V
 from cairnspark.operators import evaluation as E
 from cairnspark.operators import graph as G
 from cairnspark.operators import retrieval as R
-from cairnspark.plans.graph import ENT, MEN, REL, entities, mentions, relations
+from cairnspark.plans.graph import ENT, MEN, REL, entities, full, mentions, relations
 from cairnspark.plans.registry import query, table
 from cairnspark.plans.retrieval import COSINE
 from cairnspark.providers import Graph, Providers, embedding_route, routed
@@ -202,6 +205,26 @@ def m10(spark, sf):
     return g.sizes()
 
 
+@query("m10_graph_operations", f"""WITH {ENT}, {REL}, {MEN}, ends AS (SELECT source AS name FROM rel UNION ALL SELECT target FROM rel), deg AS (SELECT e.name, e.type, count(x.name)::BIGINT AS degree FROM ent e LEFT JOIN ends x ON x.name = e.name GROUP BY ALL)
+ SELECT 'search' AS op, name, 1::BIGINT AS n FROM ent WHERE contains(name, '19') UNION ALL SELECT 'overview', name, degree FROM (SELECT * FROM deg ORDER BY degree DESC, name LIMIT 20)
+ UNION ALL SELECT 'detail', other, count(*) FROM (SELECT DISTINCT target AS other, type FROM rel WHERE source = 's1') GROUP BY other UNION ALL SELECT 'stats', coalesce(type, 'unknown'), count(*) FROM deg GROUP BY type
+ UNION ALL SELECT 'events', event_id::VARCHAR, count(DISTINCT name) FROM men WHERE name IN ('p1', 'p2', 'p3') GROUP BY event_id""")
+def m10_operations(spark, sf):
+    """What users ask a graph store for, through the one interface."""
+    e, r = full(spark, sf)
+    g = Graph(e, r, table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id")), mentions(spark, sf))
+    names = lambda *found: spark.createDataFrame([(x,) for x in found], "name string")
+    row = lambda op, rows, name, n: rows.select(F.lit(op).alias("op"), F.col(name).cast("string").alias("name"), n.cast("long").alias("n"))
+    parts = [
+        row("search", g.search(spark.createDataFrame([(1, "19")], "pid long, pattern string")), "name", F.lit(1)),
+        row("overview", g.overview(20)[0], "name", F.col("degree")),
+        row("detail", g.detail(names("s1")).groupBy("other").count(), "other", F.col("count")),
+        row("stats", g.stats(), "type", F.col("n")),
+        row("events", g.events_of(names("p1", "p2", "p3")), "event_id", F.col("mention_count")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("p6_harness", f"WITH {FIRST}, x AS (SELECT round(avg(coalesce(1.0::DOUBLE / first, 0)), 9) AS mrr, count(*)::BIGINT AS n_questions FROM f) SELECT 'all' AS mode, n_questions, mrr FROM x UNION ALL SELECT 'first only', n_questions, (SELECT round(avg(CASE WHEN first = 1 THEN 1.0::DOUBLE ELSE 0 END), 9) FROM f) FROM x")
 def p6(spark, sf):
     """The same questions under two modes, one row each."""

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from cairnspark.operators import communities as C
 from cairnspark.operators import graph as G
+from cairnspark.operators import retrieval as R
 from cairnspark.operators import substrings as S
+from cairnspark.providers import Graph
 
 
 def q_of(edges, part):
@@ -127,3 +129,29 @@ def test_paths_through_hubs_are_linear_and_exact(spark, monkeypatch):
     assert top(got) == top(want)
     assert sum(1 for q, e in got if q < 6) < 6 * 120  # every one of these queries has the hub, which 100 events name
     assert {r["name"] for r in G.heavy_names(m).collect()} == {"hub", "other hub"}
+
+
+def test_graph_store_changes(spark):
+    kinds = "kb_id string, name string, type string, doc_ids array<long>, seq long"
+    old = spark.createDataFrame([("k", "a", "t", [1], 1), ("k", "b", "t", [1, 2], 2)], kinds)
+    edges = "kb_id string, source string, target string, type string, doc_id long, seq long"
+    rel = spark.createDataFrame([("k", "a", "b", "r", 1, 1)], edges)
+    mentions = spark.createDataFrame([(10, "a"), (11, "b"), (11, "c")], "event_id long, name string")
+    g = Graph(old.withColumn("degree", F.lit(1)), rel, spark.createDataFrame([(10, 1), (11, 2)], "event_id long, doc_id long"), mentions)
+    more = g.upserted(spark.createDataFrame([("k", "c", "t", [2], 3), ("k", "a", "", [3], 4)], kinds), spark.createDataFrame([("k", "b", "c", "r", 2, 5), ("k", "c", "gone", "r", 2, 6)], edges))
+    assert {(r["name"], tuple(r["doc_ids"]), r["degree"]) for r in more.entities.collect()} == {("a", (1, 3), 1), ("b", (1, 2), 2), ("c", (2,), 1)}
+    assert {(r["source"], r["target"]) for r in more.relations.collect()} == {("a", "b"), ("b", "c")}
+    left = more.without_document(F.lit(2).cast("long"))
+    assert {(r["name"], r["degree"]) for r in left.entities.collect()} == {("a", 1), ("b", 1)}
+    assert [(r["event_id"], r["name"]) for r in left.mentions.collect()] == [(10, "a")] and left.events.count() == 1
+    assert {r["name"] for r in more.ego(spark.createDataFrame([("a",)], "name string"), 2).collect()} == {"a", "b", "c"}
+    assert len({r["community"] for r in more.communities().collect()}) == 1
+
+
+def test_places_in_hot_groups(spark):
+    rows = [(i, "hot" if i % 3 else None, i % 7) for i in range(500)]
+    got = R.placed(spark.createDataFrame(rows, "id long, g string, v int"), "g", F.desc("v"), F.col("id")).collect()
+    for g in ("hot", None):
+        own = sorted([r for r in rows if r[1] == g], key=lambda r: (-r[2], r[0]))
+        assert [r["id"] for r in sorted((x for x in got if x["g"] == g), key=lambda x: x["place"])] == [r[0] for r in own]
+        assert {r["n"] for r in got if r["g"] == g} == {len(own)} and {r["place"] for r in got if r["g"] == g} == set(range(len(own)))
