@@ -1,4 +1,4 @@
-"""Queries of tables that change in place and of library folders."""
+"""Queries of tables that change in place and of library folders."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnspark.plans.registry import query, table
+from cairnspark.plans.registry import library, query, table
 from cairnspark.scratch import Scratch
 from cairnspark.sources import folder
 from cairnspark.sources.tables import PartitionedTable, bucket
@@ -58,6 +58,51 @@ def b26_table(spark, sf):
     return read(made)
 
 
+@query("b11_table_drop_base", "SELECT p_brand AS kb_id, count(*)::BIGINT AS n FROM part WHERE p_brand <> 'Brand#11' GROUP BY 1")
+def b11_table(spark, sf):
+    """The entities of one base leave the graph's table."""
+    e = table(spark, sf, "part").select(F.col("p_brand").alias("kb_id"), F.col("p_partkey").alias("name"), bucket("p_brand").alias("bucket"))
+    made = PartitionedTable(spark, f"{Scratch(spark).folder}/entities", e.schema, ("bucket",))
+    made.create(e)
+    made.delete(spark.createDataFrame([("Brand#11",)], "kb_id string"), ["kb_id"])
+    return made.read().groupBy("kb_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b12_table_summaries", "SELECT n_regionkey AS kb_id, n_name AS summary FROM nation WHERE n_regionkey % 2 = 0 UNION ALL SELECT r_regionkey, r_name FROM region WHERE r_regionkey % 2 = 1")
+def b12_table(spark, sf):
+    """Summaries of some bases are cleared and written anew; those of others stay."""
+    rows = lambda df, kb, name: df.select(F.col(kb).alias("kb_id"), F.col(name).alias("summary"), bucket(kb).alias("bucket"))
+    old = rows(table(spark, sf, "nation"), "n_regionkey", "n_name")
+    made = PartitionedTable(spark, f"{Scratch(spark).folder}/summaries", old.schema, ("bucket",))
+    made.create(old)
+    made.replace(rows(table(spark, sf, "region").where("r_regionkey % 2 = 1"), "r_regionkey", "r_name"), ["kb_id"])
+    return made.read().select("kb_id", "summary")
+
+
+@query("b16_table_config", "SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS value FROM customer")
+def b16_table(spark, sf):
+    """A patch of settings, of which only known fields reach the table."""
+    known = ["segment"]
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.lit("segment").alias("name"), F.col("c_mktsegment").alias("value"), bucket("c_custkey", 8).alias("bucket"))
+    made = PartitionedTable(spark, f"{Scratch(spark).folder}/settings", c.schema, ("bucket",))
+    made.create(c)
+    some = c.where("key % 3 = 0")
+    patch = some.withColumn("value", F.lit("new")).unionByName(some.withColumn("name", F.lit("colour")).withColumn("value", F.lit("red")))
+    made.replace(patch.where(F.col("name").isin(known)), ["key", "name"])
+    return made.read().select("key", "value")
+
+
+@query("b21_table_cancel", "SELECT doc_id, CASE WHEN doc_id % 11 IN (7, 8, 9) AND source = 'src2' THEN 'cancelled' ELSE CASE WHEN doc_id % 11 < 6 THEN 'completed' WHEN doc_id % 11 = 6 THEN 'failed' WHEN doc_id % 11 < 9 THEN 'processing' WHEN doc_id % 11 = 9 THEN 'pending' ELSE 'cancelled' END END AS status FROM documents")
+def b21_table(spark, sf):
+    """Unfinished documents of one base are cancelled in place: only its bucket is written."""
+    d = library(spark, sf).select("doc_id", "kb_id", "status", bucket("kb_id").alias("bucket"))
+    made = PartitionedTable(spark, f"{Scratch(spark).folder}/status", d.schema, ("bucket",))
+    made.create(d)
+    open_now = made.read().where("kb_id = 'src2' and status in ('processing', 'pending')")
+    made.replace(open_now.withColumn("status", F.lit("cancelled")), ["doc_id"])
+    return made.read().select("doc_id", "status")
+
+
 def written_files(docs: DataFrame, path: str) -> int:
     """Files doc_<id>.txt of docs(doc_id, text) in a folder that all tasks see; how many."""
     path = path.removeprefix("file://")
