@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairnspark.functions.vectors import cosine
+from cairnspark.operators.communities import louvain
 from cairnspark.operators.substrings import contains_join
 from cairnspark.scratch import Scratch
 
@@ -121,6 +122,11 @@ def with_events(nodes: DataFrame, mentions: DataFrame) -> DataFrame:
     return nodes.select(F.col("name").alias("id"), F.lit("entity").alias("node_type")).union(events.withColumn("node_type", F.lit("event")))
 
 
+def communities(entities: DataFrame, relations: DataFrame, rounds: int = 10) -> DataFrame:
+    """(name, community) by Louvain, of at most so many rounds of moves a level."""
+    return louvain(entities, relations, passes=rounds).labels
+
+
 def resolve_aliases(entities: DataFrame, least: float = 0.92, candidates: int = 10) -> DataFrame:
     """(name, canonical): entities(name, type, vector) whose name holds another's of the same type, at a cosine of least or more.
 
