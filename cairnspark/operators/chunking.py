@@ -1,20 +1,24 @@
 """Cleaning of paged texts and chunking of documents into parents and children.
 
 Splitting is a sequential fold over one text, so it runs inside Arrow batches, a document at a time; everything
-around it (routes, page statistics, table groups, paths) is DataFrame work.
+around it (routes, page statistics, table groups, paths) is DataFrame work. A parent stands beside each of its
+children, so what a batch of documents gives can be many times its size: rows leave a task in batches of bounded text,
+and what needs all children of a document (limits, paths) is done in the same fold, so parents are not shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cairnspark.batches import in_batches
 from cairnspark.functions import text as T
 
 PAGE_HEIGHT, EDGE = 842.0, 0.05
@@ -218,33 +222,37 @@ def normalise(parts: list[str], most: int = PARENT) -> list[str]:
 CUTS = {"normal": lambda t: normalise(units(t, "paragraph")), "child": lambda t: children(t), "sentence": lambda t: sentences(t, PARENT), "fixed": lambda t: fixed(t)}
 
 
+def fold_texts(docs: DataFrame, rows_of: Callable[[int, str | None], Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that a function gives of each of docs(doc_id, text), a document at a time."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from in_batches((row for f in frames for d, t in zip(f["doc_id"], f["text"], strict=True) for row in rows_of(d, t)), names)
+
+    return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+
 def split_documents(docs: DataFrame, how: str) -> DataFrame:
     """(doc_id, part, text) of docs(doc_id, text); how is a key of SPLITS or CUTS, or table."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            cut = [CUTS[how](t or "") if how in CUTS else units(t or "", how) for t in f["text"]]
-            rows = [(d, i, p) for d, parts in zip(f["doc_id"], cut, strict=True) for i, p in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=["doc_id", "part", "text"])
+    def rows_of(doc_id: int, text: str | None) -> Iterator[tuple]:
+        cut = CUTS[how](text or "") if how in CUTS else units(text or "", how)
+        return ((doc_id, i, p) for i, p in enumerate(cut))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, part int, text string")
+    return fold_texts(docs, rows_of, "doc_id long, part int, text string")
 
 
 def heading_trails(docs: DataFrame) -> DataFrame:
     """H4: (doc_id, line, text, trail) of every line that is no heading, with the headings above it."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for d, t in zip(f["doc_id"], f["text"], strict=True):
-                crumbs = Breadcrumb(t or "")
-                for i, line in enumerate((t or "").split("\n")):
-                    trail = crumbs.feed(line)
-                    if line.strip() and not crumbs.heading(line):
-                        rows.append((d, i, line, trail))
-            yield pd.DataFrame(rows, columns=["doc_id", "line", "text", "trail"])
+    def rows_of(doc_id: int, text: str | None) -> Iterator[tuple]:
+        crumbs = Breadcrumb(text or "")
+        for i, line in enumerate((text or "").split("\n")):
+            trail = crumbs.feed(line)
+            if line.strip() and not crumbs.heading(line):
+                yield doc_id, i, line, trail
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, line int, text string, trail string")
+    return fold_texts(docs, rows_of, "doc_id long, line int, text string, trail string")
 
 
 def chunk_text(text: str | None, mode: str = "naive") -> list[tuple[int, int, str, str, str]]:
@@ -278,28 +286,40 @@ def chunk_text(text: str | None, mode: str = "naive") -> list[tuple[int, int, st
 CHUNKS = "doc_id long, parent_index int, child_index int, parent string, child string, context_header string"
 
 
-def chunk_documents(docs: DataFrame, mode: str = "naive") -> DataFrame:
-    """docs(doc_id, text) to child rows with their parents."""
+def chunk_documents(docs: DataFrame, mode: str = "naive", limits: tuple[int, int] | None = None) -> DataFrame:
+    """docs(doc_id, text) to child rows with their parents; with limits of parents and children they are enforced (I16) in the same fold."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, *r) for d, t in zip(f["doc_id"], f["text"], strict=True) for r in chunk_text(t, mode)]
-            yield pd.DataFrame(rows, columns=["doc_id", "parent_index", "child_index", "parent", "child", "context_header"])
+    def rows_of(doc_id: int, text: str | None) -> Iterator[tuple]:
+        rows = chunk_text(text, mode)
+        return ((doc_id, *r) for r in (within_limits(rows, *limits) if limits else rows))
 
-    return docs.select("doc_id", "text").mapInPandas(run, CHUNKS)
+    return fold_texts(docs, rows_of, CHUNKS)
 
 
-def enforce_limits(chunks: DataFrame, parent: int = PARENT * 2, child: int = CHILD + 50) -> DataFrame:
-    """I16: children over the limit are cut again and numbered anew; parents over it become their children's windows."""
+LIMITS = (PARENT * 2, CHILD + 50)
+
+
+def within_limits(rows: Iterable[tuple[int, int, str, str, str]], parent: int = LIMITS[0], child: int = LIMITS[1]) -> Iterator[tuple[int, int, str, str, str]]:
+    """I16: of one document's rows of chunk_text, in order: children over the limit are cut again and numbered anew; parents over it become their children's windows."""
+    n = 0
+    for k, _, p, c, header in rows:
+        for piece in [c] if len(c) <= child else sentences(c, CHILD):
+            yield k, n, p if len(p) <= parent else piece, piece, header
+            n += 1
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(r.doc_id, r.parent_index, r.child_index, i, r.parent if len(r.parent) <= parent else c, c, r.context_header) for r in f.itertuples() for i, c in enumerate([r.child] if len(r.child) <= child else sentences(r.child, CHILD))]
-            yield pd.DataFrame(rows, columns=["doc_id", "parent_index", "old", "piece", "parent", "child", "context_header"])
 
-    cut = chunks.mapInPandas(run, "doc_id long, parent_index int, old int, piece int, parent string, child string, context_header string")
+def enforce_limits(chunks: DataFrame, parent: int = LIMITS[0], child: int = LIMITS[1]) -> DataFrame:
+    """I16 of chunk rows that are there already. Children alone pass through Python; chunk_documents with limits needs no shuffle."""
+
+    @F.pandas_udf("array<string>")
+    def cut(children: pd.Series) -> pd.Series:
+        return children.map(lambda c: [c] if len(c) <= child else sentences(c, CHILD))
+
+    pieces = chunks.select("*", F.posexplode(cut("child")).alias("piece", "__c"))
+    own = F.when(F.length("parent") <= parent, F.col("parent")).otherwise(F.col("__c"))
     at = F.row_number().over(Window.partitionBy("doc_id").orderBy("old", "piece")) - 1
-    return cut.select("doc_id", "parent_index", at.alias("child_index"), "parent", "child", "context_header")
+    cut_rows = pieces.select("doc_id", "parent_index", F.col("child_index").alias("old"), "piece", own.alias("parent"), F.col("__c").alias("child"), "context_header")
+    return cut_rows.select("doc_id", "parent_index", at.alias("child_index"), "parent", "child", "context_header")
 
 
 def heading_paths(text: str) -> tuple[list[int], list[list[str]]]:
@@ -316,27 +336,55 @@ def heading_paths(text: str) -> tuple[list[int], list[list[str]]]:
     return places, paths
 
 
+def child_paths(parents: list[str], children: list[str], anchor: int = 50, many: int = 100) -> list[list[str]]:
+    """The section path of each child of one document: that of the last heading before the place where its first letters first occur.
+
+    Documents of more than ``many`` parents with one child each were cut beforehand and have no paths.
+    """
+    whole = "\n".join(parents)
+    cut_before = len(parents) > many and len(parents) == len(children)
+    places, paths = ([], []) if cut_before else heading_paths(whole)
+    out: list[list[str]] = []
+    for child in children:
+        start = child[:anchor].strip()
+        at = whole.find(start) if start and places else -1
+        last = bisect_left(places, at) - 1 if at >= 0 else -1
+        out.append(paths[last] if last >= 0 else [])
+    return out
+
+
+PATHS = "doc_id long, child_index int, section_path array<string>, child string"
+
+
+def path_rows(doc_id: int, rows: Iterable[tuple[int, int, str, str]], anchor: int, many: int) -> Iterator[tuple]:
+    """PATHS of one document's (parent_index, child_index, parent, child), in any order."""
+    rows = sorted(rows, key=lambda r: r[1])
+    parents: dict[int, str] = {}
+    for k, _, p, _ in rows:
+        parents.setdefault(k, p or "")
+    found = child_paths([parents[k] for k in sorted(parents)], [c or "" for *_, c in rows], anchor, many)
+    return ((doc_id, n, path, c) for (_, n, _, c), path in zip(rows, found, strict=True))
+
+
 def section_paths(chunks: DataFrame, anchor: int = 50, many: int = 100) -> DataFrame:
-    """(doc_id, child_index, section_path, element_type) of chunk rows(doc_id, parent_index, child_index, parent, child).
+    """(doc_id, child_index, section_path, element_type) of chunk rows(doc_id, parent_index, child_index, parent, child) that are there already.
 
-    A child stands where its first letters first occur in its document's parents; its path is that of the last heading
-    before. Documents of more than ``many`` parents with one child each were cut beforehand and have no paths. A group
-    is one document.
+    Rows are dealt and sorted by document, and read one document after another.
     """
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("child_index")
-        parents = f.drop_duplicates("parent_index").sort_values("parent_index")["parent"].fillna("")
-        whole = "\n".join(parents)
-        cut_before = len(parents) > many and len(parents) == len(f)
-        places, paths = ([], []) if cut_before else heading_paths(whole)
-        out = []
-        for child in f["child"].fillna(""):
-            start = child[:anchor].strip()
-            at = whole.find(start) if start and places else -1
-            last = bisect_left(places, at) - 1 if at >= 0 else -1
-            out.append(paths[last] if last >= 0 else [])
-        return pd.DataFrame({"doc_id": f["doc_id"], "child_index": f["child_index"], "section_path": out, "child": f["child"]})
-
-    found = chunks.select("doc_id", "parent_index", "child_index", "parent", "child").groupBy("doc_id").applyInPandas(run, "doc_id long, child_index int, section_path array<string>, child string")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for f in frames for row in f.itertuples(index=False, name=None))
+        found = (row for d, own in groupby(rows, key=lambda r: r[0]) for row in path_rows(d, [r[1:] for r in own], anchor, many))
+        yield from in_batches(found, ["doc_id", "child_index", "section_path", "child"])
+
+    dealt = chunks.select("doc_id", "parent_index", "child_index", "parent", "child").repartition("doc_id").sortWithinPartitions("doc_id")
+    return typed_paths(dealt.mapInPandas(run, PATHS))
+
+
+def document_paths(docs: DataFrame, mode: str = "naive", anchor: int = 50, many: int = 100) -> DataFrame:
+    """I24 of docs(doc_id, text): chunks and their paths in one fold, without a shuffle."""
+    return typed_paths(fold_texts(docs, lambda doc_id, text: path_rows(doc_id, [r[:4] for r in chunk_text(text, mode)], anchor, many), PATHS))
+
+
+def typed_paths(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "child_index", "section_path", T.element_type(F.col("child")).alias("element_type"))
