@@ -14,6 +14,7 @@ and nothing else; an empty lane holds none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,9 @@ from cairnspark.scratch import Scratch
 
 OUTCOMES = "lane long, task long, outcome string, deliveries int, at long"
 NEVER = 1 << 62
+#: Outcomes in a frame, and rows in a file of a slice.
+FRAME_ROWS, FILE_ROWS = 10_000, 500_000
+KINDS = pd.CategoricalDtype(["ack", "deliver", "fail"], ordered=True)
 
 
 class TaskLog(StatefulProcessor):
@@ -40,6 +44,8 @@ class TaskLog(StatefulProcessor):
         self.tasks = {k[0]: tuple(v) for k, v in self.pending.iterator()} if self.pending.exists() else {}
         self.waiting = {k[0]: v[0] for k, v in self.held.iterator()} if self.held.exists() else {}
         self.failures, self.open_until = self.breaker.get() if self.breaker.exists() else (0, -1)
+        self.queue = [(due, task) for task, (_, due) in self.tasks.items()]
+        heapify(self.queue)
         self.before = dict(self.tasks), dict(self.waiting), (self.failures, self.open_until)
 
     def _store(self) -> None:
@@ -61,11 +67,21 @@ class TaskLog(StatefulProcessor):
         if due < NEVER:
             self.handle.registerTimer(due)
 
+    def _start(self, task: int, deliveries: int, due: int) -> None:
+        self.tasks[task] = (deliveries, due)
+        heappush(self.queue, (due, task))
+
     def _next_due(self) -> int:
-        return self.open_until if self.open_until >= 0 else min((due for _, due in self.tasks.values()), default=NEVER)
+        """The breaker's end, or the first deadline; those of tasks that are gone or have a later one are passed over."""
+        if self.open_until >= 0:
+            return self.open_until
+        while self.queue and self.tasks.get(self.queue[0][1], (0, NEVER))[1] != self.queue[0][0]:
+            heappop(self.queue)
+        return self.queue[0][0] if self.queue else NEVER
 
     def _advance(self, upto: int) -> Iterator[tuple]:
         """Everything that falls due up to a time, in order."""
+        late: list[int] = []
         while (due := self._next_due()) <= upto:
             if self.open_until >= 0:
                 self.failures, self.open_until = 0, -1
@@ -74,18 +90,25 @@ class TaskLog(StatefulProcessor):
                     yield self._deliver(task, due)
                 self.waiting = {}
                 # what fell due meanwhile falls due now
-                self.tasks = {t: (n, max(d, due)) for t, (n, d) in self.tasks.items()}
+                while self.queue and self.queue[0][0] < due:
+                    d, task = heappop(self.queue)
+                    if self.tasks.get(task, (0, NEVER))[1] == d:
+                        late.append(task)
+                for task in late:
+                    self._start(task, self.tasks[task][0], due)
+                late.clear()
                 continue
-            task, (n, _) = min(self.tasks.items(), key=lambda x: (x[1][1], x[0]))
+            task = self.queue[0][1]
+            n = self.tasks[task][0]
             if n + 1 > self.most:
                 del self.tasks[task]
                 yield task, "dead", n, due
             else:
-                self.tasks[task] = (n + 1, due + self.idle_ms)
+                self._start(task, n + 1, due + self.idle_ms)
                 yield task, "reclaimed", n + 1, due
 
     def _deliver(self, task: int, at: int) -> tuple:
-        self.tasks[task] = (1, at + self.idle_ms)
+        self._start(task, 1, at + self.idle_ms)
         return task, "delivered", 1, at
 
     def _apply(self, task: int, kind: str, at: int) -> Iterator[tuple]:
@@ -113,12 +136,15 @@ class TaskLog(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         self._load()
-        got = pd.concat(list(rows))
+        got = pd.concat([f[["task", "kind", "at"]].astype({"kind": KINDS}) for f in rows])
         got = got.assign(then=got["kind"] != "deliver").sort_values(["at", "then", "task", "kind"])  # at one instant deliveries come first
         out: list[tuple] = []
-        for task, kind, at in zip(got["task"].tolist(), got["kind"].tolist(), got["at"].tolist()):
+        for task, kind, at in zip(got["task"], got["kind"], got["at"]):
             out.extend(self._advance(at))
             out.extend(self._apply(task, kind, at))
+            if len(out) >= FRAME_ROWS:
+                yield self._frame(key[0], out)
+                out = []
         self._store()
         yield self._frame(key[0], out)
 
@@ -140,14 +166,17 @@ def task_log(rows: DataFrame, idle_ms: int, most: int, threshold: int, pause_ms:
 
 
 def sliced(rows: DataFrame, parts: int = 4, ts: str = "ts") -> DataFrame:
-    """A stream that brings rows in some micro-batches in the order of their times: each part is written and read as one."""
+    """A stream that brings rows in some micro-batches in the order of their times: each part is written as the same number of files and read as one."""
     spark: SparkSession = rows.sparkSession
     scratch = Scratch(spark)
     rows = rows.withColumn(ts, F.col(ts).cast("timestamp"))
-    cuts = rows.select(F.percentile_approx(F.unix_micros(ts), [i / parts for i in range(1, parts)]).alias("c")).first()["c"] or []
     at = F.unix_micros(ts)
+    cuts = rows.select(F.percentile_approx(at, [i / parts for i in range(1, parts)]).alias("c")).first()["c"] or []
     edges = [None, *cuts, None]
-    for low, high in zip(edges, edges[1:]):
-        part = rows.where((F.lit(low is None) | (at >= F.lit(low or 0))) & (F.lit(high is None) | (at < F.lit(high or 0))))
-        part.coalesce(1).write.mode("append").parquet(f"{scratch.folder}/rows")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.folder}/rows")
+    within = [(F.lit(low is None) | (at >= F.lit(low or 0))) & (F.lit(high is None) | (at < F.lit(high or 0))) for low, high in zip(edges, edges[1:])]
+    least = min(rows.select(*[F.count(F.when(w, 1)) for w in within]).first())
+    files = least // FILE_ROWS + 1  # every slice has rows for all its files, so a micro-batch is a slice
+    for w in within:
+        part = rows.where(w)
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(f"{scratch.folder}/rows")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{scratch.folder}/rows")
