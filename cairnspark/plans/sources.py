@@ -6,9 +6,10 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cairnspark.batches import in_slices
 from cairnspark.operators.chunking import key_values, table_chunks
 from cairnspark.plans.registry import query, table
 from cairnspark.sources import loaders as A
@@ -78,11 +79,11 @@ def archived(rows, member, body):
             z.writestr(member, body([escape(x) for x in lines]))
         return raw.getvalue()
 
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"path": f["path"], "content": [pack(x) for x in f["lines"]]})
+    def run(batches):
+        for b in in_slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(x) for x in b.column(1).to_pylist()], pa.binary())], ["path", "content"])
 
-    return rows.select("path", "lines").mapInPandas(run, "path string, content binary")
+    return rows.select("path", "lines").mapInArrow(run, "path string, content binary")
 
 
 def text_lines(spark, sf):

@@ -9,10 +9,13 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from cairnspark.batches import in_slices
+
 LOADED = StructType([StructField("path", StringType()), StructField("content", StringType()), StructField("flag", BooleanType())])
 # The file types that can be loaded, and the reader of each.
 READERS = {"text": ("md", "txt"), "table": ("csv", "xlsx"), "office": ("pdf", "doc", "docx", "pptx"), "image": ("jpg", "jpeg", "png"), "audio": ("mp3", "wav", "m4a", "flac", "ogg")}
@@ -95,11 +98,12 @@ def parsed(files: DataFrame, kind: str) -> DataFrame:
         except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
             return None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"path": f["path"], "content": [safe(bytes(b)) for b in f["content"]], "flag": False})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches):
+            texts = pa.array([safe(raw) for raw in b.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), texts, pa.array([False] * b.num_rows)], LOADED.names)
 
-    return files.select("path", "content").mapInPandas(run, LOADED)
+    return files.select("path", "content").mapInArrow(run, LOADED)
 
 
 def read_office(spark: SparkSession, path: str, kind: str) -> DataFrame:
