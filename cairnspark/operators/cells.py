@@ -2,7 +2,7 @@
 
 Centres come from k-means by cosine on a bounded sample of unit vectors; every vector is indexed under its nearest
 centre. A query reads a share of the cells, those whose centres are nearest, of the buckets of the bases it may see,
-and ranks their vectors exactly; folders of other cells and buckets are not opened. With a share of 1 the result is exact.
+and ranks their vectors exactly; it is sent once to a shard of cells, whatever the number of cells it probes there; folders of other cells and buckets are not opened. With a share of 1 the result is exact.
 A batch is appended by the same centres; the centres stay until the index is built anew.
 """
 
@@ -81,8 +81,10 @@ def append(index: Cells, vectors: DataFrame, batch: int) -> Cells:
     near = _nearest(index.centres(), 1)
     placed = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("kb_id").cast("string").alias("kb_id"), V.as_double(F.col("vector")).alias("vector"))
     placed = placed.withColumn("cell", near("vector")[0]).withColumn("bucket", _bucket())
-    slices = -(-placed.count() // SHARD_ROWS) or 1  # a cell that holds everything is still cut into parts of bounded size
-    placed = placed.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("slices"))  # MOST_CELLS rows at most
+    # a cell that holds everything is still cut into parts of bounded size, and one of a few rows is one file
+    placed = placed.join(F.broadcast(sizes), "cell").withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int"))
+    placed = placed.select("chunk_id", "kb_id", "vector", "slice", "bucket", "cell")
     placed.repartition("bucket", "cell", "slice").write.mode("overwrite").partitionBy("bucket", "cell").parquet(f"{index.path}/rows/batch={batch}")
     return index
 
@@ -92,15 +94,35 @@ def search(index: Cells, queries: DataFrame, k: int = 10, share: float = SHARE,
     centres = index.centres()
     probes = max(1, min(len(centres), round(share * len(centres))))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), V.as_double(F.col("vector")).alias("vector"))
-    asked = asked.withColumn("cell", F.explode(_nearest(centres, probes)("vector")))
-    wanted = [r[0] for r in asked.select("cell").distinct().collect()]  # MOST_CELLS at most
-    rows = index.rows().where(F.col("cell").isin(wanted))
+    rows = index.rows()
     if kb_ids:
         names = [str(b) for b in kb_ids]
         held = [r[0] for r in index.spark.createDataFrame([(b,) for b in names], "kb_id string").select(_bucket()).distinct().collect()]
         rows = scope(rows.where(F.col("bucket").isin(held)), names)
-    slices = rows.select(F.col("cell").alias("cell"), (F.col("slice") + 0).alias("slice")).distinct()  # columns of their own, for the cogroup
+    near = None
+    if probes < len(centres):
+        near = asked.select("query_id", F.explode(_nearest(centres, probes)("vector")).alias("cell"))
+        rows = rows.where(F.col("cell").isin([r[0] for r in near.select("cell").distinct().collect()]))  # MOST_CELLS at most
+    shards, n_shards = sharded(rows)
+    if near is None:
+        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    else:
+        probed = near.join(F.broadcast(shards), "cell").select("query_id", "cell", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("cuts") - 1)).alias("shard"))
+        asked = asked.join(probed.groupBy("query_id", "shard").agg(F.collect_list("cell").alias("cells")), "query_id")
     blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    asked = asked.join(slices, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    rows = rows.select("chunk_id", "vector", "cell", "slice", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    return ranked(meet(rows, asked, ["cell", "slice", "block"], k), ["query_id"], k)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    at = F.col("first") + F.pmod(F.xxhash64("chunk_id"), F.col("cuts")).cast("int")
+    rows = rows.join(F.broadcast(shards), "cell").select("chunk_id", "vector", "cell", at.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return ranked(meet(rows, asked, ["shard", "block"], k), ["query_id"], k)
+
+
+def sharded(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(cell, first, cuts) and the number of shards: neighbouring cells share a shard of some SHARD_ROWS rows, larger ones are cut into several."""
+    found, shard, used = [], 0, 0
+    for cell, n in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect():  # MOST_CELLS at most
+        cuts = -(-n // SHARD_ROWS)
+        if used and used + n > SHARD_ROWS:
+            shard, used = shard + 1, 0
+        found.append((cell, shard, cuts))
+        shard, used = (shard + cuts, 0) if cuts > 1 else (shard, used + n)
+    return rows.sparkSession.createDataFrame(found, "cell int, first int, cuts int"), shard + 1

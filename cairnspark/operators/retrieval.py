@@ -71,7 +71,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
 
 
 def meet(vectors: DataFrame, queries: DataFrame, by: list[str], k: int) -> DataFrame:
-    """(query_id, chunk_id, score): of each group of vectors and queries that share the keys ``by``, the k largest cosines of every query."""
+    """(query_id, chunk_id, score): of each group of vectors and queries that share the keys ``by``, the k largest cosines of every query; queries with ``cells`` meet vectors of these cells alone."""
 
     def unit(rows: pa.Table) -> np.ndarray:
         x = np.array(rows.column("vector").to_pylist(), float)
@@ -83,11 +83,17 @@ def meet(vectors: DataFrame, queries: DataFrame, by: list[str], k: int) -> DataF
         if left.num_rows and right.num_rows:
             x, asked = unit(left), unit(right)
             chunk, ids = left.column("chunk_id").to_numpy(), right.column("query_id").to_numpy()
+            probed = None
+            if "cells" in right.column_names:
+                known, cell = np.unique(left.column("cell").to_numpy(), return_inverse=True)
+                probed = np.array([np.isin(known, cells) for cells in right.column("cells").to_pylist()])
             for first in range(0, len(asked), TILE):
                 scores = np.round(asked[first : first + TILE] @ x.T, 12)
+                if probed is not None:
+                    scores[~probed[first : first + TILE][:, cell]] = -np.inf
                 least = np.partition(scores, max(0, len(x) - k), axis=1)[:, max(0, len(x) - k)]
                 for i, row in enumerate(scores):
-                    near = np.flatnonzero(row >= least[i])
+                    near = np.flatnonzero((row >= least[i]) & (row > -np.inf))
                     near = near[np.lexsort((chunk[near], -row[near]))][:k]
                     who.append(np.full(len(near), ids[first + i]))
                     what.append(chunk[near])
