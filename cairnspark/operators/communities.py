@@ -1,11 +1,16 @@
 """Modularity communities by Louvain: moves of single nodes by their gain, then contraction, level by level.
 
-Every step is a join of edges with labels and sums per (node, community); the votes of a hub's neighbours are added
-up in partial sums before they move, and no node's neighbours are gathered in one row. All nodes find their best move
-at once, and moves made at once may harm each other. So a half of them, drawn by hash, is tried and its modularity
-measured on the whole graph; if that falls, an eighth is tried; and if that fails too, the moves that are the best
-one at both communities they touch, which can't disturb each other, so their gains add up. Modularity therefore never
-falls. Labels and contracted graphs are written tables, so a lost executor costs the step it was in.
+Nodes are longs in the order of their names, and a level's edges are written once, in buckets of the node that they
+start from. A step looks up the label of each edge's other end and adds up the votes per (node, community) in the
+bucket where they lie, so edges are not shuffled again; no node's neighbours are gathered in one row. The same sums
+give what every node has inside its own community, so one pass over the edges measures the modularity of the labels
+and finds every node's next best move.
+
+All nodes find their best move at once, and moves made at once may harm each other. So a half of them, drawn by hash,
+is tried and its modularity measured on the whole graph; if that falls, an eighth is tried; and if that fails too, the
+moves that are the best one at both communities they touch, which can't disturb each other, so their gains add up.
+Modularity therefore never falls. Labels and contracted graphs are written tables, so a lost executor costs the step
+it was in.
 """
 
 from __future__ import annotations
@@ -22,6 +27,10 @@ from cairnspark.scratch import Scratch, maybe_broadcast
 PASSES, LEVELS, TOLERANCE = 10, 10, 1e-4
 SHARES = (0.5, 0.125)
 LEAST_GAIN = 1e-12
+#: Labels of so many nodes may be broadcast (three longs and a double each, some 200 MB); more are shuffled.
+LABEL_ROWS = 3_000_000
+#: Edges in a bucket, until there are as many buckets as a shuffle has partitions.
+BUCKET_ROWS = 200_000
 
 
 @dataclass
@@ -39,29 +48,51 @@ def undirected(relations: DataFrame) -> DataFrame:
     return ends.groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
-def modularity(edges: DataFrame, labels: DataFrame, m2: float) -> float:
-    """Of labels(node, community, k): the share of weight inside communities less what degrees alone would give."""
-    own = labels.select(F.col("node").alias("a"), F.col("community").alias("ca"))
-    other = labels.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-    inside = edges.join(own, "a").join(other, "b").where("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("x"))
-    squares = labels.groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("x"))
-    both = {r["n"]: r["x"] for r in inside.withColumn("n", F.lit("in")).union(squares.withColumn("n", F.lit("all"))).collect()}
-    return 2 * both["in"] / m2 - both["all"] / m2**2
-
-
-def best_moves(both: DataFrame, labels: DataFrame, m2: float) -> DataFrame:
-    """(node, target, gain, community): of each node the move of largest gain in modularity, if any gains; ties go by a hash of the community."""
-    votes = both.join(labels.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("v"))
-    total = labels.groupBy("community").agg(F.sum("k").alias("tot"))
-    home = labels.join(total, "community").select("node", F.col("community").alias("home"), "k", (F.col("tot") - F.col("k")).alias("home_tot"))
-    at = votes.join(home, "node").join(total, "community")
-    own = F.coalesce(F.max(F.when(F.col("community") == F.col("home"), F.col("v"))), F.lit(0.0)).alias("own")
-    # what a node's own community offers is the same for all its moves, so the best offer is found in one sum per node
-    offer = F.col("v") - F.col("k") * F.col("tot") / m2
-    best = F.max(F.when(F.col("community") != F.col("home"), F.struct(offer.alias("offer"), F.struct(F.xxhash64("community").alias("h"), "community").alias("c")))).alias("best")
-    found = at.groupBy("node", "home", "k", "home_tot").agg(own, best).where("best is not null")
-    gain = F.col("best.offer") - F.col("own") + F.col("k") * F.col("home_tot") / m2
-    return found.select("node", F.col("best.c.community").alias("target"), (2 * gain / m2).alias("gain"), F.col("home").alias("community")).where(F.col("gain") > LEAST_GAIN)
+def numbered(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """nodes(id, name, h): longs in the order of the names of edges(a, b), and a hash of the name."""
+    names = edges.select(F.col("a").alias("name")).union(edges.select(F.col("b").alias("name"))).distinct()
+    return scratch.keep(names.orderBy("name").select(F.monotonically_increasing_id().alias("id"), "name", F.xxhash64("name").alias("h")))
+
+
+class Level:
+    """A graph of edges(a, b, w) between longs, as one level of moves sees it: its edges from both ends, in buckets of the first."""
+
+    def __init__(self, scratch: Scratch, edges: DataFrame, nodes: DataFrame, n_nodes: int, m2: float):
+        self.scratch, self.n, self.m2 = scratch, n_nodes, m2
+        ends = edges.select(F.col("a").alias("node"), "w").union(edges.select(F.col("b").alias("node"), "w"))
+        degrees = ends.groupBy("node").agg(F.sum("w").alias("k"))
+        hashed = degrees.join(maybe_broadcast(nodes.select(F.col("id").alias("node"), "h"), n_nodes, LABEL_ROWS), "node")
+        self.start = scratch.keep(hashed.select("node", F.col("node").alias("community"), "h", "k"))
+        self.n = self.start.count()
+        self.loops = edges.where("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+        apart = edges.where("a != b")
+        both = apart.select("a", "b", "w").union(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+        self.both = scratch.keep_buckets(both, "a", apart.count() // BUCKET_ROWS + 1)
+
+    def weighed(self, labels: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+        """labels(node, community, h, k), kept with tot, the degrees of the community; (node, home, k, home_tot, own, best), a row a node with neighbours; and the modularity.
+
+        own is the node's weight to its own community, best the other community of the largest offer; ties go by the
+        hash of the community's name.
+        """
+        total = labels.groupBy("community").agg(F.sum("k").alias("tot"))
+        known = self.scratch.keep(labels.join(maybe_broadcast(total, self.n, LABEL_ROWS), "community").select("node", "community", "h", "k", "tot"))
+        other = known.select(F.col("node").alias("b"), "community", "h", "tot")
+        votes = self.both.join(maybe_broadcast(other, self.n, LABEL_ROWS), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("v"), F.first("h").alias("h"), F.first("tot").alias("tot"))
+        home = known.select("node", F.col("community").alias("home"), "k", (F.col("tot") - F.col("k")).alias("home_tot"))
+        at = votes.join(home.hint("shuffle_hash"), "node")
+        own = F.coalesce(F.max(F.when(F.col("community") == F.col("home"), F.col("v"))), F.lit(0.0)).alias("own")
+        # what a node's own community offers is the same for all its moves, so the best offer is found in one sum per node
+        offer = F.col("v") - F.col("k") * F.col("tot") / self.m2
+        best = F.max(F.when(F.col("community") != F.col("home"), F.struct(offer.alias("offer"), F.struct("h", "community").alias("c")))).alias("best")
+        found = self.scratch.keep(at.groupBy("node", "home", "k", "home_tot").agg(own, best))
+        inside, squares = found.select("own", F.lit(0.0).alias("x")).union(known.select(F.lit(0.0), F.col("k") * F.col("tot"))).agg(F.sum("own"), F.sum("x")).first()
+        return known, found, (inside + 2 * self.loops) / self.m2 - squares / self.m2**2
+
+    def moves(self, found: DataFrame) -> DataFrame:
+        """(node, target, h, gain, community): of each node of weighed() the move of largest gain in modularity, if any gains."""
+        gain = F.col("best.offer") - F.col("own") + F.col("k") * F.col("home_tot") / self.m2
+        return found.where("best is not null").select("node", F.col("best.c.community").alias("target"), F.col("best.c.h").alias("h"), (2 * gain / self.m2).alias("gain"), F.col("home").alias("community")).where(F.col("gain") > LEAST_GAIN)
 
 
 def independent(moves: DataFrame) -> DataFrame:
@@ -72,67 +103,77 @@ def independent(moves: DataFrame) -> DataFrame:
     return moves.join(best.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n = 2"), "node", "left_semi")
 
 
-def move_nodes(scratch: Scratch, edges: DataFrame, m2: float, trace: list[float], passes: int, tolerance: float) -> DataFrame | None:
-    """labels(node, community, k) after local moves, or None if nothing moves."""
-    both = scratch.keep(edges.where("a != b").select("a", "b", "w").union(edges.where("a != b").select("b", "a", "w")))
-    ends = edges.select(F.col("a").alias("node"), "w").union(edges.select(F.col("b").alias("node"), "w"))
-    labels = scratch.keep(ends.groupBy("node").agg(F.sum("w").alias("k")).select("node", F.col("node").alias("community"), "k"))
+def move_nodes(scratch: Scratch, edges: DataFrame, nodes: DataFrame, n_nodes: int, m2: float, trace: list[float], passes: int, tolerance: float) -> tuple[DataFrame, int] | None:
+    """labels(node, community, h, k, tot) after local moves and how many they are, or None if nothing moves."""
+    level = Level(scratch, edges, nodes, n_nodes, m2)
+    labels, found, q = level.weighed(level.start)
     if not trace:
-        trace.append(modularity(edges, labels, m2))
+        trace.append(q)
     any_moved = False
     for number in range(passes):
-        moves = scratch.keep(best_moves(both, labels, m2))
+        moves = level.moves(found)
         n = moves.count()
         if not n:
             break
-        draw = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(1 << 20)) / float(1 << 20)
-        tries = [moves.where(draw < share) for share in SHARES] + [independent(moves)]
+        named = moves.join(maybe_broadcast(nodes.select(F.col("id").alias("node"), "name"), n_nodes), "node")
+        draw = F.pmod(F.xxhash64("name", F.lit(number)), F.lit(1 << 20)) / float(1 << 20)
+        tries = [named.where(draw < share) for share in SHARES] + [independent(moves)]
         for chosen in tries:
-            tried = scratch.keep(labels.join(maybe_broadcast(chosen.select("node", "target"), n), "node", "left").select("node", F.coalesce("target", "community").alias("community"), "k"))
-            q = modularity(edges, tried, m2)
+            to = chosen.select("node", "target", F.col("h").alias("target_h"))
+            tried = labels.join(maybe_broadcast(to, n), "node", "left").select("node", F.coalesce("target", "community").alias("community"), F.coalesce("target_h", "h").alias("h"), "k")
+            tried, next_found, q = level.weighed(tried)
             if q > trace[-1]:
                 break
-            scratch.drop(tried)
-        scratch.drop(moves)
+            scratch.drop(tried, next_found)
         if q <= trace[-1]:  # rounding is all that is left
             break
-        scratch.drop(labels)
-        labels, any_moved, grown = tried, True, q - trace[-1]
+        scratch.drop(labels, found)
+        labels, found, any_moved, grown = tried, next_found, True, q - trace[-1]
         trace.append(q)
         if grown < tolerance and chosen is not tries[-1]:
             break
-    scratch.drop(both)
-    return labels if any_moved else None
+    scratch.drop(found, level.both)
+    return (labels, level.n) if any_moved else None
 
 
 def louvain(entities: DataFrame, relations: DataFrame, passes: int = PASSES, levels: int = LEVELS, tolerance: float = TOLERANCE) -> Communities:
     """Communities of entities(name) by relations(source, target, weight); an entity without relations is one by itself."""
     scratch = Scratch(entities.sparkSession)
-    edges = scratch.keep(undirected(relations.where("source is not null and target is not null and weight > 0")))
-    m2 = 2 * (edges.agg(F.sum("w")).first()[0] or 0.0)
+    spelt = scratch.keep(undirected(relations.where("source is not null and target is not null and weight > 0")))
+    m2 = 2 * (spelt.agg(F.sum("w")).first()[0] or 0.0)
+    alone = entities.select("name").distinct()
+    if not m2:
+        return Communities(alone.withColumn("community", F.col("name")), [], 0)
+    nodes = numbered(scratch, spelt)
+    n_nodes = nodes.count()
+    end = lambda old, new: maybe_broadcast(nodes.select(F.col("name").alias(old), F.col("id").alias(new)), n_nodes)
+    edges = scratch.keep(spelt.join(end("a", "ia"), "a").join(end("b", "ib"), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"), "w"))
+    scratch.drop(spelt)
     trace: list[float] = []
     names, level = None, 0
-    while m2 and level < levels:
+    while level < levels:
         before = trace[-1] if trace else None
-        labels = move_nodes(scratch, edges, m2, trace, passes, tolerance)
-        if labels is None:
+        moved = move_nodes(scratch, edges, nodes, n_nodes, m2, trace, passes, tolerance)
+        if moved is None:
             break
+        labels, n = moved
         level += 1
         flat = labels.select("node", "community")
         if names is None:
-            names = scratch.keep(flat.withColumnRenamed("node", "name"))
+            names = scratch.keep(flat.withColumnRenamed("node", "id"))
         else:
             up = flat.select(F.col("node").alias("community"), F.col("community").alias("up"))
-            names = scratch.keep(names.join(up, "community").select("name", F.col("up").alias("community")))
-        ends = edges.join(flat.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(flat.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
+            names = scratch.keep(names.join(up, "community").select("id", F.col("up").alias("community")))
+        own, other = (maybe_broadcast(flat.select(F.col("node").alias(e), F.col("community").alias(f"c{e}")), n, LABEL_ROWS) for e in "ab")
+        ends = edges.join(own, "a").join(other, "b")
         edges = scratch.keep(ends.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
         if before is not None and trace[-1] - before < tolerance:
             break
-    alone = entities.select("name").distinct()
     if names is None:
         return Communities(alone.withColumn("community", F.col("name")), trace, 0)
-    first = names.groupBy("community").agg(F.min("name").alias("first"))
-    named = names.join(first, "community").select("name", F.col("first").alias("community"))
+    first = names.groupBy("community").agg(F.min("id").alias("first"))
+    spelling = lambda old, new: nodes.select(F.col("id").alias(old), F.col("name").alias(new))
+    named = names.join(first, "community").select("id", "first").join(spelling("id", "name"), "id").join(spelling("first", "community"), "first").select("name", "community")
     return Communities(alone.join(named, "name", "left").select("name", F.coalesce("community", "name").alias("community")), trace, level)
 
 
