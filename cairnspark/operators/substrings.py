@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnspark.scratch import Scratch
+from cairnspark.scratch import Scratch, maybe_broadcast
 
 Q = 4
 #: Bits of the array that tells grams in use: 512 KB, whatever the number of patterns.
@@ -98,6 +98,6 @@ def contains_join(texts: DataFrame, patterns: DataFrame, q: int = Q) -> DataFram
     # a pattern with a gram that no text holds is in no text
     whole = grams.groupBy("pid").agg(F.count(F.lit(1)).alias("all"))
     signed = scratch.keep(rarity.join(whole, "pid").where("known = all").select("pid", F.col("r.gram").alias("gram")))
-    near = text_grams(texts, lengths, in_use(signed)).join(signed, "gram").select("tid", "pid").distinct()
-    found = near.join(patterns, "pid").join(texts, "tid").where(F.contains(F.col("text"), F.col("pattern")))
+    near = scratch.keep(text_grams(texts, lengths, in_use(signed)).join(maybe_broadcast(signed), "gram").select("tid", "pid").distinct())
+    found = texts.join(maybe_broadcast(near), "tid").join(maybe_broadcast(patterns, most=10_000), "pid").where(F.contains(F.col("text"), F.col("pattern")))
     return found.select("tid", "pid").distinct()
