@@ -19,6 +19,8 @@ from cairnspark.scratch import Scratch
 
 #: A name is heavy that HEAVY_EVENTS events and so large a share of all events mention; heavy names are bits of a long.
 HEAVY_SHARE, HEAVY_EVENTS, HEAVY_BITS = 0.01, 1000, 62
+#: Pairs of a query and an event that one task counts.
+PAIRS_PART = 500_000
 
 
 def upsert_entities(old: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -168,22 +170,44 @@ def shared_names(mentions: DataFrame, seeds: DataFrame, k: int, share: float = H
     rows don't grow with the events that mention a hub.
     """
     scratch = Scratch(mentions.sparkSession)
-    heavy = F.broadcast(heavy_names(mentions, share))
-    asked = seeds.select("query_id", "event_id").distinct()
+    mentions = scratch.keep(mentions.select("event_id", "name").distinct())
+    heavy = heavy_names(mentions, share)
+    asked = scratch.keep(seeds.select("query_id", "event_id").distinct())
     names = scratch.keep(mentions.join(asked, "event_id").select("query_id", "name").distinct())
+    more = k + (asked.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
+    if heavy.isEmpty():
+        return best_met(names.withColumn("mask", F.lit(0).cast("long")), mentions.withColumn("bits", F.lit(0).cast("long")), more)
+    heavy = F.broadcast(heavy)
     bit = F.expr("shiftleft(1L, bit)")
     masks = scratch.keep(names.join(heavy, "name").groupBy("query_id").agg(F.bit_or(bit).alias("mask")))
     bits = scratch.keep(mentions.join(heavy, "name").groupBy("event_id").agg(F.bit_or(bit).alias("bits")))
-    light = names.join(heavy, "name", "left_anti").join(mentions.select("event_id", "name").distinct(), "name").groupBy("query_id", "event_id").agg(F.count(F.lit(1)).alias("light"))
-    both = light.join(bits, "event_id", "left").join(masks, "query_id", "left")
-    common = F.bit_count(F.coalesce(F.col("bits"), F.lit(0).cast("long")).bitwiseAND(F.coalesce(F.col("mask"), F.lit(0).cast("long"))))
-    reached = both.select("query_id", "event_id", (F.col("light") + common).cast("long").alias("shared"))
-    more = k + (asked.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
+    light = scratch.keep(names.join(heavy, "name", "left_anti").join(masks, "query_id", "left").select("query_id", "name", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))
+    held = scratch.keep(mentions.join(heavy, "name", "left_anti").join(bits, "event_id", "left").select("event_id", "name", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))
     first = bits.withColumn("r", F.row_number().over(Window.partitionBy("bits").orderBy("event_id"))).where(F.col("r") <= more)
     patterns = first.select("bits").distinct().join(heavy, (F.col("bits").bitwiseAND(bit)) != 0).select("bits", "name")
     met = names.join(patterns, "name").groupBy("query_id", "bits").agg(F.count(F.lit(1)).alias("shared"))
     offered = met.join(first.select("bits", "event_id"), "bits").select("query_id", "event_id", "shared")
-    return reached.unionByName(offered).groupBy("query_id", "event_id").agg(F.max("shared").alias("shared"))
+    both = best_met(light, held, more).unionByName(offered).groupBy("query_id", "event_id").agg(F.max("shared").alias("shared"))
+    # an offered event that light names reach too, but that is not among the best, stands below all of those
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "event_id"))
+    return both.withColumn("r", best).where(F.col("r") <= more).drop("r")
+
+
+def best_met(names: DataFrame, held: DataFrame, most: int) -> DataFrame:
+    """(query_id, event_id, shared): names(query_id, name, mask) and held(event_id, name, bits) counted where they meet, with the bits that mask and bits share; of each query, or each slice of its events, the best ``most``.
+
+    What meets is many times the input, so it is counted first (names x events of each), and dealt to as many tasks as
+    that needs: none holds more than some PAIRS_PART pairs. A query that reaches more than that lies in slices.
+    """
+    n = held.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    total, largest = names.join(n, "name").groupBy("query_id").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    parts = max(-(-total // PAIRS_PART), min(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * 16 // PAIRS_PART)), 1)
+    cut = F.pmod(F.xxhash64("event_id"), F.lit(max(1, -(-largest // PAIRS_PART)))).alias("slice")
+    pairs = names.repartition(parts, "name").join(held.repartition(parts, "name"), "name").select("query_id", cut, "event_id", "mask", "bits")
+    common = F.bit_count(F.max("bits").bitwiseAND(F.max("mask")))
+    counted = pairs.repartition(parts, "query_id", "slice").groupBy("query_id", "slice", "event_id").agg((F.count(F.lit(1)) + common).cast("long").alias("shared"))
+    best = F.row_number().over(Window.partitionBy("query_id", "slice").orderBy(F.desc("shared"), "event_id"))
+    return counted.withColumn("r", best).where(F.col("r") <= most).select("query_id", "event_id", "shared")
 
 
 def event_recall(mentions: DataFrame, chunks: DataFrame, seeds: DataFrame, expand: int = 50, coarse: int = 15, k: int = 20) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -155,3 +156,22 @@ def test_places_in_hot_groups(spark):
         own = sorted([r for r in rows if r[1] == g], key=lambda r: (-r[2], r[0]))
         assert [r["id"] for r in sorted((x for x in got if x["g"] == g), key=lambda x: x["place"])] == [r[0] for r in own]
         assert {r["n"] for r in got if r["g"] == g} == {len(own)} and {r["place"] for r in got if r["g"] == g} == set(range(len(own)))
+
+
+def test_pairs_of_queries_and_events_are_dealt_by_their_number(spark, monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(G, "PAIRS_PART", 60, raising=False)
+    mentions = {(e, f"n{rng.randrange(60)}") for e in range(400) for _ in range(3)}
+    seeds = {(q, rng.randrange(400)) for q in range(10) for _ in range(3)}
+    m = spark.createDataFrame(sorted(mentions), "event_id long, name string")
+    s = spark.createDataFrame(sorted(seeds), "query_id long, event_id long")
+    found = G.shared_names(m, s, 7)
+    want = shared_by_hand(mentions, seeds)
+    pairs = sum(want.values())
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(query_id#\d+L?, slice#\d+L?, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())]
+    assert dealt and min(dealt) >= pairs / 60 > 20  # tasks follow the pairs that meet, not spark.sql.shuffle.partitions
+    got = {(r["query_id"], r["event_id"]): r["shared"] for r in found.collect()}
+    assert got.items() <= want.items() and len(got) < len(want)
+    for q in {q for q, _ in seeds}:
+        best = lambda rows: sorted((-n, e) for (x, e), n in rows.items() if x == q and (q, e) not in seeds)[:7]
+        assert best(got) == best(want)
