@@ -136,10 +136,14 @@ def resolve_aliases(entities: DataFrame, least: float = 0.92, candidates: int =
     name are compared, and the last best wins ties.
     """
     scratch = Scratch(entities.sparkSession)
-    keyed = scratch.keep(entities.withColumn("tid", F.xxhash64("name", "type")).dropDuplicates(["tid"]))
-    pairs = contains_join(keyed.select("tid", F.col("name").alias("text")), keyed.select(F.col("tid").alias("pid"), F.col("name").alias("pattern"))).where("tid <> pid")
-    names = pairs.join(keyed.select("tid", "name", "type"), "tid").join(keyed.select(F.col("tid").alias("pid"), F.col("name").alias("canonical"), F.col("type").alias("__t")), "pid")
-    near = names.where(F.col("type").eqNullSafe(F.col("__t")) & (F.col("name") != F.col("canonical")))
+    keyed = scratch.keep(entities.withColumn("tid", F.xxhash64("name", "type")).dropDuplicates(["tid"]).withColumn("nid", F.xxhash64("name")))
+    # a name that stands under many types is compared once; types meet after that
+    texts = keyed.select("nid", "name").distinct()
+    pairs = contains_join(texts.select(F.col("nid").alias("tid"), F.col("name").alias("text")), texts.select(F.col("nid").alias("pid"), F.col("name").alias("pattern")))
+    pairs = pairs.where("tid <> pid").select(F.col("tid").alias("nid"), F.col("pid").alias("__n"))
+    held = keyed.select(F.col("tid").alias("pid"), F.col("nid").alias("__n"), F.col("name").alias("canonical"), F.col("type").alias("__t"))
+    names = pairs.join(keyed.select("tid", "nid", "name", "type"), "nid")
+    near = names.join(held, (names["__n"] == held["__n"]) & F.col("type").eqNullSafe(F.col("__t")) & (F.col("name") != F.col("canonical"))).select("tid", "name", "pid", "canonical")
     near = near.withColumn("__c", F.row_number().over(Window.partitionBy("tid").orderBy("canonical"))).where(F.col("__c") <= candidates)
     vectors = keyed.select("tid", "vector")
     both = near.join(vectors, "tid").join(vectors.select(F.col("tid").alias("pid"), F.col("vector").alias("v2")), "pid")

@@ -10,6 +10,7 @@ from cairnspark.operators import communities as C
 from cairnspark.operators import graph as G
 from cairnspark.operators.substrings import contains_join
 from cairnspark.plans.registry import query, table
+from cairnspark.scratch import Scratch
 
 ENT = "ent AS (SELECT 'p' || p_partkey AS name, p_brand AS type FROM part UNION ALL SELECT 's' || s_suppkey, 'supplier' FROM supplier)"
 REL = "raw AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, l_returnflag AS type, l_orderkey AS doc_id FROM lineitem), rel AS (SELECT source, target, type, count(DISTINCT doc_id)::BIGINT AS weight, max(doc_id) AS doc_id FROM raw WHERE source IN (SELECT name FROM ent) AND target IN (SELECT name FROM ent) GROUP BY ALL)"
@@ -150,6 +151,7 @@ def n12(spark, sf):
 @query("n3_alias_resolution")
 def n3(spark, sf):
     p = table(spark, sf, "part").select(F.lower("p_name").alias("name"), F.col("p_brand").alias("type"))
+    p = Scratch(spark).keep(p.distinct())  # written, or Spark drops the distinct before that of entities and embeds every row
     e = p.union(p.select(F.concat("name", F.lit(" inc")), "type")).distinct()
     return G.resolve_aliases(e.withColumn("vector", V.hash_embedder()("name")), least=0.6)
 

@@ -12,6 +12,7 @@ from cairnspark.operators import communities as C
 from cairnspark.operators import graph as G
 from cairnspark.operators import retrieval as R
 from cairnspark.operators import substrings as S
+from cairnspark.plans.catalog import QUERIES
 from cairnspark.providers import Graph
 
 
@@ -175,3 +176,20 @@ def test_pairs_of_queries_and_events_are_dealt_by_their_number(spark, monkeypatc
     for q in {q for q, _ in seeds}:
         best = lambda rows: sorted((-n, e) for (x, e), n in rows.items() if x == q and (q, e) not in seeds)[:7]
         assert best(got) == best(want)
+
+
+def test_aliases_compare_distinct_names_and_embed_them_once(spark, monkeypatch, tmp_path):
+    rows = [("megacorp", f"t{i}", [1.0, 0.1]) for i in range(12)] + [("corp", f"t{i}", [1.0, 0.0]) for i in range(3, 15)] + [("corp", None, [1.0, 0.0]), ("megacorp", None, [1.0, 0.1])]
+    seen = {}
+    join = G.contains_join
+    monkeypatch.setattr(G, "contains_join", lambda texts, patterns: seen.update(n=(texts.count(), patterns.count())) or join(texts, patterns))
+    got = G.resolve_aliases(spark.createDataFrame(rows, "name string, type string, vector array<double>")).collect()
+    assert seen["n"] == (2, 2) and [tuple(r) for r in got] == [("megacorp", "corp")] * 10  # t3 to t11, and no type
+
+    embedded = []
+    resolve = G.resolve_aliases
+    monkeypatch.setattr(G, "resolve_aliases", lambda e, **k: embedded.append(e) or resolve(e, **k))
+    spark.createDataFrame([(i, "Red Ring", "b") for i in range(5000)], "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    assert [tuple(r) for r in QUERIES["n3_alias_resolution"](spark, str(tmp_path)).collect()] == [("red ring inc", "red ring")]
+    plan = embedded[0].withColumn("tid", F.xxhash64("name", "type")).dropDuplicates(["tid"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "part.parquet" not in plan and "p_name" not in plan  # rows of the table are made distinct before any is embedded
