@@ -14,11 +14,12 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairnspark.batches import in_batches
+from cairnspark.batches import in_batches, in_slices
 from cairnspark.functions import text as T
 
 PAGE_HEIGHT, EDGE = 842.0, 0.05
@@ -222,14 +223,24 @@ def normalise(parts: list[str], most: int = PARENT) -> list[str]:
 CUTS = {"normal": lambda t: normalise(units(t, "paragraph")), "child": lambda t: children(t), "sentence": lambda t: sentences(t, PARENT), "fixed": lambda t: fixed(t)}
 
 
-def fold_texts(docs: DataFrame, rows_of: Callable[[int, str | None], Iterable[tuple]], schema: str) -> DataFrame:
-    """The rows that a function gives of each of docs(doc_id, text), a document at a time."""
-    names = [c.split()[0] for c in schema.split(", ")]
+KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from in_batches((row for f in frames for d, t in zip(f["doc_id"], f["text"], strict=True) for row in rows_of(d, t)), names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+def folded(rows_of: Callable[[int, str | None], Iterable[tuple]], schema: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Arrow batches (doc_id, text) to batches of the rows that a function gives of each; few texts are Python objects at one time."""
+    kinds = pa.schema([(c.split()[0], KINDS[c.split()[1]]) for c in schema.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = (doc for b in in_slices(batches) for doc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for f in in_batches((row for d, t in docs for row in rows_of(d, t)), kinds.names):
+            yield pa.RecordBatch.from_pandas(f, kinds, preserve_index=False)
+
+    return run
+
+
+def fold_texts(docs: DataFrame, rows_of: Callable[[int, str | None], Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that a function gives of each of docs(doc_id, text), a document at a time."""
+    return docs.select("doc_id", "text").mapInArrow(folded(rows_of, schema), schema)
 
 
 def split_documents(docs: DataFrame, how: str) -> DataFrame:

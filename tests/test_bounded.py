@@ -1,6 +1,7 @@
 """Work and batches that grow no faster than their input, and the same results in the forms that need no shuffle."""
 
 import time
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -144,3 +145,16 @@ def test_blocks_of_postings_are_counted_as_codes(monkeypatch):
     start = time.thread_time()
     assert sum(x.num_rows for x in P._blocks(0, 4, 512)(iter([many]))) > 100_000
     assert time.thread_time() - start < 3  # 1.6 million words
+
+
+def test_few_texts_of_a_batch_are_python_objects():
+    b = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["word. " * 3000] * 3000)], ["doc_id", "text"])  # 54 MB
+    run = K.folded(lambda d, t: [(d, i, [t[:5]], None) for i in range(2)], K.PATHS)
+    tracemalloc.start()
+    out = [x.num_rows for x in run(iter([b]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(out) == 6000 and peak < 15_000_000
+    text = "Abstract\nOne.\n\nTwo.\nMethods\nThree."
+    got = [r for x in K.folded(lambda d, t: ((d, *r) for r in K.chunk_text(t, "paper")), K.CHUNKS)(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([text, None, ""])], ["doc_id", "text"])])) for r in x.to_pylist()]
+    assert [(r["doc_id"], r["parent_index"], r["child_index"], r["child"]) for r in got] == [(1, 0, 0, "Abstract\nOne."), (1, 0, 1, "Two."), (1, 1, 2, "Methods\nThree.")]
