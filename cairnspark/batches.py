@@ -19,10 +19,10 @@ def in_batches(rows: Iterable[tuple], names: list[str], most: int = BATCH_LETTER
         held.append(row)
         size += 64 + sum(len(v) for v in row if isinstance(v, str))
         if size >= most:
-            yield pd.DataFrame(held, columns=names)
+            yield pd.DataFrame(held, columns=names, dtype=object)
             held, size = [], 0
     if held:
-        yield pd.DataFrame(held, columns=names)
+        yield pd.DataFrame(held, columns=names, dtype=object)
 
 
 def in_slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -246,3 +246,24 @@ def byte_limit(text: Column, limit: int) -> Column:
     for k in (2, 1, 0):
         cut = F.when(~inner(limit + 1 - k), limit - k).otherwise(cut)
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.substring(raw, F.lit(1), cut).cast("string"))
+
+
+# A private character, and what stands after it for itself and for the letters that tables begin with.
+QUOTE = "\ue000"
+QUOTED = ((QUOTE, "e"), ("|", "p"), ("<", "l"))
+
+
+def quoted(text: Column) -> Column:
+    """A text that no split at tables cuts or strips: it holds no mark of a table and stands between two marks of its own; a null is a mark of its own."""
+    out = text
+    for letter, code in QUOTED:
+        out = F.replace(out, F.lit(letter), F.lit(QUOTE + code))
+    return F.coalesce(F.concat(F.lit(QUOTE + "("), out, F.lit(QUOTE + ")")), F.lit(QUOTE + "0"))
+
+
+def unquoted(text: Column) -> Column:
+    """What quoted() was given."""
+    out = F.substring(text, F.lit(3), F.length(text) - 4)
+    for letter, code in reversed(QUOTED):
+        out = F.replace(out, F.lit(QUOTE + code), F.lit(letter))
+    return F.when(text != QUOTE + "0", out)

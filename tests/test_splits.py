@@ -5,12 +5,14 @@ import itertools
 import math
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from cairnspark.functions import vectors as V
 from cairnspark.operators import chunking as K
 from cairnspark.operators import retrieval as R
+from cairnspark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -126,3 +128,14 @@ def test_diversity_against_all_orders(spark):
         left = [c for c in sorted(score, key=lambda c: (-score[c], c)) if c not in order]
         order.append(max(left, key=lambda c: (round(value(c), 12), -left.index(c))))
     assert got == order
+
+
+def test_a_document_is_one_part_whatever_it_holds(spark, tmp_path):
+    texts = [None, "", " \n\t\r ", "　 全　", "\xa0a\x0b", "\x1fb\x85", "| x | y |\n| 1 | 2 |", "before\n|x|\n|y|\nafter\n| z |", "<table><tr></tr></table>", "a <table>", "| one", "\ue000p\ue000\ue000e| <\ue000", "\ue0000", "\ue000", "\r\n two lines \r\n\r\n three \f"]
+    rows = [(i + 2**60 + 1, t, len(t or "")) for i, t in enumerate(texts)] + [(None, "no id", 5), (None, None, 0), (7, "same id", 7), (7, "same id", 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    key = lambda rows: sorted(map(tuple, rows), key=repr)
+    got = catalog.QUERIES["i9_document_parts"](spark, str(tmp_path)).select("doc_id", "part", "text").collect()
+    assert key(got) == key(c.sql(catalog.ORACLES["i9_document_parts"]).fetchall()) and len(got) == 3 * len(rows)
