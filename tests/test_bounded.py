@@ -62,6 +62,15 @@ def test_fan_out_of_a_long_document(spark, tmp_path):
     assert S.fan_out(d, "doc_id", F.ceil(F.length("text") / 450)).groupBy("doc_id").count().orderBy("doc_id").collect() == [(0, 273), (2, 2)]
 
 
+def test_fan_out_numbers_all_chunks(spark, tmp_path):
+    d = spark.createDataFrame([(0, "x" * 122_698, "en", "s"), (1, None, "en", "s"), (2, "", "en", "s"), (3, "y" * 451, "en", "s"), (9, "z" * 900, "en", "s")], "doc_id long, text string, lang string, source string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, catalog.QUERIES["l13_fan_out"](spark, str(tmp_path)).select("doc_id", "chunk_index").collect()))
+    assert got == sorted(c.sql(catalog.ORACLES["l13_fan_out"]).fetchall()) == [*((0, i) for i in range(273)), (3, 0), (3, 1)]
+
+
 def test_a_lane_with_many_pending_tasks(spark):
     lane = log.TaskLog(1000, 3, 1 << 30, 1)
     lane.tasks, lane.waiting, lane.queue, lane.failures, lane.open_until = {}, {}, [], 0, -1
