@@ -129,11 +129,11 @@ def communities(entities: DataFrame, relations: DataFrame, rounds: int = 10) ->
     return louvain(entities, relations, passes=rounds).labels
 
 
-def resolve_aliases(entities: DataFrame, least: float = 0.92, candidates: int = 10) -> DataFrame:
+def resolve_aliases(entities: DataFrame, least: float = 0.92) -> DataFrame:
     """(name, canonical): entities(name, type, vector) whose name holds another's of the same type, at a cosine of least or more.
 
-    Names meet by the substring join, so a part of a word is a candidate too; of a name's candidates the first few by
-    name are compared, and the last best wins ties.
+    Names meet by the substring join, so a part of a word is a candidate too; all candidates of a name are compared,
+    and the last best wins ties.
     """
     scratch = Scratch(entities.sparkSession)
     keyed = scratch.keep(entities.withColumn("tid", F.xxhash64("name", "type")).dropDuplicates(["tid"]).withColumn("nid", F.xxhash64("name")))
@@ -144,7 +144,6 @@ def resolve_aliases(entities: DataFrame, least: float = 0.92, candidates: int =
     held = keyed.select(F.col("tid").alias("pid"), F.col("nid").alias("__n"), F.col("name").alias("canonical"), F.col("type").alias("__t"))
     names = pairs.join(keyed.select("tid", "nid", "name", "type"), "nid")
     near = names.join(held, (names["__n"] == held["__n"]) & F.col("type").eqNullSafe(F.col("__t")) & (F.col("name") != F.col("canonical"))).select("tid", "name", "pid", "canonical")
-    near = near.withColumn("__c", F.row_number().over(Window.partitionBy("tid").orderBy("canonical"))).where(F.col("__c") <= candidates)
     vectors = keyed.select("tid", "vector")
     both = near.join(vectors, "tid").join(vectors.select(F.col("tid").alias("pid"), F.col("vector").alias("v2")), "pid")
     scored = both.withColumn("s", cosine(F.col("vector"), F.col("v2"))).where(F.col("s") >= least)

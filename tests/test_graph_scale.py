@@ -193,3 +193,10 @@ def test_aliases_compare_distinct_names_and_embed_them_once(spark, monkeypatch,
     assert [tuple(r) for r in QUERIES["n3_alias_resolution"](spark, str(tmp_path)).collect()] == [("red ring inc", "red ring")]
     plan = embedded[0].withColumn("tid", F.xxhash64("name", "type")).dropDuplicates(["tid"])._jdf.queryExecution().optimizedPlan().toString()
     assert "part.parquet" not in plan and "p_name" not in plan  # rows of the table are made distinct before any is embedded
+
+
+def test_all_candidates_of_a_name_are_compared(spark):
+    parts = [f"{c}{c}" for c in "abcdefghijklmnopqrst"]
+    rows = [(" ".join(parts), "org", [1.0, 0.0]), *((p, "org", [1.0, 2.0 - 0.1 * i]) for i, p in enumerate(parts))]
+    got = G.resolve_aliases(spark.createDataFrame(rows, "name string, type string, vector array<double>"))
+    assert [tuple(r) for r in got.collect()] == [(" ".join(parts), "tt")]
