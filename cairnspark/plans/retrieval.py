@@ -367,7 +367,7 @@ METRICS = "m AS (SELECT g.query_id, min(CASE WHEN g.doc_id = h.chunk_id THEN h.r
 
 @query("p1_retrieval_metrics", f"WITH {BM25}, {GOLD}, {METRICS} SELECT count(*)::BIGINT AS n_questions, round(avg(CASE WHEN first <= 2 THEN 1.0 ELSE 0 END), 9) AS recall_2, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0 END), 9) AS recall_5, round(avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0 END), 9) AS recall_10, round(avg(coalesce(1.0::DOUBLE / first, 0)), 9) AS mrr, round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0 END), 9) AS hit_rate FROM m")
 def p1(spark, sf):
-    return E.metrics(bm25_hits(spark, sf), gold(spark, sf))
+    return E.metrics(bm25_hits(spark, sf), Scratch(spark).keep(gold(spark, sf)))
 
 
 TWO = f"{ROUTES}, {GOLD}, a AS (SELECT g.query_id, min(CASE WHEN g.doc_id = h.chunk_id THEN h.rank END) AS first FROM gold g LEFT JOIN (SELECT * FROM btop WHERE rank <= 10) h ON h.query_id = g.query_id GROUP BY 1), b2 AS (SELECT g.query_id, min(CASE WHEN g.doc_id = h.chunk_id THEN h.rank END) AS first FROM gold g LEFT JOIN (SELECT * FROM stop WHERE rank <= 10) h ON h.query_id = g.query_id GROUP BY 1)"
@@ -377,5 +377,5 @@ IN_10 = "avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0 END)"
 
 @query("p4_two_modes", f"WITH {TWO} SELECT round((SELECT {RR} FROM a) - (SELECT {RR} FROM b2), 9) AS mrr_delta, round((SELECT {IN_10} FROM a) - (SELECT {IN_10} FROM b2), 9) AS recall_10_delta")
 def p4(spark, sf):
-    g = gold(spark, sf)
+    g = Scratch(spark).keep(gold(spark, sf))  # read four times
     return E.delta(E.metrics(bm25_hits(spark, sf), g), E.metrics(sparse_hits(spark, sf), g))

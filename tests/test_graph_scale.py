@@ -200,3 +200,16 @@ def test_all_candidates_of_a_name_are_compared(spark):
     rows = [(" ".join(parts), "org", [1.0, 0.0]), *((p, "org", [1.0, 2.0 - 0.1 * i]) for i, p in enumerate(parts))]
     got = G.resolve_aliases(spark.createDataFrame(rows, "name string, type string, vector array<double>"))
     assert [tuple(r) for r in got.collect()] == [(" ".join(parts), "tt")]
+
+
+def test_texts_are_scanned_and_not_shuffled_for_few_candidates(spark):
+    t = spark.createDataFrame([(1, "x" * 250_000 + "needle" + "y" * 10), (2, "need le" * 9), (2, "needle"), (None, "needle")], "tid long, text string")
+    found = S.contains_join(t, spark.createDataFrame([(5, "needle"), (6, "le")], "pid long, pattern string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "MapInArrow" not in plan  # candidates are written: what is left is one scan that verifies them
+    assert sorted(map(tuple, found.collect())) == [(1, 5), (1, 6), (2, 5), (2, 6)]
+
+
+def test_both_modes_read_the_gold_that_is_written_once(spark):
+    plan = QUERIES["p4_two_modes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "contains(" not in plan.lower()
