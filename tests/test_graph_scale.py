@@ -213,3 +213,25 @@ def test_texts_are_scanned_and_not_shuffled_for_few_candidates(spark):
 def test_both_modes_read_the_gold_that_is_written_once(spark):
     plan = QUERIES["p4_two_modes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "contains(" not in plan.lower()
+
+
+def test_communities_by_arrays_are_those_by_tables_in_fewer_jobs(spark, monkeypatch):
+    rng = random.Random(21)
+    names = [f"n{i}" for i in range(240)] + ["alone", "é", "星"]
+    edges = [(f"n{i}", f"n{j}", rng.randrange(1, 4)) for i in range(240) for j in range(i) if rng.random() < (0.3 if i // 20 == j // 20 else 0.01)]
+    edges += [("n1", "n1", 2), ("é", "n2", 1), ("n2", "é", 1), ("星", "星", 3)] + edges[:30]
+    e = spark.createDataFrame([(n,) for n in names], "name string")
+    r = spark.createDataFrame(edges, "source string, target string, weight long")
+    sc, found, jobs = spark.sparkContext, {}, {}
+    for way, most in (("arrays", 10_000), ("tables", 0)):
+        monkeypatch.setattr(C, "DENSE_NODES", most, raising=False)
+        monkeypatch.setattr(C, "PART_EDGES", 100, raising=False)
+        monkeypatch.setattr(C, "BUCKET_ROWS", 100)
+        sc.setJobGroup(way, way)
+        found[way] = C.louvain(e, r)
+        jobs[way] = len(sc.statusTracker().getJobIdsForGroup(way))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    labels = {way: sorted(map(tuple, f.labels.select("name", "community").collect())) for way, f in found.items()}
+    assert labels["arrays"] == labels["tables"] and len(labels["arrays"]) == len(names)
+    assert found["arrays"].modularity == pytest.approx(found["tables"].modularity) and found["arrays"].levels == found["tables"].levels > 1
+    assert jobs["arrays"] * 2 < jobs["tables"]
