@@ -144,8 +144,8 @@ def n11(spark, sf):
 
 @query("n12_community_summaries")
 def n12(spark, sf):
-    e, r = full(spark, sf)
-    return C.summaries(C.louvain(e, r).labels, r)
+    r = Scratch(spark).keep(relations(spark, sf).select("source", "target", "weight"))  # read by the communities and by their summaries
+    return C.summaries(C.louvain(entities(spark, sf), r).labels, r)
 
 
 @query("n3_alias_resolution")

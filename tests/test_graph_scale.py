@@ -235,3 +235,8 @@ def test_communities_by_arrays_are_those_by_tables_in_fewer_jobs(spark, monkeypa
     assert labels["arrays"] == labels["tables"] and len(labels["arrays"]) == len(names)
     assert found["arrays"].modularity == pytest.approx(found["tables"].modularity) and found["arrays"].levels == found["tables"].levels > 1
     assert jobs["arrays"] * 2 < jobs["tables"]
+
+
+def test_summaries_read_written_relations_and_labels(spark):
+    read = QUERIES["n12_community_summaries"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not [f for f in read if "/testdata/" in f]
